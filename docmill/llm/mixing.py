@@ -104,7 +104,7 @@ def decide(rows: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS,
     ``copies`` equal rows stand in one result row; ``base`` copies of each are certain, ``taken_copies`` of them get one more.
     """
     spark = rows.sparkSession
-    drop: list[str] = []
+    common.small_batches(spark)
     rows = common.written(rows, "mix-rows")
     share = common.written(targets(rows, weights, most), "mix-targets")
     grouped = rows.groupBy("source", "doc_id", "key", "size").agg(F.count("*").alias("copies"))
@@ -121,7 +121,7 @@ def decide(rows: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS,
     found, level = [], 0
     while True:
         last = buckets == 1
-        done = common.written(every.groupBy("source", "bucket").applyInPandas(_settle(level, seed, last), _SCHEMA), f"mix-{level}", drop=drop)
+        done = common.written(every.groupBy("source", "bucket").applyInPandas(_settle(level, seed, last), _SCHEMA), f"mix-{level}")
         found.append(done.where("mass is null"))
         if last:
             break

@@ -21,8 +21,15 @@ def op1_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32", "shard")
 
 
+def op2_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docmill.llm import mixing
+
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wavelet_tokens": op1_wavelet_tokens,
+    "op2_pivotal_mixing": op2_pivotal_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
