@@ -147,7 +147,7 @@ class WordTable:
     ``encode`` gets the bytes of unknown distinct words and returns their rows. Clearing costs repeated work, never results.
     """
 
-    def __init__(self, encode, limit: int = 1_500_000):
+    def __init__(self, encode, limit: int = 300_000):
         self.encode, self.limit = encode, limit
         self.clear()
 
@@ -175,7 +175,8 @@ class WordTable:
             where = np.empty(len(uniq), np.int64)
             where[codes[::-1]] = np.arange(len(codes))[::-1]  # a first occurrence of each
             raw = data.tobytes()
-            flat, size = self.encode([raw[starts[i] : ends[i]] for i in where[new]])
+            done = [self.encode([raw[starts[i] : ends[i]] for i in where[new[k : k + 10_000]]]) for k in range(0, len(new), 10_000)]
+            flat, size = (np.concatenate([x[j] for x in done]) for j in (0, 1))
             order = np.argsort(uniq[new])
             start = len(self.flat) + np.cumsum(size) - size
             put = np.searchsorted(self.keys, uniq[new][order])

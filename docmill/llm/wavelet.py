@@ -182,6 +182,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID,
     memory doesn't depend on the input. Only ids are shuffled, two bytes each, by a place known beforehand.
     """
     spark = docs.sparkSession
+    common.small_batches(spark)
     docs = docs.select("doc_id", "text")
     size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     n = common.partitions_for(spark, size, shard_bytes)
@@ -204,6 +205,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID,
             shard = np.searchsorted(edges, ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64))
             shard[ids.is_null().to_numpy(zero_copy_only=False)] = 0
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), ids, pa.array([out[i:j] for i, j in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], ["shard", "doc_id", "ids"])
+        table.clear()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = np.uint32 if wide else np.uint16
