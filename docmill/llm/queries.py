@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docmill.llm import quality_rules
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,9 +29,40 @@ def op2_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op5_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docmill.llm import pivot_topk
+
+    return pivot_topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op7_certified_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("failed")
+
+
+def op10_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docmill.llm import interleave
+
+    return interleave.shards(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wavelet_tokens": op1_wavelet_tokens,
     "op2_pivotal_mixing": op2_pivotal_mixing,
+    "op5_pivot_topk": op5_pivot_topk,
+    "op7_certified_rules": op7_certified_rules,
+    "op10_interleaved_shards": op10_interleaved_shards,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP5 = """
+WITH ok AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM ok q JOIN ok c
+  ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_pivot_topk": _OP5,
+    "op7_certified_rules": quality_rules.oracle(),
+}
