@@ -29,6 +29,12 @@ def op2_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op3_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docmill.llm import gam
+
+    return gam.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docmill.llm import pivot_topk
 
@@ -48,6 +54,7 @@ def op10_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wavelet_tokens": op1_wavelet_tokens,
     "op2_pivotal_mixing": op2_pivotal_mixing,
+    "op3_gam_quality": op3_gam_quality,
     "op5_pivot_topk": op5_pivot_topk,
     "op7_certified_rules": op7_certified_rules,
     "op10_interleaved_shards": op10_interleaved_shards,
