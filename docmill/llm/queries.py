@@ -35,6 +35,14 @@ def op3_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docmill.llm import common, warc
+
+    path = common.fresh_path(spark, "op4")
+    warc.write(_table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).drop("url")
+
+
 def op5_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docmill.llm import pivot_topk
 
@@ -45,6 +53,14 @@ def op7_certified_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("failed")
 
 
+def op9_hof_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from docmill.llm import hof_bpe
+
+    return hof_bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def op10_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docmill.llm import interleave
 
@@ -55,8 +71,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wavelet_tokens": op1_wavelet_tokens,
     "op2_pivotal_mixing": op2_pivotal_mixing,
     "op3_gam_quality": op3_gam_quality,
+    "op4_warc_chain": op4_warc_chain,
     "op5_pivot_topk": op5_pivot_topk,
     "op7_certified_rules": op7_certified_rules,
+    "op9_hof_bpe": op9_hof_bpe,
     "op10_interleaved_shards": op10_interleaved_shards,
 }
 
@@ -69,7 +87,17 @@ r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score D
 SELECT * FROM r WHERE rank <= 10
 """
 
+_OP4 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
+  CASE WHEN n >= 100 AND first IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND first IS DISTINCT FROM page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.d = f.d AND n >= 100
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_warc_chain": _OP4,
     "op5_pivot_topk": _OP5,
     "op7_certified_rules": quality_rules.oracle(),
 }
