@@ -49,6 +49,12 @@ def op5_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_topk.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_weighted_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docmill.llm import weighted_minhash
+
+    return weighted_minhash.classes(_table(spark, sf_dir, "documents"))
+
+
 def op7_certified_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("failed")
 
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_gam_quality": op3_gam_quality,
     "op4_warc_chain": op4_warc_chain,
     "op5_pivot_topk": op5_pivot_topk,
+    "op6_weighted_near_dedup": op6_weighted_near_dedup,
     "op7_certified_rules": op7_certified_rules,
     "op9_hof_bpe": op9_hof_bpe,
     "op10_interleaved_shards": op10_interleaved_shards,
