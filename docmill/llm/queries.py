@@ -59,6 +59,14 @@ def op7_certified_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("failed")
 
 
+def op8_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from docmill.llm import trie_counts
+
+    return trie_counts.counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_hof_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -81,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pivot_topk": op5_pivot_topk,
     "op6_weighted_near_dedup": op6_weighted_near_dedup,
     "op7_certified_rules": op7_certified_rules,
+    "op8_trie_counts": op8_trie_counts,
     "op9_hof_bpe": op9_hof_bpe,
     "op10_interleaved_shards": op10_interleaved_shards,
 }
