@@ -1 +1,4 @@
-"""Plans of the engine."""
+"""Queries over the tables: importing this package registers them."""
+
+from docmill.plans import analytics  # noqa: F401
+from docmill.plans.registry import ORACLE, QUERIES  # noqa: F401
