@@ -1,4 +1,4 @@
 """Queries over the tables: importing this package registers them."""
 
-from docmill.plans import analytics, entities, graphs, scalars, search  # noqa: F401
+from docmill.plans import analytics, entities, graphs, pipes, scalars, search  # noqa: F401
 from docmill.plans.registry import ORACLE, QUERIES  # noqa: F401
