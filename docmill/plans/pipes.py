@@ -58,9 +58,10 @@ def _(t):
     return t.pages.where(F.col("url").rlike("a")).groupBy(T.domain(F.col("url")).alias("domain")).agg(F.count("*").alias("n"))
 
 
-@query("src_cdx_batches", "SELECT s::DATE AS range_start, least(s + INTERVAL 7 DAY, DATE '2024-02-01')::DATE AS range_end FROM (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 7 DAY)) AS s)")
+@query("src_cdx_batches", "SELECT s::DATE::VARCHAR AS range_start, least(s + INTERVAL 7 DAY, DATE '2024-02-01')::DATE::VARCHAR AS range_end FROM (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 7 DAY)) AS s)")
 def _(t):
-    return readers.date_ranges(t.spark, "2024-01-01", "2024-02-01", 7)
+    d = readers.date_ranges(t.spark, "2024-01-01", "2024-02-01", 7)
+    return d.select(*(F.col(c).cast("string").alias(c) for c in d.columns))
 
 
 @query("src_ingest_adapters")

@@ -37,7 +37,7 @@ for _name, _col, _sql in (
     ("fn_snippet", lambda: T.snippet(F.col("text"), F.lit("and")), "CASE WHEN greatest(position('and' IN lower(text)) - 51, 0) > 0 THEN '...' ELSE '' END || substr(text, greatest(position('and' IN lower(text)) - 51, 0) + 1, 200) || CASE WHEN greatest(position('and' IN lower(text)) - 51, 0) + 200 < length(text) THEN '...' ELSE '' END"),
     ("fn_error_norm", lambda: T.error_norm(F.concat(F.lit("Error '"), F.col("doc_id"), F.lit("'  at "), F.col("source"))), "'Error N at ' || regexp_replace(source, '[0-9]+', 'N', 'g')"),
     ("fn_error_category", lambda: T.error_category(F.col("title")), "CASE WHEN regexp_matches(lower(title), 'timeout|timed out') THEN 'timeout' WHEN regexp_matches(lower(title), 'network|econn|socket|dns') THEN 'network' WHEN regexp_matches(lower(title), 'assert|expect') THEN 'assertion' WHEN regexp_matches(lower(title), 'mongo|sql|database|query') THEN 'database' WHEN regexp_matches(lower(title), 'unauthori|forbidden|401|403') THEN 'auth' WHEN regexp_matches(lower(title), 'syntax|unexpected token|parse') THEN 'syntax' ELSE 'unknown' END"),
-    ("fn_date_parse", lambda: T.parse_date(F.concat((F.col("doc_id") % 28 + 1).cast("string"), F.lit(" maart 2021"))), "make_date(2021, 3, (doc_id % 28 + 1)::INT)"),
+    ("fn_date_parse", lambda: T.parse_date(F.concat((F.col("doc_id") % 28 + 1).cast("string"), F.lit(" maart 2021"))).cast("string"), "make_date(2021, 3, (doc_id % 28 + 1)::INT)::VARCHAR"),
     ("fn_municipality", lambda: T.municipality(F.concat(F.lit(" Gemeente  's-"), F.col("source"))), "'s ' || lower(source)"),
     ("fn_token_est", lambda: T.token_estimate(F.col("text")), "ceil(length(text) * 0.25)::BIGINT"),
     ("tx_preprocess", lambda: T.preprocess(F.col("text")), _TRIM.format(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(\d),(\d)', '\1.\2', 'g'), '[“”„]', chr(34), 'g'), '[‘’]', '''', 'g'), '\.{2,}', '.', 'g'), '\s+', ' ', 'g')")),
