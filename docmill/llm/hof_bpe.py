@@ -121,7 +121,8 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
         key = piece.hex().upper()
         rows[zlib.crc32(key.encode()) % _BUCKETS].append(f"{key}={rank},")
     literal = "|".join("".join(r) for r in rows)  # a constant: split once, when the plan is made
-    return words.withColumn("ids", F.expr(fold("word", f"split('{literal}', '[|]')")))
+    # bound to one lambda variable, so that the plan holds (and prints) the literal once
+    return words.withColumn("ids", F.expr(f"transform(array(split('{literal}', '[|]')), ranks -> {fold('word', 'ranks')})[0]"))
 
 
 def dictionary(docs: DataFrame, ranks: dict[bytes, int], most: int = DICTIONARY_WORDS) -> list[np.ndarray]:
