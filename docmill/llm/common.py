@@ -80,6 +80,19 @@ def ordered(df: DataFrame, by: list[Column], parts: int, name: str, drop: list[s
     return written(put, name, drop=drop)
 
 
+def trim() -> None:
+    """Returns a worker's freed memory to the system: workers are reused, and what one task freed would count against the next."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def partitions_for(spark: SparkSession, units: float, each: float, least: int = 1) -> int:
     """How many partitions hold ``each`` of ``units``; at least as many as there are cores, or ``least``."""
     return max(least, spark.sparkContext.defaultParallelism, int(units // each) + 1)

@@ -6,11 +6,11 @@ of documents, and idf is cut off at that share, the same at every size. The lift
 large group of copies don't lose their weight merely because the group is large.
 
 Candidates. Each text gets 64 ICWS samples, in 16 bands of 4: texts with a weighted Jaccard similarity of 0.8 share a band with
-a probability of 0.9998. First each member of a band's bucket is verified against the bucket's least text only, a star, which
-settles the usual group of copies with one comparison a member. Where members of one bucket then still belong to different
-components, all of these are compared by their samples, in blocks of bounded size, and pairs that may reach the threshold (five
-standard deviations below it at worst) are verified too. So no pair is left out for sharing a bucket with a stranger, and no
-bucket's pairs are emitted.
+a probability of 0.9998. First each member of a band's bucket is verified against the bucket's most central text only, a star,
+which settles the usual group of copies with one comparison a member. Where members of one bucket then still belong to different
+components, these are compared in blocks of bounded size: pairs whose samples may reach the threshold (four standard deviations
+below it at worst) are verified within the block, until their components are joined. So no pair is left out for sharing a bucket
+with a stranger, and only links are emitted.
 
 Verification is the exact weighted Jaccard similarity of the whole texts. Classes are connected components.
 
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -81,9 +82,7 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
                 row += np.bincount(c, minlength=CELLS)
             n += len(np.unique(of))
         if n:
-            import os
-
-            branch = int.from_bytes(os.urandom(2), "little") % 256  # any branch gives the same sums
+            branch = TaskContext.get().partitionId() % 256  # the same again if the task is run again
             flat = sketch.reshape(-1, _SLICE)
             yield pa.RecordBatch.from_pydict({"slice": [*range(len(flat)), -1], "branch": [branch] * (len(flat) + 1), "counts": [*(zlib.compress(r.astype("<i8").tobytes(), 1) for r in flat), zlib.compress(np.array([n], "<i8").tobytes())]}, schema=schema)
 
@@ -185,29 +184,56 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> Data
                 sim.append(similarity(known(x.column(2)[i].as_py()), last[1]))
             keep = np.array(sim) >= threshold - 1e-9
             yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)[keep]), pa.array(np.array(b, np.int64)[keep]), pa.array(np.array(sim)[keep])], ["a", "b", "similarity"])
+        common.trim()
 
     return rows.mapInArrow(run, "a long, b long, similarity double")
 
 
-def _between(sig_least: int):
-    """Pairs of a bucket's block whose components differ and whose samples agree often enough."""
+def _between(sig_least: int, idf, threshold: float):
+    """Verified pairs of a bucket's block whose components differ. A pair is looked at in the first band that it shares, and
+    only if its samples agree often enough; once two components are joined, no more of their pairs are looked at."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.drop_duplicates(["node", "odd"])
-        mat = lambda g: np.frombuffer(b"".join(g["sig"]), np.uint32).reshape(len(g), -1)
+        f = f.drop_duplicates(["node", "odd"]).sort_values("node")
+        bh, table = f["bh"].iloc[0], idf.value
         odd, other = f[f["odd"]], f[~f["odd"]]
-        x, y, lx, ly, nx, ny = mat(odd), mat(other), odd["label"].to_numpy(), other["label"].to_numpy(), odd["node"].to_numpy(), other["node"].to_numpy()
-        found = []
-        for i in range(len(odd)):
-            same = (y == x[i]).sum(1)
-            for j in np.flatnonzero((same >= sig_least) & (ly != lx[i])):
-                found.append((min(nx[i], ny[j]), max(nx[i], ny[j])))
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64").drop_duplicates()
+        mat = lambda g: np.frombuffer(b"".join(g["sig"]), np.uint32).reshape(len(g), -1)
+        nx, ny, tx, ty = odd["node"].to_numpy(), other["node"].to_numpy(), odd["text"].to_numpy(), other["text"].to_numpy()
+        found, root, sets = [], {}, {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x] = root.get(root[x], root[x])
+            return x
+
+        def known(node: int, text: str) -> tuple[np.ndarray, np.ndarray]:
+            if node not in sets:
+                _, key, tf = shingles(*common.text_buffers(pa.array([text], pa.string())))
+                sets[node] = key, weights(key, tf, table)
+            return sets[node]
+
+        if len(odd) and len(other):
+            x, y, lx, ly = mat(odd), mat(other), odd["label"].to_numpy(), other["label"].to_numpy()
+            bx, by = band_hashes(x), band_hashes(y)
+            here = int(np.flatnonzero(bx[0] == bh)[0])
+            for i in range(len(odd)):
+                same = (y == x[i]).sum(1)
+                at = np.flatnonzero((same >= sig_least) & (ly != lx[i]) & ((by == bx[i]).argmax(1) == here))
+                for j in at[np.argsort(-same[at], kind="stable")].tolist():
+                    p, q = find(lx[i]), find(ly[j])
+                    if p != q and (sim := similarity(known(nx[i], tx[i]), known(ny[j], ty[j]))) >= threshold - 1e-9:
+                        root[max(p, q)] = min(p, q)
+                        found.append((nx[i], ny[j], sim))
+                sets.pop(nx[i], None)
+        if len(f) > 200:
+            sets.clear()
+            common.trim()
+        return pd.DataFrame(found, columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
 
     return run
 
 
-def links(docs: DataFrame, threshold: float = THRESHOLD, block: int = 512, members: int = 32_768) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, threshold: float = THRESHOLD, block: int = 256, members: int = 2048) -> tuple[DataFrame, DataFrame]:
     """(rows (doc_id, node or null), edges (a, b, similarity)): nodes are distinct texts, edges verified pairs that span the classes."""
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -226,12 +252,17 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, block: int = 512, membe
                 [x.column(0), node, pa.array([bands[i].tolist() if i >= 0 else None for i in at], pa.list_(pa.int64())), pa.array([sig[i].tobytes() if i >= 0 else None for i in at], pa.binary())],
                 ["doc_id", "node", "bands", "sig"],
             )
+        common.trim()
 
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
     rows = common.written(keyed.mapInArrow(sign, "doc_id long, node long, bands array<long>, sig binary"), "nd-rows")
     placed = common.written(rows.where("node is not null").select(F.explode("bands").alias("bh"), "node").distinct(), "nd-bands")
-    buckets = common.written(placed.groupBy("bh").agg(F.min("node").alias("rep"), F.count("*").alias("c")).where("c > 1").select("bh", "rep"), "nd-buckets")
+    buckets = common.written(placed.groupBy("bh").agg(F.count("*").alias("c")).where("c > 1"), "nd-buckets")
     inside = common.written(placed.join(buckets, "bh"), "nd-members")
+    # a bucket's centre is the member that meets most others over all bands: the text that copies were made from, if it is there
+    central = inside.groupBy("node").agg(F.sum("c").alias("meets"))
+    reps = inside.join(central, "node").groupBy("bh").agg(F.max(F.struct("meets", "node")).alias("r")).select("bh", F.col("r.node").alias("rep"))
+    inside = common.written(inside.select("bh", "node").join(common.written(reps, "nd-reps"), "bh"), "nd-centred")
     star = common.written(inside.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct(), "nd-star")
 
     # the text of each node that may be compared, taken from the row with its least doc_id
@@ -246,7 +277,7 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, block: int = 512, membe
     label = components.components(first)
     seen = inside.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     seen = common.written(seen.select("bh", "node", "rep", "label"), "nd-labelled")
-    # "odd" are the members outside the component of the bucket's least text
+    # "odd" are the members outside the component of the bucket's centre
     main = seen.where("node = rep").select("bh", F.col("label").alias("main"))
     odd = seen.join(main, "bh").withColumn("odd", F.col("label") != F.col("main"))
     odd = common.written(odd.select("bh", "node", "label", "odd"), "nd-odd")
@@ -254,14 +285,13 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, block: int = 512, membe
     mixed = common.written(mixed.select("bh", F.floor(F.col("n_odd") / block).cast("int").alias("ob"), F.floor(F.col("n_all") / members).cast("int").alias("mb")), "nd-mixed")
     some = odd.join(mixed, "bh")
     sigs = rows.where("node is not null").join(some.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("sig").alias("sig"))
-    some = some.join(sigs, "node")
+    some = some.join(sigs, "node").join(texts, "node")
     hash_to = lambda k: F.pmod(F.xxhash64("node"), F.col(k) + 1).cast("int")
     asks = some.where("odd").withColumn("i", hash_to("ob")).withColumn("j", F.explode(F.sequence(F.lit(0), "mb")))
     gives = some.withColumn("odd", F.lit(False)).withColumn("j", hash_to("mb")).withColumn("i", F.explode(F.sequence(F.lit(0), "ob")))
-    least = int(BANDS * ROWS * threshold - 5 * (BANDS * ROWS * threshold * (1 - threshold)) ** 0.5)
-    more = asks.unionByName(gives).groupBy("bh", "i", "j").applyInPandas(_between(least), "a long, b long").distinct()
-    more = more.join(star.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")), ["a", "b"], "left_anti")
-    second = common.written(_verified(common.written(more, "nd-more"), texts, idf, threshold), "nd-edges")
+    least = int(BANDS * ROWS * threshold - 4 * (BANDS * ROWS * threshold * (1 - threshold)) ** 0.5)
+    blocks = asks.unionByName(gives).groupBy("bh", "i", "j")
+    second = common.written(blocks.applyInPandas(_between(least, idf, threshold), "a long, b long, similarity double"), "nd-edges")
     return rows.select("doc_id", "node"), first.unionByName(second)
 
 
