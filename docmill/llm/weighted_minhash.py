@@ -269,7 +269,8 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, block: int = 256, membe
     ids = inside.select("node").distinct()
     at = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("_d"))
     wanted = common.written(at.join(ids, "node", "left_semi").select(F.col("node").alias("_n"), "_d"), "nd-wanted")
-    picked = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")))
+    # merged at every size: the list of nodes has no proven bound, so it isn't left to be broadcast while it is small
+    picked = docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")))
     picked = picked.where(F.xxhash64("text") == F.col("_n")).select(F.col("_n").alias("node"), "text").dropDuplicates(["node"])
     texts = common.written(picked, "nd-texts")
 
