@@ -79,7 +79,7 @@ def _(t):
     return G.k_hop(_edges(t), _start(t, 7), 60).select("id", "hops")
 
 
-@query("gr_subgraph", f"SELECT src, dst, w FROM {EDGES} WHERE src <= 900 AND dst <= 900")
+@query("gr_subgraph", f"SELECT src, dst, w FROM {EDGES} WHERE src <= 900 AND dst IN (SELECT p_partkey FROM part WHERE p_partkey <= 900)")
 def _(t):
     return G.subgraph(_edges(t), t.part.where("p_partkey <= 900").select(F.col("p_partkey").alias("id")))
 
