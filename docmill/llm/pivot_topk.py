@@ -90,7 +90,8 @@ def eliminate(qid: np.ndarray, q: np.ndarray, qp: np.ndarray, xid: np.ndarray, x
         whole = head == len(bound)
         while start < left:
             if start >= head and not whole:
-                ranked, whole = np.argsort(-bound, kind="stable"), True
+                rest = ranked[head:]  # the head keeps its places, so that each candidate is met once, equal bounds or not
+                ranked[head:], whole = rest[np.argsort(-bound[rest], kind="stable")], True
             if len(best_s) == k and bound[ranked[start]] < best_s[-1]:
                 break
             at = ranked[start : min(start + step, left, len(ranked) if whole else head)]

@@ -257,6 +257,18 @@ def test_elimination_saves():
     assert len(found) == 200 and made < 20 * len(x) * 0.5
 
 
+def test_elimination_ties():
+    """More equal vectors in one cell than the head of the order holds: each is met once, and the least ids win."""
+    rng = np.random.default_rng(2)
+    x = np.floor(rng.normal(0, 100, (6000, 4)))
+    ids = rng.permutation(len(x))
+    x[ids < 3000] = 400  # the best score, shared by the ids below 3000
+    q = np.array([[500.0] * 4])
+    for p in (x[-8:], x[:1] * 0 + 400):
+        found, made = pivot_topk.eliminate(np.array([-1]), q, pivot_topk._distances(q, p), ids, x, pivot_topk._distances(x, p), 10)
+        assert found == [(-1, i, 800_000) for i in range(10)] and made <= len(x)
+
+
 # 6
 def test_op6(spark, docs):
     rows = docs.collect()
