@@ -119,6 +119,14 @@ def _(t):
     return G.k_core(t.lineitem.select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 100000).alias("dst")), 3)
 
 
+@query("gr_kcore_all")
+def _(t):
+    # k is the mean number of a part's suppliers, rounded up, so that nodes are peeled at any size
+    e = t.lineitem.select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 100000).alias("dst")).distinct()
+    k = e.agg(F.ceil(F.try_divide(F.count("*"), F.count_distinct("src"))).alias("k")).first()["k"]
+    return G.k_core(e, k or 1)
+
+
 @query("gr_lpa")
 def _(t):
     return G.label_propagation(_edges(t))
