@@ -49,12 +49,14 @@ def field_similarity(sims: dict[str, Column]) -> Column:
 
 
 def hungarian(weight: np.ndarray) -> list[tuple[int, int]]:
-    """A matching of greatest total weight: shortest augmenting paths with potentials, over a padded square."""
-    n = max(weight.shape)
-    cost = np.zeros((n + 1, n + 1))
-    cost[1 : weight.shape[0] + 1, 1 : weight.shape[1] + 1] = -weight
-    u, v, match = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1, int)
-    for row in range(1, n + 1):
+    """A matching of greatest total weight: shortest augmenting paths with potentials, one for each row of the shorter side."""
+    if weight.shape[0] > weight.shape[1]:
+        return [(i, j) for j, i in hungarian(weight.T)]
+    m, n = weight.shape
+    cost = np.zeros((m + 1, n + 1))
+    cost[1:, 1:] = -weight
+    u, v, match = np.zeros(m + 1), np.zeros(n + 1), np.zeros(n + 1, int)
+    for row in range(1, m + 1):
         match[0], col, low, used, back = row, 0, np.full(n + 1, np.inf), np.zeros(n + 1, bool), np.zeros(n + 1, int)
         while True:
             used[col] = True
@@ -74,7 +76,7 @@ def hungarian(weight: np.ndarray) -> list[tuple[int, int]]:
                 break
         while col:
             match[col], col = match[back[col]], back[col]
-    return [(int(match[c]) - 1, c - 1) for c in range(1, n + 1) if match[c] - 1 < weight.shape[0] and c - 1 < weight.shape[1] and weight[match[c] - 1, c - 1] > 0]
+    return [(int(match[c]) - 1, c - 1) for c in range(1, n + 1) if match[c] and weight[match[c] - 1, c - 1] > 0]
 
 
 def matching(pairs: DataFrame, block: str) -> DataFrame:

@@ -43,7 +43,7 @@ def _(t):
 
 @query("er_matching")
 def _(t):
-    p = t.lineitem.where("l_orderkey % 50 = 0").groupBy((F.col("l_orderkey") % 7).alias("blk"), F.col("l_suppkey").alias("a"), F.col("l_linenumber").cast("long").alias("b")).agg(F.sum("l_quantity").alias("weight"))
+    p = t.lineitem.groupBy(F.col("l_partkey").alias("blk"), F.col("l_suppkey").alias("a"), F.col("l_linenumber").cast("long").alias("b")).agg(F.sum("l_quantity").alias("weight"))
     return rounded(E.matching(p, "blk"))
 
 

@@ -19,3 +19,27 @@ def test_kcore_all(spark):
         left -= low
     got = [r["id"] for r in plans.QUERIES["gr_kcore_all"](spark, SMALL).collect()]
     assert sorted(got) == sorted(left) and 0 < len(left) < len(nodes)
+
+
+def test_matching_all(spark):
+    """Each part's greatest total, by trying every set of line numbers for one supplier after another."""
+    weight = defaultdict(lambda: defaultdict(lambda: defaultdict(float)))
+    for r in spark.read.parquet(f"{SMALL}/lineitem.parquet").select("l_partkey", "l_suppkey", "l_linenumber", "l_quantity").collect():
+        weight[r["l_partkey"]][r["l_suppkey"]][r["l_linenumber"]] += r["l_quantity"]
+    got, seen = defaultdict(float), set()
+    for r in plans.QUERIES["er_matching"](spark, SMALL).collect():
+        assert r["weight"] == weight[r["blk"]][r["a"]][r["b"]] > 0
+        for side in ("a", "b"):
+            assert (r["blk"], side, r[side]) not in seen
+            seen.add((r["blk"], side, r[side]))
+        got[r["blk"]] += r["weight"]
+    want = {}
+    for part, rows in weight.items():
+        best = {0: 0.0}
+        for lines in rows.values():
+            for used, total in list(best.items()):
+                for line, w in lines.items():
+                    if not used >> line & 1:
+                        best[used | 1 << line] = max(best.get(used | 1 << line, 0.0), total + w)
+        want[part] = max(best.values())
+    assert got == want
