@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -48,6 +50,42 @@ def vector_top(df: DataFrame, key: str, vector: str, query: list[float], k: int,
     return (s if least is None else s.where(F.col("score") >= least)).orderBy(F.desc("score"), key).limit(k)
 
 
+def nearest(df: DataFrame, key: str, vector: str, block: str, k: int, least: float, cell_rows: int = 4096) -> DataFrame:
+    """(a, b, s): the k nearest other rows of each row by cosine to 9 places, at ``least`` (above 0) or more, within its block; ties go to
+    the smaller key. Rows meet in cells of about ``cell_rows`` by ``cell_rows``, so a task is bounded however large a block is. Vectors with
+    null or non-finite components, without a length or without a block take no part."""
+    x = F.col(vector).cast("array<double>")
+    rows = df.select(F.col(key).alias("id"), F.col(block).alias("block"), x.alias("v"), F.size(vector).alias("dim"))
+    rows = rows.where("id IS NOT NULL AND block IS NOT NULL AND dim > 0").where(F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))))
+    groups = rows.groupBy("block", "dim").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("g"))
+    rows = rows.join(groups, ["block", "dim"]).withColumn("own", F.pmod(F.xxhash64("id"), "g").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
+    asks = rows.select("block", "dim", F.col("own").alias("qg"), every.alias("xg"), "id", "v", F.lit(True).alias("ask"))
+    gives = rows.select("block", "dim", every.alias("qg"), F.col("own").alias("xg"), "id", "v", F.lit(False).alias("ask"))
+
+    def cell(f: pd.DataFrame) -> pd.DataFrame:
+        q, c = f[f["ask"]], f[~f["ask"]].sort_values("id")
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if len(q) and len(c):
+            y, ids = np.stack(c["v"].to_list()), c["id"].to_numpy()
+            long = np.linalg.norm(y, axis=1)
+            for i in range(0, len(q), 256):
+                z, own = np.stack(q["v"].iloc[i : i + 256].to_list()), q["id"].to_numpy()[i : i + 256]
+                norms = np.linalg.norm(z, axis=1)[:, None] * long[None, :]
+                s = np.round(np.divide(z @ y.T, norms, out=np.zeros_like(norms), where=norms > 0), 9)
+                s[(own[:, None] == ids[None, :]) | (s < least)] = -np.inf
+                low = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+                for j in range(len(s)):
+                    at = np.flatnonzero((s[j] >= low[j]) & (s[j] > -np.inf))  # all ties of the last place, by key
+                    at = at[np.argsort(-s[j, at], kind="stable")[:k]]
+                    out.append((np.full(len(at), own[j]), ids[at], s[j, at]))
+        return pd.DataFrame(dict(zip("abs", map(np.concatenate, zip(*out, strict=True)), strict=True)) if out else {"a": [], "b": [], "s": []})
+
+    kind = dict(df.dtypes)[key]
+    part = asks.unionByName(gives).groupBy("block", "dim", "qg", "xg").applyInPandas(cell, f"a {kind}, b {kind}, s double")
+    return A.top_n_per_group(part, "a", "s", "b", k).select("a", "b", "s")
+
+
 def lsh_buckets(df: DataFrame, key: str, vector: str, dim: int, tables: int = 5, bits: int = 10, seed: int = 7) -> DataFrame:
     """(key, table, bucket): sign bits of seeded random hyperplanes."""
     import random

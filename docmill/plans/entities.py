@@ -9,6 +9,7 @@ from docmill.operators import analytics as A
 from docmill.operators import chunking as C
 from docmill.operators import entities as E
 from docmill.operators import graph as G
+from docmill.operators import retrieval
 from docmill.plans.analytics import R, rounded
 from docmill.plans.graphs import EDGES, _edges
 from docmill.plans.registry import query
@@ -408,6 +409,11 @@ def _(t):
     return A.top_n_per_group(s, "a", "s", "b", 5).select("a", "b")
 
 
+@query("lb_knn_all", "WITH s AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id) SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM s WHERE s >= 0.2) WHERE r <= 5")
+def _(t):
+    return retrieval.nearest(t.embeddings, "vec_id", "embedding", "label", 5, 0.2).select("a", "b")
+
+
 @query("lb_rules", "SELECT c_custkey AS src, n_nationkey AS dst, 'LOCATED_IN' AS type FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT n_nationkey, n_regionkey, 'PART_OF' FROM nation")
 def _(t):
     a = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("src"), F.col("n_nationkey").alias("dst"), F.lit("LOCATED_IN").alias("type"))

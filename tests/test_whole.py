@@ -2,7 +2,11 @@
 
 from collections import defaultdict
 
+import numpy as np
+import pytest
+
 from docmill import plans
+from docmill.operators import retrieval
 from tests.conftest import SMALL
 
 
@@ -43,3 +47,22 @@ def test_matching_all(spark):
                         best[used | 1 << line] = max(best.get(used | 1 << line, 0.0), total + w)
         want[part] = max(best.values())
     assert got == want
+
+
+def test_nearest(spark):
+    """Several cells, equal vectors, zeros, lengths and blocks, against all pairs."""
+    rng = np.random.default_rng(4)
+    rows = [(int(i), [float(x) for x in rng.normal(0, 1, 4)], int(i) % 3) for i in range(300)]
+    rows += [(400 + i, [1.0, 2.0, 3.0, 4.0], 0) for i in range(60)]
+    rows += [(500, [0.0] * 4, 0), (501, [1.0, 2.0], 0), (502, [2.0, 4.0], 0), (503, None, 0), (504, [1.0, None, 1.0, 1.0], 0), (505, [1.0] * 4, None)]
+    ok = [(i, np.array(v), b) for i, v, b in rows if b is not None and v and None not in v]
+    want = set()
+    for i, v, b in ok:
+        near = [(-round(float(v @ w / np.linalg.norm(v) / np.linalg.norm(w)), 9), j) for j, w, c in ok if j != i and c == b and len(w) == len(v) and w.any() and v.any()]
+        want |= {(i, j) for s, j in sorted(near)[:5] if -s >= 0.2}
+    d = spark.createDataFrame(rows, "id long, v array<double>, b long")
+    got = [(r["a"], r["b"]) for r in retrieval.nearest(d, "id", "v", "b", 5, 0.2, cell_rows=40).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    every = {r["vec_id"] for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").select("vec_id").collect()}
+    linked = {r["a"] for r in plans.QUERIES["lb_knn_all"](spark, SMALL).collect()}
+    assert linked <= every and len(linked) > 50
