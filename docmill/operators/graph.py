@@ -189,7 +189,8 @@ def betweenness(edges: DataFrame, sources: DataFrame, most_edges: int = 5_000_00
             yield pd.DataFrame({"id": list(total), "score": list(total.values())}).astype({"score": float})
 
     kind = dict(edges.dtypes)["src"]
-    return sources.select("id").mapInPandas(run, f"id {kind}, score double").groupBy("id").agg(F.sum("score").alias("score"))
+    # a walk takes long beside its row, so sources are dealt out, few to a task
+    return sources.select("id").repartition(4 * edges.sparkSession.sparkContext.defaultParallelism, "id").mapInPandas(run, f"id {kind}, score double").groupBy("id").agg(F.sum("score").alias("score"))
 
 
 def _louvain(f: pd.DataFrame) -> pd.DataFrame:

@@ -164,7 +164,7 @@ def _(t):
 
 @query("gr_betweenness")
 def _(t):
-    return rounded(G.betweenness(_edges(t), G.nodes_of(_edges(t)).where("id <= 100")))
+    return rounded(G.betweenness(_edges(t), G.nodes_of(_edges(t))))
 
 
 @query("gr_degree", f"WITH e AS (SELECT * FROM {EDGES}) SELECT id, sum(i)::BIGINT AS ins, sum(o)::BIGINT AS outs FROM (SELECT src AS id, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY id")
@@ -214,6 +214,12 @@ def _(t):
     return G.k_hop(up, up.where("src BETWEEN 1001 AND 1020").select(F.col("src").alias("id")), 10).select("start", "id")
 
 
+@query("gr_jurisdiction_all", f"WITH RECURSIVE e AS (SELECT * FROM {TREE}), r AS (SELECT x AS start, x AS id FROM (SELECT child AS x FROM e UNION SELECT parent FROM e) UNION SELECT start, parent FROM r JOIN e ON child = id) SELECT start, id FROM r")
+def _(t):
+    up = _tree(t).select(F.col("child").alias("src"), F.col("parent").alias("dst"))
+    return G.k_hop(up, G.nodes_of(up), 10).select("start", "id")
+
+
 @query("gr_inf_transitive", f"WITH e AS (SELECT src, dst FROM {EDGES}) SELECT DISTINCT a.src, b.dst, 0.72::DOUBLE AS confidence FROM e a JOIN e b ON a.dst = b.src WHERE a.src <> b.dst AND NOT EXISTS (SELECT 1 FROM e x WHERE x.src = a.src AND x.dst = b.dst)")
 def _(t):
     return rounded(G.transitive(_edges(t)))
@@ -242,6 +248,12 @@ def _(t):
     return rounded(G.impact(e, e.where("dst <= 60").select(F.col("dst").alias("id")).distinct(), 3))
 
 
+@query("gr_impact_all", f"WITH RECURSIVE e AS (SELECT * FROM {EDGES}), r AS (SELECT x AS start, x AS id, 0 AS h FROM (SELECT DISTINCT dst AS x FROM e) UNION SELECT start, src, h + 1 FROM r JOIN e ON id = dst WHERE h < 3), m AS (SELECT start, id, min(h) AS h FROM r GROUP BY ALL) SELECT start, count(*) AS affected, round(least(1, sum(0.5::DOUBLE ^ (h - 1)) / count(*)), 6) AS impact FROM m WHERE h > 0 GROUP BY start")
+def _(t):
+    e = _edges(t)
+    return rounded(G.impact(e, e.select(F.col("dst").alias("id")).distinct(), 3))
+
+
 _HREF = r"(SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*href=[" + '"' + r"'']([^" + '"' + r"'']+)[" + '"' + r"'']', 1)) AS href FROM pages)"
 
 

@@ -66,3 +66,41 @@ def test_nearest(spark):
     every = {r["vec_id"] for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").select("vec_id").collect()}
     linked = {r["a"] for r in plans.QUERIES["lb_knn_all"](spark, SMALL).collect()}
     assert linked <= every and len(linked) > 50
+
+
+def test_betweenness_all(spark):
+    """The sum over all pairs of the share of their shortest paths through a node."""
+    near = defaultdict(set)
+    for r in spark.read.parquet(f"{SMALL}/part.parquet").where("p_size <= 20").collect():
+        a, b = r["p_partkey"], (r["p_partkey"] * 37 + r["p_size"]) % 1999 + 1
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    walk = {}
+    for s in near:
+        dist, paths, front = {s: 0}, {s: 1}, [s]
+        while front:
+            nxt = []
+            for v in front:
+                for u in near[v]:
+                    if u not in dist:
+                        dist[u], paths[u] = dist[v] + 1, 0
+                        nxt.append(u)
+                    if dist[u] == dist[v] + 1:
+                        paths[u] += paths[v]
+            front = nxt
+        walk[s] = dist, paths
+    want = defaultdict(float)
+    for s, (dist, paths) in walk.items():
+        for t in dist:
+            for v in dist:
+                if v not in (s, t) and t != s and dist[v] + walk[v][0][t] == dist[t]:
+                    want[v] += paths[v] * walk[v][1][t] / paths[t]
+    got = {r["id"]: r["score"] for r in plans.QUERIES["gr_betweenness"](spark, SMALL).collect()}
+    assert {v: s for v, s in got.items() if s} == {v: pytest.approx(s, abs=1e-5) for v, s in want.items() if s}
+
+
+def test_starts_all(spark):
+    tree = plans.QUERIES["gr_jurisdiction_all"](spark, SMALL)
+    assert tree.select("start").distinct().count() == sum(spark.read.parquet(f"{SMALL}/{x}.parquet").count() for x in ("region", "nation", "customer"))
+    assert plans.QUERIES["gr_impact_all"](spark, SMALL).where("start > 60").count() > 0
