@@ -34,10 +34,19 @@ def _(t):
     return readers.find(t.orders, {"o_orderdate": (day("1995-01-01"), day("1995-02-01"))}).select("o_orderkey")
 
 
+def _lines_of(t, orders):
+    l = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity")
+    return readers.with_extensions(orders.select("o_orderkey"), "o_orderkey", {"lines": l}).select("o_orderkey", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n"))
+
+
 @query("src_with_ext", "SELECT o_orderkey, count(l_linenumber) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey < 500 GROUP BY o_orderkey")
 def _(t):
-    l = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity")
-    return readers.with_extensions(t.orders.where("o_orderkey < 500").select("o_orderkey"), "o_orderkey", {"lines": l}).select("o_orderkey", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n"))
+    return _lines_of(t, t.orders.where("o_orderkey < 500"))
+
+
+@query("src_with_ext_all", "SELECT o_orderkey, count(l_linenumber) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
+def _(t):
+    return _lines_of(t, t.orders)
 
 
 @query("src_sql", "SELECT lang, count(*) AS n FROM documents WHERE n_chars > 300 GROUP BY lang")

@@ -104,3 +104,8 @@ def test_starts_all(spark):
     tree = plans.QUERIES["gr_jurisdiction_all"](spark, SMALL)
     assert tree.select("start").distinct().count() == sum(spark.read.parquet(f"{SMALL}/{x}.parquet").count() for x in ("region", "nation", "customer"))
     assert plans.QUERIES["gr_impact_all"](spark, SMALL).where("start > 60").count() > 0
+
+
+def test_extensions_all(spark):
+    n = spark.read.parquet(f"{SMALL}/orders.parquet").count()
+    assert plans.QUERIES["src_with_ext_all"](spark, SMALL).count() == n > 500
