@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,10 +18,13 @@ SPACE = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which all executors share; where it is unset (tests), a temporary one is set."""
+    """The folder of ``spark.checkpoint.dir``, which all executors share. Where it is unset a local master (tests) gets a temporary
+    one; on a cluster that is an error, as no machine's own folder is shared."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("docmill.shared.dir", None)
     if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='docmill-')}"
         spark.conf.set("docmill.shared.dir", path)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -29,14 +33,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of a few MB, so that neither side holds more than that of long texts at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Arrow batches of a few MB, so that neither side holds more than that of long texts at once.
+
+    Plans read these settings when they run, after an operator has returned, so they stay set; a user's own values are left alone.
+    """
+    for key, spark_own, value in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", "67108864b", str(8 << 20))):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", spark_own) == spark_own:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
+
+
+_open: list[list[str]] = []
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/docmill/{name}-{uuid.uuid4().hex}"
+    """A path below the shared folder that no other run uses; ``scratch`` deletes it if it is open."""
+    path = f"{shared_dir(spark)}/docmill/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end every intermediate table made within: for work whose result has been written elsewhere by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        remove(spark, _open.pop())
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd", drop: list[str] | None = None) -> DataFrame:

@@ -19,9 +19,6 @@ WHITE_SPACE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
 SHORT = ("s", "t", "m", "d")
 LONG = ("re", "ve", "ll")
 
-_ODD = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INV = np.uint64(pow(int(_ODD), -1, 1 << 64))
-
 
 @lru_cache(1)
 def classes() -> np.ndarray:
@@ -47,31 +44,79 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Powers:
-    up = np.ones(1, np.uint64)
-    down = np.ones(1, np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _chunks(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the spans' runs of eight bytes as integers, zeros after a span's end; each run's place in its span; each span's first run)."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    at8 = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    n = np.maximum((size + 7) >> 3, 1)
+    head = np.cumsum(n) - n
+    k = np.arange(int(n.sum())) - np.repeat(head, n)
+    value = at8[np.repeat(starts, n) + (k << 3)]
+    bits = (np.minimum(np.repeat(size, n) - (k << 3), 8) << 3).astype(np.uint64)  # that belong to the span
+    value &= np.where(bits >= 64, ~np.uint64(0), (np.uint64(1) << np.minimum(bits, np.uint64(63))) - np.uint64(1))
+    return value, k, head
+
 
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            m = max(n, 1 << 16)
-            for name, base in (("up", _ODD), ("down", _INV)):
-                a = np.full(m, base, np.uint64)
-                a[0] = 1
-                setattr(cls, name, np.multiply.accumulate(a))
-        return cls.up[:n], cls.down[:n]
+def _hash(value: np.ndarray, k: np.ndarray, head: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return mix(np.add.reduceat(mix(value + (k.astype(np.uint64) + np.uint64(1)) * _STEP), head) + size.astype(np.uint64) * _STEP)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each data[start:end] (a polynomial with an odd random base, then mixed)."""
-    n = len(data)
+    """A 64-bit hash of each data[start:end]: its runs of eight bytes are each mixed with their place, then added.
+
+    A hash alone proves nothing: where identity matters, ``distinct`` and ``equal_spans`` compare the bytes.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _Powers.of(n + 1)
-    run = np.empty(n + 1, np.uint64)
-    run[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=run[1:])
-    return mix((run[ends] - run[starts]) * down[starts])
+    size = ends - starts
+    return _hash(*_chunks(data, starts, size), size)
+
+
+def equal_spans(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether a[at_a:at_a + size] and b[at_b:at_b + size] hold the same bytes, span by span."""
+    if not len(size):
+        return np.zeros(0, bool)
+    va, _, head = _chunks(a, at_a, size)
+    return np.logical_and.reduceat(va == _chunks(b, at_b, size)[0], head)
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the number of each span's distinct content, the first span of each number): equal numbers mean equal bytes.
+
+    Spans are grouped by hash, then each is compared with its group's first; what differs is grouped by its bytes.
+    """
+    import pandas as pd
+
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    size = ends - starts
+    value, k, head = _chunks(data, starts, size)
+    codes, uniq = pd.factorize(_hash(value, k, head, size))
+    codes = codes.astype(np.int64)
+    first = np.empty(len(uniq), np.int64)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    to = first[codes]
+    same = size == size[to]
+    if same.all():
+        n = np.diff(np.append(head, len(value)))
+        same &= np.logical_and.reduceat(value == value[np.arange(len(value)) + np.repeat(head[to] - head, n)], head)
+    else:
+        same[same] = equal_spans(data, starts[same], data, starts[to[same]], size[same])
+    odd = np.flatnonzero(~same)
+    if len(odd):
+        more: dict[bytes, int] = {}
+        extra = []
+        for i in odd.tolist():
+            w = data[starts[i] : ends[i]].tobytes()
+            if w not in more:
+                more[w] = len(first) + len(extra)
+                extra.append(i)
+            codes[i] = more[w]
+        first = np.concatenate([first, np.array(extra, np.int64)])
+    return codes, first
 
 
 def bpe_tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,51 +187,45 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 class WordTable:
-    """A growing map from a word's hash to a row of integers, held in flat arrays; cleared beyond ``limit`` words.
+    """A growing map from a word's bytes to a row of integers, held in flat arrays; cleared beyond ``limit`` words.
 
     ``encode`` gets the bytes of unknown distinct words and returns their rows. Clearing costs repeated work, never results.
     """
 
-    def __init__(self, encode, limit: int = 300_000):
+    def __init__(self, encode, limit: int = 200_000):
         self.encode, self.limit = encode, limit
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
+        self.row: dict[bytes, int] = {}
         self.start = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int32)
-        self.flat = np.zeros(0, np.uint16)
+        self.size = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
 
     def rows(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(flat integers, length of each word's row) for the words data[start:end], in order."""
-        import pandas as pd
-
         if not len(starts):
-            return np.zeros(0, np.uint16), np.zeros(0, np.int64)
-        codes, uniq = pd.factorize(span_hashes(data, starts, ends))
-        if len(self.keys) > self.limit:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        codes, first = distinct(data, starts, ends)
+        if len(self.row) > self.limit:
             self.clear()
-        at = np.searchsorted(self.keys, uniq)
-        known = np.zeros(len(uniq), bool)
-        inside = at < len(self.keys)
-        known[inside] = self.keys[at[inside]] == uniq[inside]
-        if not known.all():
-            new = np.flatnonzero(~known)
-            where = np.empty(len(uniq), np.int64)
-            where[codes[::-1]] = np.arange(len(codes))[::-1]  # a first occurrence of each
-            raw = data.tobytes()
-            done = [self.encode([raw[starts[i] : ends[i]] for i in where[new[k : k + 10_000]]]) for k in range(0, len(new), 10_000)]
+        raw = data.tobytes()
+        words = [raw[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        at = np.fromiter((self.row.get(w, -1) for w in words), np.int64, len(words))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh = [words[i] for i in new.tolist()]
+            done = [self.encode(fresh[k : k + 10_000]) for k in range(0, len(fresh), 10_000)]
             flat, size = (np.concatenate([x[j] for x in done]) for j in (0, 1))
-            order = np.argsort(uniq[new])
-            start = len(self.flat) + np.cumsum(size) - size
-            put = np.searchsorted(self.keys, uniq[new][order])
-            self.keys = np.insert(self.keys, put, uniq[new][order])
-            self.start = np.insert(self.start, put, start[order])
-            self.size = np.insert(self.size, put, size[order])
-            self.flat = np.concatenate([self.flat, flat.astype(np.uint16)])
-            at = np.searchsorted(self.keys, uniq)
-        size = self.size[at][codes].astype(np.int64)
-        begin = self.start[at][codes]
-        total = int(size.sum())
-        place = np.arange(total) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
-        return self.flat[place], size
+            at[new] = len(self.start) + np.arange(len(new))
+            self.row.update(zip(fresh, at[new].tolist(), strict=True))
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.flat = np.concatenate([self.flat, flat.astype(np.uint32)])
+        at = at[codes]
+        return take_rows(self.flat, self.start[at], self.size[at]), self.size[at]
+
+
+def take_rows(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs flat[begin:begin + size], one after the other."""
+    return flat[np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)]
