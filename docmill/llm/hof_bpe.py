@@ -1,15 +1,19 @@
 """Byte-level BPE by ranked merges, folded with Spark's higher-order functions over distinct words.
 
 1. Every text is cut by the byte-level pattern; each task counts its distinct pre-tokens, and one grouping counts them all.
-2. ``fold``: for each word that recurs in the corpus, ``aggregate`` folds merges over the array of its bytes: the pair of least
-   rank (the leftmost of equals) is joined until no pair has a rank. Ranks come from a literal in the plan.
-3. The encoded words are packed into a dictionary of at most ``dictionary_words`` words (the most frequent; the bound is what
-   may be broadcast) and applied to every text. What the dictionary doesn't hold, chiefly words that occur once, is folded by the
-   same rule where it is met, so nothing is dropped.
+2. ``fold``: ``aggregate`` folds merges over the array of a word's bytes: the pair of least rank (the leftmost of equals) is joined
+   until no pair has a rank. Ranks come from a literal in the plan.
+3. Words that recur are folded once and packed into a dictionary of at most ``dictionary_words`` words (the most frequent; the bound
+   is what may be broadcast). A first pass over the texts writes the ids of the words it holds; the rest of a text's distinct words,
+   chiefly those that occur once in the corpus, go beside the ids as an array, are folded by the same expression in the same
+   stage, without a shuffle, and a second pass puts them in place.
 4. Decoding concatenates the ids' binary pieces.
 
+Words are told apart by their bytes: hashes only find what is then compared.
+
 Defined cases: a null or empty text has no ids; a repeated row is encoded like any; a null doc_id stays; an empty table gives
-no rows; other columns play no part; a pre-token of more than ``FOLD_BYTES`` bytes is folded where it is met, with a heap.
+no rows; other columns play no part; a pre-token of more than ``FOLD_BYTES`` bytes, for which the fold would take time in the square of
+its length, is merged by the same rule with a heap.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm import common, pretok
@@ -106,105 +110,128 @@ def distinct_words(docs: DataFrame) -> DataFrame:
             data, off = common.text_buffers(b.column(0))
             starts, ends, _ = pretok.bpe_tokens(data, off)
             if len(starts):
-                codes, uniq = pd.factorize(pretok.span_hashes(data, starts, ends))
-                at = np.empty(len(uniq), np.int64)
-                at[codes[::-1]] = np.arange(len(codes))[::-1]
-                yield pa.RecordBatch.from_arrays([_gather(data, starts[at], ends[at]), pa.array(np.bincount(codes, minlength=len(uniq)))], ["word", "n"])
+                codes, at = pretok.distinct(data, starts, ends)
+                yield pa.RecordBatch.from_arrays([_gather(data, starts[at], ends[at]), pa.array(np.bincount(codes, minlength=len(at)))], ["word", "n"])
 
     return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """``words`` with ``ids``: the fold in Spark's own functions."""
+def _with_ranks(ranks: dict[bytes, int], body: str) -> Column:
+    """The SQL ``body`` over ``ranks``, the literal buckets, bound to one lambda variable: the plan holds (and prints) them once."""
     rows = [[","] for _ in range(_BUCKETS)]
     for piece, rank in ranks.items():
         key = piece.hex().upper()
         rows[zlib.crc32(key.encode()) % _BUCKETS].append(f"{key}={rank},")
     literal = "|".join("".join(r) for r in rows)  # a constant: split once, when the plan is made
-    # bound to one lambda variable, so that the plan holds (and prints) the literal once
-    return words.withColumn("ids", F.expr(f"transform(array(split('{literal}', '[|]')), ranks -> {fold('word', 'ranks')})[0]"))
+    return F.expr(f"transform(array(split('{literal}', '[|]')), ranks -> {body})[0]")
+
+
+def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """``words`` with ``ids``: the fold in Spark's own functions."""
+    return words.withColumn("ids", _with_ranks(ranks, fold("word", "ranks")))
 
 
 def dictionary(docs: DataFrame, ranks: dict[bytes, int], most: int = DICTIONARY_WORDS) -> list[np.ndarray]:
-    """[hashes ascending, lengths, flat ids] of the most frequent recurring pre-tokens, ``most`` at the utmost."""
+    """[hashes ascending, ends of words, bytes, ends of ids, ids] of the most frequent recurring pre-tokens, never more than ``most``.
+
+    Words are ranked by classes of frequency (16 to a doubling), each split in 16 by a hash, so that few rows are collected to find
+    the cut; whole classes are taken while they fit.
+    """
+    spark = docs.sparkSession
     counted = common.written(distinct_words(docs), "bpe-words").where((F.col("n") > 1) & (F.length("word") <= FOLD_BYTES))
-    by_n = counted.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("n")).collect()  # at most 999 rows
-    held, least = 0, 1001
-    for r in by_n:
+    counted = counted.withColumn("class", (F.floor(16 * F.log2("n")) * 16 + F.pmod(F.xxhash64("word"), F.lit(16))).cast("int"))
+    held, least = 0, 1 << 30
+    for r in counted.groupBy("class").agg(F.count("*").alias("c")).orderBy(F.desc("class")).collect():  # at most 16 x 16 x 64 rows
         if held + r["c"] > most:
             break
-        held, least = held + r["c"], r["n"]
-    encoded = common.written(encode_words(counted.where(F.col("n") >= least).select("word"), ranks), "bpe-ids")
+        held, least = held + r["c"], r["class"]
+    chosen = counted.where(F.col("class") >= least).select("word").repartition(common.partitions_for(spark, held, 20_000))
+    encoded = common.written(encode_words(chosen, ranks), "bpe-ids")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(1)
             data, off = common.text_buffers(b.column(0))
-            h = pretok.span_hashes(data, off[:-1], off[1:])
-            size = np.diff(ids.offsets.to_numpy())
-            yield pa.RecordBatch.from_pylist([{"h": h.tobytes(), "size": size.astype(np.uint16).tobytes(), "flat": ids.flatten().to_numpy().astype(np.uint32).tobytes()}])
+            ids = b.column(1)
+            row = [pretok.span_hashes(data, off[:-1], off[1:]), np.diff(off).astype(np.uint8), data, np.diff(ids.offsets.to_numpy()).astype(np.uint8), ids.flatten().to_numpy().astype(np.uint32)]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in row], names)
+
+    names = ["h", "size", "data", "n", "flat"]
+    parts = encoded.mapInArrow(pack, ", ".join(f"{k} binary" for k in names)).collect()  # some 30 bytes a word, `most` words
+    h, size, data, n, flat = (np.concatenate([np.frombuffer(p[k], t) for p in parts] or [np.zeros(0, t)]) for k, t in zip(names, (np.uint64, np.uint8, np.uint8, np.uint8, np.uint32), strict=True))
+    size, n = size.astype(np.int64), n.astype(np.int64)
+    order = np.unique(h, return_index=True)[1]  # of words with one hash the first is held, the rest are folded where they are met
+    words, ids = (pretok.take_rows(x, (np.cumsum(z) - z)[order], z[order]) for x, z in ((data, size), (flat, n)))
+    return [h[order], np.cumsum(size[order]), words, np.cumsum(n[order]), ids]
+
 
-    parts = encoded.mapInArrow(pack, "h binary, size binary, flat binary").collect()  # some 20 bytes a word
-    h, size, flat = (np.concatenate([np.frombuffer(p[k], t) for p in parts] or [np.zeros(0, t)]) for k, t in (("h", np.uint64), ("size", np.uint16), ("flat", np.uint32)))
-    order = np.argsort(h)
-    start = np.cumsum(size, dtype=np.int64) - size
-    size64 = size[order].astype(np.int64)
-    place = np.arange(size64.sum()) - np.repeat(np.cumsum(size64) - size64, size64) + np.repeat(start[order], size64)
-    return [h[order], size[order], flat[place]]
+_HOLE = np.uint32(1 << 31)
 
 
 class _Encoder:
-    """The broadcast dictionary; what it lacks is folded on the spot."""
+    """The broadcast dictionary; what it lacks is left as holes, numbered by text."""
 
     def __init__(self, ranks: dict[bytes, int], known: list[np.ndarray]):
-        self.keys, self.size, self.flat = known[0], known[1].astype(np.int64), known[2]
-        self.start = np.cumsum(self.size) - self.size
-        pieces = sorted((r, p) for p, r in ranks.items())
-        self.piece = [b""] * (pieces[-1][0] + 1 if pieces else 0)
-        for r, p in pieces:
-            self.piece[r] = p
-        self.text = [b"%d" % i for i in range(len(self.piece))]
-        self.ranks = ranks
-
-    def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(flat ids, length of each word's ids)."""
-        codes, uniq = pd.factorize(pretok.span_hashes(data, starts, ends))
-        at = np.searchsorted(self.keys, uniq)
-        known = np.zeros(len(uniq), bool)
-        inside = at < len(self.keys)
-        known[inside] = self.keys[at[inside]] == uniq[inside]
-        size, begin = np.zeros(len(uniq), np.int64), np.zeros(len(uniq), np.int64)
-        size[known], begin[known] = self.size[at[known]], self.start[at[known]]
+        self.ranks, (self.keys, self.ends, self.bytes, self.stops, self.flat) = ranks, known
+
+    def split(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """(ids and holes, length of each word's ids, the words of the holes, how many of them each text has)."""
+        codes, first = pretok.distinct(data, starts, ends)
+        at0, size = starts[first], (ends - starts)[first]
+        h = pretok.span_hashes(data, at0, ends[first])
+        at = np.minimum(np.searchsorted(self.keys, h), max(len(self.keys) - 1, 0))
+        known = np.zeros(len(first), bool)
+        if len(self.keys):
+            begin = np.append(0, self.ends)[at]
+            known = (self.keys[at] == h) & (self.ends[at] - begin == size)
+            some = np.flatnonzero(known)
+            known[some] = pretok.equal_spans(data, at0[some], self.bytes, begin[some], size[some])
+        rows, place = np.ones(len(first), np.int64), np.zeros(len(first), np.int64)
+        place[known] = np.append(0, self.stops)[at[known]]
+        rows[known] = self.stops[at[known]] - place[known]
         flat = self.flat
-        if not known.all():
-            new = np.flatnonzero(~known)
-            where = np.empty(len(uniq), np.int64)
-            where[codes[::-1]] = np.arange(len(codes))[::-1]
-            raw, more = data.tobytes(), []
-            for u in new:
-                row = merge_word(raw[starts[where[u]] : ends[where[u]]], self.ranks)
-                size[u], begin[u] = len(row), len(flat) + len(more)
-                more += row
-            extra = np.array(more, np.uint32)
-            total = size[codes]
-            src = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total) + np.repeat(begin[codes], total)
-            out = np.empty(len(src), np.uint32)
-            old = src < len(flat)
-            out[old], out[~old] = flat[src[old]], extra[src[~old] - len(flat)]
-            return out, total
-        total = size[codes]
-        return flat[np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total) + np.repeat(begin[codes], total)], total
-
-
-_kept: dict[int, _Encoder] = {}
+        long = np.flatnonzero(~known & (size > FOLD_BYTES))
+        for u in long.tolist():
+            ids = merge_word(data[at0[u] : at0[u] + size[u]].tobytes(), self.ranks)
+            place[u], rows[u], flat = len(flat), len(ids), np.concatenate([flat, np.array(ids, np.uint32)])
+        hole = ~known & (size <= FOLD_BYTES)
+        # each text numbers its own distinct words without ids
+        place[hole] = len(flat)
+        out = pretok.take_rows(np.append(flat, _HOLE), place[codes], rows[codes])
+        size_of = rows[codes]
+        met = np.flatnonzero(hole[codes])
+        text = np.repeat(np.arange(len(per)), per)[met]
+        pairs, number = np.unique(text * len(first) + codes[met], return_inverse=True)
+        of = pairs // max(len(first), 1)
+        count = np.bincount(of, minlength=len(per))
+        out[(np.cumsum(size_of) - size_of)[met]] = _HOLE + (number - (np.cumsum(count) - count)[text]).astype(np.uint32)
+        word = first[pairs % max(len(first), 1)]
+        return out, size_of, _gather(data, starts[word], ends[word]), count
+
+
+def _fill(flat: np.ndarray, of: np.ndarray, folded: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids with the holes filled, length of each place); ``of``: the text of each id, ``folded``: each text's list of folded words."""
+    hole = flat >= _HOLE
+    size = np.ones(len(flat), np.int64)
+    at = np.flatnonzero(hole)
+    if not len(at):
+        return flat, size
+    texts, words = folded.offsets.to_numpy().astype(np.int64), folded.values.offsets.to_numpy().astype(np.int64)
+    row = texts[of[at]] + (flat[at] - _HOLE).astype(np.int64)
+    source = np.concatenate([flat, folded.values.values.to_numpy().astype(np.uint32)])
+    begin = np.arange(len(flat))
+    begin[at], size[at] = len(flat) + words[row], words[row + 1] - words[row]
+    return pretok.take_rows(source, begin, size), size
+
+
+_kept: dict[str, _Encoder] = {}
 
 
 def _encoder(sent_ranks, sent_words) -> _Encoder:
     """One encoder a worker process for a broadcast."""
-    key = sent_words.value[3]
+    key = sent_words.value[-1]
     if key not in _kept:
         _kept.clear()
-        _kept[key] = _Encoder(sent_ranks.value, sent_words.value[:3])
+        _kept[key] = _Encoder(sent_ranks.value, sent_words.value[:-1])
     return _kept[key]
 
 
@@ -240,24 +267,40 @@ def _run(docs: DataFrame, ranks_path: str, most: int, with_ids: bool) -> DataFra
     sent_ranks = spark.sparkContext.broadcast(ranks)
     sent_words = spark.sparkContext.broadcast([*dictionary(docs, ranks, most), uuid.uuid4().hex])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(sent_ranks, sent_words)
         for b in common.slices(batches, "text", 1 << 20):
             data, off = common.text_buffers(b.column(1))
             starts, ends, per = pretok.bpe_tokens(data, off)
-            flat, size = e.ids(data, starts, ends) if len(starts) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+            flat, size, words, count = e.split(data, starts, ends, per) if len(starts) else (np.zeros(0, np.uint32), np.zeros(0, np.int64), pa.array([], pa.binary()), np.zeros(len(per), np.int64))
             edge = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(per)])].tolist()
-            ids = flat.tolist()
-            cols: list[list] = [[], [], []]
+            raw = flat.astype("<u4").tobytes()
+            rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), words)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([raw[4 * i : 4 * j] for i, j in zip(edge[:-1], edge[1:], strict=True)], pa.binary()), rare], ["doc_id", "part", "rare"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = sorted((r, p) for p, r in sent_ranks.value.items())
+        piece = [b""] * (pieces[-1][0] + 1 if pieces else 0)
+        for r, p in pieces:
+            piece[r] = p
+        text = [b"%d" % i for i in range(len(piece))]
+        for b in batches:
+            parts = [np.frombuffer(x, "<u4") for x in b.column(1).to_pylist()]
+            n = np.array([len(x) for x in parts], np.int64)
+            flat, size = _fill(np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.repeat(np.arange(len(n)), n), b.column(2))
+            edge = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(n)])].tolist()
+            ids, cols = flat.tolist(), [[], [], []]
             for i, j in zip(edge[:-1], edge[1:], strict=True):
                 row = ids[i:j]
-                cols[0].append(hashlib.sha256(b",".join([e.text[k] for k in row])).hexdigest())
-                cols[1].append(hashlib.sha256(b"".join([e.piece[k] for k in row])).hexdigest())
+                cols[0].append(hashlib.sha256(b",".join([text[k] for k in row])).hexdigest())
+                cols[1].append(hashlib.sha256(b"".join([piece[k] for k in row])).hexdigest())
                 if with_ids:
                     cols[2].append(flat[i:j].astype("<u4").tobytes())
             out = [b.column(0), pa.array(np.diff(edge), pa.int64()), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             yield pa.RecordBatch.from_arrays([*out, pa.array(cols[2], pa.binary())] if with_ids else out, [*names, "ids"] if with_ids else names)
 
+    parts = docs.select("doc_id", "text").mapInArrow(split, "doc_id long, part binary, rare array<binary>")
+    folded = _with_ranks(ranks, f"transform(rare, w -> {fold('w', 'ranks')})")
     more = ", ids binary" if with_ids else ""
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
+    return parts.select("doc_id", "part", folded.alias("ids")).mapInArrow(finish, f"doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
