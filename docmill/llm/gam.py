@@ -195,15 +195,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) -
     common.small_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_y")).where(~held_out())
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "_y")  # at most `sample` ids
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most `sample` ids
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches, "text", 1 << 20):
-            x = features(*common.text_buffers(b.column(0)))
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), b.column(1).cast(pa.int32())], ["x", "y"])
+            x = features(*common.text_buffers(b.column(1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary()), b.column(2).cast(pa.int32())], ["doc_id", "x", "y"])
 
-    got = rows.mapInArrow(measure, "x binary, y int").limit(sample).collect()
-    got.sort(key=lambda r: (bytes(r["x"]), r["y"]))  # the fit doesn't depend on the order of arrival
+    # one row a doc_id, the same whatever the order of arrival
+    seen = rows.mapInArrow(measure, "doc_id long, x binary, y int").groupBy("doc_id").agg(F.min("x").alias("x"), F.min("y").alias("y"))
+    got = sorted(seen.select("x", "y").collect(), key=lambda r: (bytes(r["x"]), r["y"]))
     x = np.array([np.frombuffer(r["x"]) for r in got]).reshape(len(got), len(FEATURES))
     return fit(x, np.array([min(max(r["y"], 0), 1) for r in got], float), **options)
 
@@ -231,4 +232,5 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def apply(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` predicted to be good."""
-    return scored(docs, train(docs, labels, **options), "_score").where("_score >= 0.5").drop("_score")
+    rows = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))  # whatever the columns are called
+    return scored(rows, train(docs, labels, **options)).where("score >= 0.5").select("row.*")
