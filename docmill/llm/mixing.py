@@ -143,13 +143,20 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 def apply(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each row as often as the mix takes it."""
-    keyed = docs.withColumn("_key", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    got = decide(sized(keyed, F.col("_key").alias("key")), **options).select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "copies", "taken_copies", "base")
-    on = F.col("source").eqNullSafe(F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k"))
-    both = keyed.join(got, on)
-    several = F.row_number().over(Window.partitionBy("_s", "_d", "_k").orderBy(F.lit(1)))
-    one = both.where("copies = 1").withColumn("_i", F.lit(1))
-    many = both.where("copies > 1").withColumn("_i", several)
-    times = (F.col("base") + (F.col("_i") <= F.col("taken_copies")).cast("long")).cast("int")
-    out = one.unionByName(many).withColumn("_n", times).where("_n > 0")
-    return out.withColumn("_c", F.explode(F.sequence(F.lit(1), "_n"))).select(*docs.columns)
+    key = F.coalesce(F.xxhash64("text"), F.lit(0)).alias("key")
+    rows = docs.select("doc_id", "source", "text", key, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))  # whatever the columns are called
+    got = decide(sized(rows, "key"), **options).select(F.col("source").alias("s"), F.col("doc_id").alias("d"), F.col("key").alias("k"), "copies", "taken_copies", "base")
+    both = rows.join(got, F.col("source").eqNullSafe(F.col("s")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")))
+    both = both.select("s", "d", "k", "copies", "taken_copies", "base", "row")
+    one = both.where("copies = 1").withColumn("i", F.lit(1).cast("long"))
+    # equal rows are numbered within the parts that hold them, and the parts by prefix sums: a group's size is nowhere bounded
+    many = common.written(both.where("copies > 1").withColumn("at", F.monotonically_increasing_id()).withColumn("pid", F.shiftright("at", 33)), "mix-equal")
+    by = ["s", "d", "k"]
+    runs = many.groupBy(*by, "pid").agg(F.count("*").alias("c"))
+    runs = runs.withColumn("before", F.sum("c").over(Window.partitionBy(*by).orderBy("pid")) - F.col("c")).select(*(F.col(c).alias(f"_{c}") for c in [*by, "pid"]), "before")
+    on = F.col("s").eqNullSafe(F.col("_s")) & F.col("d").eqNullSafe(F.col("_d")) & (F.col("k") == F.col("_k")) & (F.col("pid") == F.col("_pid"))
+    place = F.row_number().over(Window.partitionBy(*by, "pid").orderBy("at")) + F.col("before")
+    many = many.join(runs, on).withColumn("i", place).select(*one.columns)
+    times = (F.col("base") + (F.col("i") <= F.col("taken_copies")).cast("long")).cast("int")
+    out = one.unionByName(many).select("row", times.alias("times")).where("times > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
