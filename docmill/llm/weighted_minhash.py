@@ -270,8 +270,9 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, block: int = 256, membe
     at = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("_d"))
     wanted = common.written(at.join(ids, "node", "left_semi").select(F.col("node").alias("_n"), "_d"), "nd-wanted")
     # merged at every size: the list of nodes has no proven bound, so it isn't left to be broadcast while it is small
-    picked = docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")))
-    picked = picked.where(F.xxhash64("text") == F.col("_n")).select(F.col("_n").alias("node"), "text").dropDuplicates(["node"])
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("node"), "text")
+    picked = keyed.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("node") == F.col("_n")))
+    picked = picked.select("node", "text").dropDuplicates(["node"])
     texts = common.written(picked, "nd-texts")
 
     first = common.written(_verified(star, texts, idf, threshold), "nd-edges")
@@ -320,7 +321,10 @@ def apply(docs: DataFrame, **options) -> DataFrame:
     first = ids.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("_d"), F.col("node").alias("_n"), F.col("_c"))).alias("k"))
     keep = common.written(first.select("k._d", "k._n", "k._c"), "nd-keep")
     blank = F.btrim(F.coalesce("text", F.lit("")), F.lit(common.SPACE)) == ""
-    mine = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_d"))).where(~blank & (F.xxhash64("text") == F.col("_n")))
-    once = mine.where("_c = 1").select(*docs.columns)
-    several = mine.where("_c > 1").withColumn("_i", F.row_number().over(Window.partitionBy("_d", "_n").orderBy(F.lit(1)))).where("_i = 1").select(*docs.columns)
-    return once.unionByName(several).unionByName(docs.where(blank))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # whatever the columns are called
+    every = docs.select("doc_id", blank.alias("blank"), F.xxhash64("text").alias("node"), row)
+    mine = every.where("not blank").join(keep, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("node") == F.col("_n")))
+    once = mine.where("_c = 1").select("row")
+    # of equal rows the first that a task meets, then the first of these
+    several = mine.where("_c > 1").groupBy("_d", "_n").agg(F.first("row").alias("row")).select("row")
+    return once.unionByName(several).unionByName(every.where("blank").select("row")).select("row.*")
