@@ -1,11 +1,12 @@
 """Quality rules whose cutoffs are certified on labelled documents, in DataFrame functions alone.
 
 Each rule rejects documents whose measure exceeds a cutoff. For each stratum (language), rule and candidate cutoff, the good
-labelled documents that it would reject are k of n. If good documents were rejected at a rate above ``risk``, k or fewer would
-be seen with a probability of at most P(Binomial(n, risk) <= k), an exact p-value. A cutoff is certified where this is at most
-``delta`` divided by the number of all tests made (Bonferroni), and each stratum and rule takes its strictest certified cutoff.
-So with a probability of 1 - delta no rule rejects more than ``risk`` of the good documents of any stratum. Where no cutoff is
-certified, as with few labels, the rule is off in that stratum.
+labelled documents that it would reject are k of n. A rule's share of the ``risk`` is risk / rules: if it rejected good documents at a
+rate above that, k or fewer would be seen with a probability of at most P(Binomial(n, risk / rules) <= k), an exact p-value. A
+cutoff is certified where this is at most ``delta`` divided by the number of all tests made (Bonferroni), and each stratum and
+rule takes its strictest certified cutoff. So with a probability of 1 - delta the rules together reject no more than ``risk`` of the
+good documents of any stratum. Where no cutoff is certified, as with few labels, the rule is off in that stratum. The fixed base rule
+stands apart: it is no part of this guarantee.
 
 Defined cases: a null or empty text has no words and fails the base rule; a null language is a stratum of its own; a doc_id with
 several labels is good if all say so; null labels don't count; empty tables give no rows; no other column matters.
@@ -81,9 +82,10 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", risk:
     seen = held.groupBy(stratum).agg(F.count("*").alias("n"), *(F.count_if(F.col(r) > c).alias(f"{r}_{i}") for r, i, c in tests))
     each = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{r}_{i}").alias("k")) for r, i, c in tests)))
     rows = seen.select(stratum, "n", each.alias("_t")).select(stratum, "n", "_t.*")
-    odds = f"ln({risk}D / (1 - {risk}D))"
+    share = risk / len(RULES)
+    odds = f"ln({share}D / (1 - {share}D))"
     tail = F.expr(
-        f"""CASE WHEN k >= n * {risk}D THEN 1D ELSE aggregate(sequence(0L, k), named_struct('lp', n * ln(1 - {risk}D), 'acc', 0D),
+        f"""CASE WHEN k >= n * {share}D THEN 1D ELSE aggregate(sequence(0L, k), named_struct('lp', n * ln(1 - {share}D), 'acc', 0D),
         (s, i) -> named_struct('lp', s.lp + ln(CAST(n - i AS DOUBLE) / (i + 1)) + {odds}, 'acc', s.acc + exp(s.lp)), s -> s.acc) END"""
     )
     made = seen.select(F.count("*").alias("_made"))
@@ -104,20 +106,21 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **options)
 
 def apply(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **options) -> DataFrame:
     """The rows of ``docs`` that are kept; the verdict depends on text and stratum, so it is found once more beside each row."""
-    rest = [c for c in docs.columns if c not in ("doc_id", stratum)]
-    measured = common.written(metrics(docs.withColumn("_row", F.struct(*(F.col(f"`{c}`") for c in rest))), "doc_id", stratum, "_row"), "rules-measured")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")  # whatever the columns are called
+    measured = common.written(metrics(docs.select("doc_id", stratum, "text", row), "doc_id", stratum, "_row"), "rules-measured")
     cuts = common.written(cutoffs(measured, labels, stratum, **options), "rules-cutoffs").select(F.col(stratum).alias("_s"), *(F.col(r).alias(f"_{r}") for r in RULES))
     ok = ~base_failed()
     for r, m in _measures().items():
         ok = ok & ~F.coalesce(m > F.col(f"_{r}"), F.lit(False))
     kept = measured.join(cuts, F.col(stratum).eqNullSafe(F.col("_s")), "left").where(ok)
-    return kept.select("doc_id", stratum, *(F.col("_row")[c].alias(c) for c in rest)).select(*docs.columns)
+    return kept.select("_row.*")
 
 
 def oracle() -> str:
     """The same in DuckDB's SQL over ``documents`` and ``labels``, with the binomial tail by log-gamma."""
     tests = [(r, m.replace("1L", "1"), c) for r, (m, cs) in RULES.items() for c in cs]
     grid = " UNION ALL ".join(f"SELECT '{r}' AS rule, {c}::DOUBLE AS cutoff, lang, count(*) AS n, count(*) FILTER (WHERE ({m})::DOUBLE > {c}) AS k FROM good GROUP BY lang" for r, m, c in tests)
+    share = RISK / len(RULES)
     wide = ", ".join(f"max(cutoff) FILTER (WHERE rule = '{r}') AS c_{r}" for r in RULES)
     fails = " OR ".join(f"coalesce(({m.replace('1L', '1')})::DOUBLE > c_{r}, false)" for r, (m, _) in RULES.items())
     return rf"""
@@ -132,8 +135,8 @@ m AS (SELECT w.doc_id, lang, len(w)::BIGINT AS n_words, length(list_aggregate(li
   len(l)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN cov USING (doc_id)),
 good AS (SELECT m.* FROM m JOIN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1) USING (doc_id)),
 grid AS ({grid}),
-p AS (SELECT *, CASE WHEN k >= n * {RISK} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
-  + i * ln({RISK}) + (n - i) * ln(1 - {RISK})))) END AS p FROM grid),
+p AS (SELECT *, CASE WHEN k >= n * {share} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
+  + i * ln({share}) + (n - i) * ln(1 - {share})))) END AS p FROM grid),
 c AS (SELECT lang, rule, min(cutoff) AS cutoff FROM p WHERE p <= {DELTA} / ((SELECT count(DISTINCT coalesce('_' || lang, '')) FROM good) * {len(tests)}) GROUP BY lang, rule),
 x AS (SELECT lang, {wide} FROM c GROUP BY lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
