@@ -6,11 +6,14 @@ the smallest ids are found by a grouping that counts before it shuffles, and onl
 
 Reading: the record mark may also stand inside a payload, so marks prove nothing. Tasks list every candidate as (offset, successor
 offset by its Content-Length); then pointer jumping from each file's start doubles its stride until all reachable candidates
-are marked. Only these are records. A file's candidates are two numbers each, so a file's chain fits one task by far.
+are marked. Only these are records. A file's candidates are two numbers each, so a file's chain fits one task by far. A chain must
+reach the end of its file: where a broken header or length ends it early, reading fails and names the file and the offset, or, if
+asked, ``report`` lists what wasn't reached. Files compressed by gzip, record by record or whole, are read as well.
 
 Defined cases: null html is an empty payload; a null url leaves the target out, line ends in it are escaped; a null page_id is
 written as ``null`` and read back as null, and never is the smallest unless all are; rows that share payload and smallest page_id
-are all responses; an empty table writes no record; other columns play no part. Bytes that no chain reaches are no records.
+are all responses; an empty table writes no record; other columns play no part; a header line that begins with white space
+continues the line before it. Bytes that no chain reaches are no records.
 """
 
 from __future__ import annotations
@@ -79,7 +82,7 @@ def _header(content: bytes, at: int) -> tuple[dict[bytes, bytes], int] | None:
     if end < 0:
         return None
     fields = {}
-    for line in content[at:end].split(b"\r\n")[1:]:
+    for line in re.sub(rb"\r\n[ \t]+", b" ", content[at:end]).split(b"\r\n")[1:]:
         k, sep, v = line.partition(b":")
         if not sep:
             return None
@@ -116,6 +119,18 @@ def reachable(at: np.ndarray, to: np.ndarray) -> np.ndarray:
     return at[seen[:n]]
 
 
+def _plain(content: bytes) -> bytes:
+    """The file's bytes, members of a gzip file one after the other."""
+    if content[:2] != b"\x1f\x8b":
+        return content
+    out = []
+    while content:
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(content) + member.flush())
+        content = member.unused_data.lstrip(b"\0")
+    return b"".join(out)
+
+
 def _parse(content: bytes, at: int) -> tuple:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, url) of the record at ``at``."""
     fields, block = _header(content, at)
@@ -136,29 +151,52 @@ def _parse(content: bytes, at: int) -> tuple:
     return (number(fields.get(b"warc-record-id", b"")), length, digest, kind, number(fields[b"warc-refers-to"]) if b"warc-refers-to" in fields else None, url.decode("utf-8", "replace") if url is not None else None)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to, url) of each record of the archives at ``path``."""
-    common.small_batches(spark)
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+def _chains(files: DataFrame) -> DataFrame:
+    """(_path, chain, reached, bytes) of each file (path, content): its records' offsets, where their chain ends, and its length."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column(0), b.column(1), strict=True):
-                at, to = candidates(content.as_py())
+                raw = _plain(content.as_py())
+                at, to = candidates(raw)
+                at, to = np.append(at, -1), np.append(to, len(raw))  # one row more, which holds the file's length
                 yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(at), pa.string()), pa.array(at), pa.array(to)], ["path", "at", "to"])
 
     def chain(f: pd.DataFrame) -> pd.DataFrame:
-        at = reachable(f["at"].to_numpy(), f["to"].to_numpy())
-        packed = zlib.compress(np.diff(at, prepend=0).astype("<i8").tobytes())
-        return pd.DataFrame({"_path": [f["path"].iloc[0]], "chain": [packed]})
+        mark = (f["at"] < 0).to_numpy()
+        at, to = f["at"].to_numpy()[~mark], f["to"].to_numpy()[~mark]
+        found = reachable(at, to)
+        packed = zlib.compress(np.diff(found, prepend=0).astype("<i8").tobytes())
+        reached = int(to[at == found[-1]][0]) if len(found) else 0
+        return pd.DataFrame({"_path": [f["path"].iloc[0]], "chain": [packed], "reached": [reached], "bytes": [int(f["to"].to_numpy()[mark][0])]})
 
     edges = files.mapInArrow(scan, "path string, at long, to long")
-    chains = common.written(edges.groupBy("path").applyInPandas(chain, "_path string, chain binary"), "warc-chains")
+    return edges.groupBy("path").applyInPandas(chain, "_path string, chain binary, reached long, bytes long")
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    common.small_batches(spark)
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def report(spark: SparkSession, path: str) -> DataFrame:
+    """(path, records_end, bytes) of each archive whose chain of records ends before the file does."""
+    return _chains(_files(spark, path)).where("reached < bytes").select(F.col("_path").alias("path"), F.col("reached").alias("records_end"), "bytes")
+
+
+def read(spark: SparkSession, path: str, broken: str = "raise") -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, url) of each record of the archives at ``path``.
+
+    ``broken``: "raise" fails at a file whose chain ends early, naming it and the offset; "keep" gives its records up to there
+    (``report`` lists such files).
+    """
+    files = _files(spark, path)
+    chains = common.written(_chains(files), "warc-chains")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content, packed in zip(b.column(0), b.column(1), strict=True):
-                raw = content.as_py()
+                raw = _plain(content.as_py())
                 at = np.cumsum(np.frombuffer(zlib.decompress(packed.as_py()), "<i8"))
                 rows = [_parse(raw, a) for a in at.tolist()]
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
@@ -166,5 +204,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
+    if broken == "raise":
+        why = F.concat(F.lit("no WARC record in "), F.col("_path"), F.lit(" at offset "), F.col("reached"), F.lit(" of "), F.col("bytes"))
+        chains = chains.withColumn("chain", F.when(F.col("reached") < F.col("bytes"), F.raise_error(why).cast("binary")).otherwise(F.col("chain")))
     both = files.join(chains, F.col("path") == F.col("_path")).select("content", "chain")
     return both.mapInArrow(parse, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
