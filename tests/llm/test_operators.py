@@ -17,12 +17,13 @@ from tests.conftest import SMALL
 
 P = pytest.importorskip("public_tokenizers")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string, node string, label int, score string, _h int"
+CLASHING = ["shard", "node", "label", "_h", "_n", "_c", "_key", "_d", "_s", "_i", "_k", "_score", "row", "key", "times", "copies", "blank", "ids", "n words", "a.b"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, " + ", ".join(f"`{c}` string" for c in CLASHING)
 
 
 def edge_rows():
     """Nulls in every column, empty and long texts, repeated rows, ties, and columns that clash with inner names."""
-    extra = ("s", "n", 1, "x", 2)
+    extra = ("s", *(f"own {c}" for c in CLASHING))
     long = " ".join(f"word{i % 997}" for i in range(20_000))
     rows = [(1, "a b c d e f", "en", "src0"), (1, "a b c d e f", "en", "src0"), (2, None, None, None), (None, "", "en", None), (3, "   \n\t ", "xx", "src1"), (4, long, "en", "src1"), (None, None, None, None), (5, "don't  stop 😀 ünïcode 123", "de", "src2"), (1, "other text", "en", "src0")]
     return [r + (None if r[1] is None else len(r[1]),) + extra for r in rows]
@@ -65,13 +66,90 @@ def test_pretokens():
 def test_wavelet_matrix():
     ids = np.random.default_rng(0).integers(0, 3000, 5000).astype(np.uint16)
     m = wavelet.WaveletMatrix(wavelet.build(ids, [1, None, 7], np.array([1000, 0, 4000])))
-    assert (m.decode() == ids).all() and m.doc_ids == [1, None, 7]
+    assert (m.decode() == ids).all() and m.documents[0] == [1, None, 7] and m.documents[1].tolist() == [1000, 0, 4000]
     assert [m.access(i) for i in range(0, 5000, 97)] == ids[::97].tolist()
     t = int(ids[17])
     assert m.occurrences(t) == np.flatnonzero(ids == t).tolist() and m.count(t, 100, 3000) == int((ids[100:3000] == t).sum())
     assert m.count(60_000) == 0
-    with pytest.raises(IndexError):
-        m.select(t, 10_000)
+    for bad in (lambda: m.select(t, 10_000), lambda: m.access(5000)):
+        with pytest.raises(IndexError):
+            bad()
+
+
+def test_wavelet_matrix_large():
+    """Several blocks a plane, ids beyond 16 bits, and no more unzipped than a query meets."""
+    rng = np.random.default_rng(1)
+    ids = np.minimum(rng.zipf(1.3, 200_000), 100_000).astype(np.uint32)
+    m = wavelet.WaveletMatrix(wavelet.build(ids, [3], np.array([len(ids)])))
+    met, real = set(), m._block
+    m._words = lambda k, b: met.add((k, b)) or real(k, b)
+    assert m.access(123_456) == ids[123_456] and len(met) <= 2 * len(m.zeros) < sum(map(len, m.ranks))
+    m._words = real
+    for t in (1, 2, int(ids[5]), int(ids[-1]), 100_000):
+        where = np.flatnonzero(ids == t)
+        assert m.count(t) == len(where) and [m.select(t, j) for j in range(0, len(where), 997)] == where[::997].tolist()
+    rare = int(ids[np.argmin(np.bincount(ids)[ids])])
+    assert m.occurrences(rare) == np.flatnonzero(ids == rare).tolist()
+    assert (m.decode() == ids).all()
+    empty = wavelet.WaveletMatrix(wavelet.build(ids[:0], [], np.zeros(0, int)))
+    assert empty.count(1) == 0 and len(empty.decode()) == 0
+
+
+def twins():
+    """Two words of 1,024 letters on which polynomial hashes modulo a power of two agree."""
+    x = "a"
+    while len(x) < 1024:
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_are_told_apart_by_bytes(spark, monkeypatch):
+    """Equal hashes don't make equal words: with the twins, and with a hash that is made to collide."""
+    import tiktoken
+
+    x, y = twins()
+    text = f"{x} {y} {x} " + " ".join(f"w{i} w{i % 7}" for i in range(300))
+    df = spark.createDataFrame([(1, text), (2, y)], "doc_id long, text string")
+    check_ids(spark, df, [(1, text), (2, y)])
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=hof_bpe.load_ranks(path), special_tokens={})
+    want = {d: hashlib.sha256(",".join(map(str, enc.encode_ordinary(t))).encode()).hexdigest() for d, t in ((1, text), (2, y))}
+    assert {r["doc_id"]: r["ids_sha256"] for r in hof_bpe.digests(df, path).collect()} == want
+    model = P.path("piece_bpe_32k.model")
+    one = {r["doc_id"]: r["n_tokens"] for r in trie_counts.counts(df, model).collect()}
+    trie = trie_counts.Trie(trie_counts.zipf_scores(trie_counts.load_pieces(open(model, "rb").read())))
+    assert one == {d: sum(trie.add("▁" + w) for w in t.split()) for d, t in ((1, text), (2, y))}
+    data, off = buffers([text] * 3)
+    s, e, _ = pretok.bpe_tokens(data, off)
+    raw = data.tobytes()
+    words = [raw[i:j] for i, j in zip(s, e, strict=True)]
+    monkeypatch.setattr(pretok, "_hash", lambda v, k, h, z: np.add.reduceat(v, h) % np.uint64(5))
+    codes, first = pretok.distinct(data, s, e)
+    assert len(first) == len(set(words)) and [words[first[c]] for c in codes] == words
+    ranks = hof_bpe.load_ranks(path)
+    got = hof_bpe.dictionary(df, ranks, 10_000)
+    e = hof_bpe._Encoder(ranks, got)  # in this process, where the hash collides
+    flat, size, rare, count = e.split(data, s, e_ends(data, off), np.array([len(words)]))
+    assert set(rare.to_pylist()) <= set(words) and size.sum() == len(flat) and count.sum() == len(rare)
+
+
+def e_ends(data, off):
+    return pretok.bpe_tokens(data, off)[1]
+
+
+def test_dictionary_is_bounded(spark):
+    """A bound below the number of frequent words holds; results don't depend on it."""
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = hof_bpe.load_ranks(path)
+    text = " ".join(f"frequent{i:02d}x" for i in range(30))
+    df = spark.createDataFrame([(i, text) for i in range(1200)], "doc_id long, text string")
+    assert len(hof_bpe.dictionary(df, ranks, 10)[0]) <= 10 and len(hof_bpe.dictionary(df, ranks, 1000)[0]) > 30
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = hashlib.sha256(",".join(map(str, enc.encode_ordinary(text))).encode()).hexdigest()
+    for most in (0, 10, 1000):
+        assert {r["ids_sha256"] for r in hof_bpe.digests(df, path, most).collect()} == {want}
 
 
 def check_ids(spark, df, rows):
@@ -80,7 +158,7 @@ def check_ids(spark, df, rows):
     tk = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     tk.encode_special_tokens = True
     path = common.fresh_path(spark, "t1")
-    wavelet.write(df, path, P.path("byte_bpe_50k.json"), shard_bytes=20_000, segment_tokens=3000)
+    wavelet.write(df, path, P.path("byte_bpe_50k.json"), range_bytes=20_000, shard_tokens=3000)
     want = Counter()
     for doc, text in rows:
         ids = tk.encode(text or "", add_special_tokens=False).ids + [2]
@@ -91,6 +169,9 @@ def check_ids(spark, df, rows):
     for r in sorted(got, key=lambda r: r["start"]):
         assert r["start"] == at
         at += r["n_tokens"]
+    shards = wavelet.images(spark, path).orderBy("shard").collect()
+    assert [r["shard"] for r in shards] == list(range(len(shards))) and {r["shard"] for r in got} == set(range(len(shards)))
+    assert all(wavelet.WaveletMatrix(r["image"]).n == r["n_tokens"] for r in shards)
     order = [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])]
     assert order == sorted(order, key=lambda d: (d is not None, d or 0))
 
@@ -101,6 +182,9 @@ def test_op1(spark, docs, edge):
     check_ids(spark, edge.limit(0), [])
     special = spark.createDataFrame([(9, "a <|endoftext|> b")], "doc_id long, text string")
     check_ids(spark, special, [(9, "a <|endoftext|> b")])
+    path = common.fresh_path(spark, "t1")
+    wavelet.write(special, path, P.path("byte_bpe_50k.json"), special_as_text=False)
+    assert wavelet.WaveletMatrix(wavelet.images(spark, path).first()["image"]).decode().tolist() == [64, 220, 50256, 275, 2]
 
 
 # 2
@@ -219,6 +303,29 @@ def test_op4(spark):
     assert warc.read(spark, path).count() == 0
 
 
+def test_op4_broken(spark, tmp_path):
+    """A folded header line is read; a bad one fails with its offset or is reported; gzip members are read."""
+    import gzip
+
+    def record(i, more=""):
+        return f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:docmill:page:{i}>\r\n{more}Content-Length: 5\r\n\r\nhello\r\n\r\n".encode()
+
+    good = [record(i, "X-Note: one\r\n two\r\n" if i == 3 else "") for i in range(10)]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.warc").write_bytes(b"".join(good))
+    (tmp_path / "a" / "y.warc.gz").write_bytes(b"".join(map(gzip.compress, good)))
+    got = warc.read(spark, f"file://{tmp_path}/a").collect()
+    assert Counter(r["page_id"] for r in got) == {i: 2 for i in range(10)} and {r["payload_bytes"] for r in got} == {5}
+    assert warc.report(spark, f"file://{tmp_path}/a").count() == 0
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "x.warc").write_bytes(b"".join([*good[:5], record(5, "no colon\r\n"), *good[6:]]))
+    at = sum(map(len, good[:5]))
+    with pytest.raises(Exception, match=f"at offset {at} of"):
+        warc.read(spark, f"file://{tmp_path}/b").collect()
+    assert [r["records_end"] for r in warc.report(spark, f"file://{tmp_path}/b").collect()] == [at]
+    assert warc.read(spark, f"file://{tmp_path}/b", broken="keep").count() == 5
+
+
 # 5
 def brute_topk(rows):
     ok = {}
@@ -338,15 +445,43 @@ def test_op7_binomial(spark):
     """Cutoffs by exact tails: enough good documents certify a cutoff, a few don't, and a bad cutoff isn't certified."""
     from math import comb
 
-    rows = [(i, "en" if i < 900 else "de", 100, 400, 90 if i < 40 else 0, 0, 10, 0) for i in range(1000)]
+    rows = [(i, "en" if i < 9000 else "de", 100, 400, 90 if i < 400 else 0, 0, 10, 0) for i in range(10_000)]
     m = spark.createDataFrame(rows, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long")
-    got = {r["lang"]: r for r in quality_rules.cutoffs(m, labels(spark, [(i, 1, 0) for i in range(1000)])).collect()}
+    got = {r["lang"]: r for r in quality_rules.cutoffs(m, labels(spark, [(i, 1, 0) for i in range(10_000)])).collect()}
     tests = sum(len(c) for _, c in quality_rules.RULES.values()) * 2
-    tail = lambda n, k: sum(comb(n, i) * 0.01**i * 0.99 ** (n - i) for i in range(k + 1))
-    assert tail(900, 0) <= 0.05 / tests < tail(100, 0)
+    p = 0.01 / len(quality_rules.RULES)
+    tail = lambda n, k: sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+    assert tail(9000, 0) <= 0.05 / tests < tail(1000, 0)
     assert got["en"]["dup_lines"] == 0.1 and got["en"]["symbols"] == 1.0 and got["de"]["dup_lines"] is None
 
 
+def test_op7_false_rejection(spark):
+    """Over many draws of labels, the rules together seldom reject more than the risk of a stratum's good documents."""
+    rng = np.random.default_rng(7)
+    bad = 0
+    for _ in range(6):
+        # measures of 6,000 good documents of one stratum: heavy tails, so that strict cutoffs would reject many
+        n, frame = 6000, []
+        for i in range(n):
+            frame.append((i, "en", 100, int(rng.normal(500, 60)), int(rng.exponential(4)), int(rng.exponential(0.5)), 10, int(rng.exponential(3))))
+        m = spark.createDataFrame(frame, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long")
+        cut = quality_rules.cutoffs(m, labels(spark, [(i, 1, 0) for i in range(n)])).first().asDict()
+        fresh = 40_000
+        x = {
+            "symbols": rng.exponential(4, fresh).astype(int) / 100,
+            "dup_lines": rng.exponential(0.5, fresh).astype(int) / 10,
+            "repeats": rng.exponential(3, fresh).astype(int) / 100,
+            "long_words": rng.normal(500, 60, fresh).astype(int) / 100,
+            "short_words": -rng.normal(500, 60, fresh).astype(int) / 100,
+        }
+        out = np.zeros(fresh, bool)
+        for r, v in x.items():
+            out |= v > (np.inf if cut[r] is None else cut[r])
+        assert any(cut[r] is not None for r in x)
+        bad += out.mean() > quality_rules.RISK
+    assert bad == 0
+
+
 def test_op7_sql(spark):
     con = duckdb.connect()
     for t in ("documents", "labels"):
@@ -433,6 +568,31 @@ def test_op10(spark, docs, edge):
 
 
 # pipeline
+def own_values(rows):
+    return Counter((r["doc_id"], r["text"], *(r[c] for c in CLASHING)) for r in rows)
+
+
+@pytest.mark.parametrize("which", ["edge", "empty"])
+def test_pipeline_edges(spark, edge, which):
+    """Every stage on nulls, blanks, repeated rows and clashing names, and on no rows: columns and values come back unchanged."""
+    import corpus_pipeline
+
+    words = " ".join(f"plain{i} words{i % 11}" for i in range(60))
+    good = spark.createDataFrame([(20 + i, f"{words} {i}", "en", "src0", 3, "s", *(f"own {c}" for c in CLASHING)) for i in range(3)], SCHEMA)
+    df = edge.unionByName(good).unionByName(good)
+    df = (df if which == "edge" else df.limit(0)).cache()
+    known = own_values(df.collect())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, SMALL)
+        assert out.columns == df.columns, name
+        rows = out.collect()
+        assert set(own_values(rows)) <= set(known), name
+        if name != "mix":
+            assert not own_values(rows) - known, name
+        assert len(rows) == 0 or which == "edge"
+    assert corpus_pipeline.STAGES[-1][1](spark, df, SMALL).count() == df.count()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
