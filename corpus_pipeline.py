@@ -1,7 +1,13 @@
 """A corpus pipeline: classify, apply certified rules, drop near-duplicates, mix sources, encode.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it keeps is written as Parquet and read again as the next
-stage's documents. All but the last return the columns of ``documents``.
+stage's documents. All but the last return the columns of ``documents``, whatever these are called, with their rows' own values.
+
+Defined cases, each stage by its operator's: nulls and empty or blank texts have features and a score, and what the classifier keeps of
+them fails the base rule, which asks for 50 words; equal rows are one group of near-duplicates, of which one row stays; a null source
+is a source of its own; a null doc_id is no reason to drop a row; empty tables pass through all stages as empty tables.
+
+A stage's intermediate tables and the table of the stage before are deleted once its result is written.
 """
 
 from __future__ import annotations
@@ -49,9 +55,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         path = common.fresh_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with common.scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        common.remove(spark, before)
+        docs, before = spark.read.parquet(path), [path]
     return STAGES[-1][1](spark, docs, sf_dir)
