@@ -138,7 +138,8 @@ def dictionary(docs: DataFrame, ranks: dict[bytes, int], most: int = DICTIONARY_
     the cut; whole classes are taken while they fit.
     """
     spark = docs.sparkSession
-    counted = common.written(distinct_words(docs), "bpe-words").where((F.col("n") > 1) & (F.length("word") <= FOLD_BYTES))
+    done: list[str] = []
+    counted = common.written(distinct_words(docs), "bpe-words", drop=done).where((F.col("n") > 1) & (F.length("word") <= FOLD_BYTES))
     counted = counted.withColumn("class", (F.floor(16 * F.log2("n")) * 16 + F.pmod(F.xxhash64("word"), F.lit(16))).cast("int"))
     held, least = 0, 1 << 30
     for r in counted.groupBy("class").agg(F.count("*").alias("c")).orderBy(F.desc("class")).collect():  # at most 16 x 16 x 64 rows
@@ -146,7 +147,7 @@ def dictionary(docs: DataFrame, ranks: dict[bytes, int], most: int = DICTIONARY_
             break
         held, least = held + r["c"], r["class"]
     chosen = counted.where(F.col("class") >= least).select("word").repartition(common.partitions_for(spark, held, 20_000))
-    encoded = common.written(encode_words(chosen, ranks), "bpe-ids")
+    encoded = common.written(encode_words(chosen, ranks), "bpe-ids", drop=done)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -157,6 +158,7 @@ def dictionary(docs: DataFrame, ranks: dict[bytes, int], most: int = DICTIONARY_
 
     names = ["h", "size", "data", "n", "flat"]
     parts = encoded.mapInArrow(pack, ", ".join(f"{k} binary" for k in names)).collect()  # some 30 bytes a word, `most` words
+    common.remove(spark, done)
     h, size, data, n, flat = (np.concatenate([np.frombuffer(p[k], t) for p in parts] or [np.zeros(0, t)]) for k, t in zip(names, (np.uint64, np.uint8, np.uint8, np.uint8, np.uint32), strict=True))
     size, n = size.astype(np.int64), n.astype(np.int64)
     order = np.unique(h, return_index=True)[1]  # of words with one hash the first is held, the rest are folded where they are met
@@ -223,18 +225,6 @@ def _fill(flat: np.ndarray, of: np.ndarray, folded: pa.ListArray) -> tuple[np.nd
     return pretok.take_rows(source, begin, size), size
 
 
-_kept: dict[str, _Encoder] = {}
-
-
-def _encoder(sent_ranks, sent_words) -> _Encoder:
-    """One encoder a worker process for a broadcast."""
-    key = sent_words.value[-1]
-    if key not in _kept:
-        _kept.clear()
-        _kept[key] = _Encoder(sent_ranks.value, sent_words.value[:-1])
-    return _kept[key]
-
-
 def encoded(docs: DataFrame, ranks_path: str, most: int = DICTIONARY_WORDS) -> DataFrame:
     """(doc_id, n_tokens, ids binary of little-endian u32, ids_sha256, decoded_sha256) of each text; see ``digests`` for less."""
     return _run(docs, ranks_path, most, True)
@@ -259,16 +249,14 @@ def decode(rows: DataFrame, ranks_path: str) -> DataFrame:
 
 
 def _run(docs: DataFrame, ranks_path: str, most: int, with_ids: bool) -> DataFrame:
-    import uuid
-
     spark = docs.sparkSession
     common.small_batches(spark)
     ranks = load_ranks(ranks_path)
     sent_ranks = spark.sparkContext.broadcast(ranks)
-    sent_words = spark.sparkContext.broadcast([*dictionary(docs, ranks, most), uuid.uuid4().hex])
+    sent_words = spark.sparkContext.broadcast(dictionary(docs, ranks, most))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = _encoder(sent_ranks, sent_words)
+        e = _Encoder(sent_ranks.value, sent_words.value)
         for b in common.slices(batches, "text", 1 << 20):
             data, off = common.text_buffers(b.column(1))
             starts, ends, per = pretok.bpe_tokens(data, off)
@@ -277,6 +265,7 @@ def _run(docs: DataFrame, ranks_path: str, most: int, with_ids: bool) -> DataFra
             raw = flat.astype("<u4").tobytes()
             rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), words)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([raw[4 * i : 4 * j] for i, j in zip(edge[:-1], edge[1:], strict=True)], pa.binary()), rare], ["doc_id", "part", "rare"])
+        common.trim()
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = sorted((r, p) for p, r in sent_ranks.value.items())
@@ -300,7 +289,8 @@ def _run(docs: DataFrame, ranks_path: str, most: int, with_ids: bool) -> DataFra
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             yield pa.RecordBatch.from_arrays([*out, pa.array(cols[2], pa.binary())] if with_ids else out, [*names, "ids"] if with_ids else names)
 
-    parts = docs.select("doc_id", "text").mapInArrow(split, "doc_id long, part binary, rare array<binary>")
+    # written, so that the workers of one pass are gone before those of the next start
+    parts = common.written(docs.select("doc_id", "text").mapInArrow(split, "doc_id long, part binary, rare array<binary>"), "bpe-parts")
     folded = _with_ranks(ranks, f"transform(rare, w -> {fold('w', 'ranks')})")
     more = ", ids binary" if with_ids else ""
     return parts.select("doc_id", "part", folded.alias("ids")).mapInArrow(finish, f"doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
