@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm import common, pretok
+from docmill.llm import common, pretok, vocabulary
 
 DICTIONARY_WORDS = 1_000_000
-FOLD_BYTES = 128
+FOLD_BYTES = vocabulary.LONGEST
 _BUCKETS = 1 << 14
 _NONE = (1 << 31) - 1
 
@@ -95,27 +95,6 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    size = ends - starts
-    off = np.concatenate([[0], np.cumsum(size)])
-    place = np.arange(off[-1]) - np.repeat(off[:-1], size) + np.repeat(starts, size)
-    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(data[place])])
-
-
-def distinct_words(docs: DataFrame) -> DataFrame:
-    """(word binary, n): every pre-token of the texts and how often it occurs. Tasks count before anything is shuffled."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.slices(batches, "text"):
-            data, off = common.text_buffers(b.column(0))
-            starts, ends, _ = pretok.bpe_tokens(data, off)
-            if len(starts):
-                codes, at = pretok.distinct(data, starts, ends)
-                yield pa.RecordBatch.from_arrays([_gather(data, starts[at], ends[at]), pa.array(np.bincount(codes, minlength=len(at)))], ["word", "n"])
-
-    return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
 def _with_ranks(ranks: dict[bytes, int], body: str) -> Column:
     """The SQL ``body`` over ``ranks``, the literal buckets, bound to one lambda variable: the plan holds (and prints) them once."""
     rows = [[","] for _ in range(_BUCKETS)]
@@ -132,82 +111,43 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
 
 def dictionary(docs: DataFrame, ranks: dict[bytes, int], most: int = DICTIONARY_WORDS) -> list[np.ndarray]:
-    """[hashes ascending, ends of words, bytes, ends of ids, ids] of the most frequent recurring pre-tokens, never more than ``most``.
-
-    Words are ranked by classes of frequency (16 to a doubling), each split in 16 by a hash, so that few rows are collected to find
-    the cut; whole classes are taken while they fit.
-    """
+    """The ids of the most frequent recurring pre-tokens, folded in Spark and packed: never more than ``most`` words."""
     spark = docs.sparkSession
     done: list[str] = []
-    counted = common.written(distinct_words(docs), "bpe-words", drop=done).where((F.col("n") > 1) & (F.length("word") <= FOLD_BYTES))
-    counted = counted.withColumn("class", (F.floor(16 * F.log2("n")) * 16 + F.pmod(F.xxhash64("word"), F.lit(16))).cast("int"))
-    held, least = 0, 1 << 30
-    for r in counted.groupBy("class").agg(F.count("*").alias("c")).orderBy(F.desc("class")).collect():  # at most 16 x 16 x 64 rows
-        if held + r["c"] > most:
-            break
-        held, least = held + r["c"], r["class"]
-    chosen = counted.where(F.col("class") >= least).select("word").repartition(common.partitions_for(spark, held, 20_000))
-    encoded = common.written(encode_words(chosen, ranks), "bpe-ids", drop=done)
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, off = common.text_buffers(b.column(0))
-            ids = b.column(1)
-            row = [pretok.span_hashes(data, off[:-1], off[1:]), np.diff(off).astype(np.uint8), data, np.diff(ids.offsets.to_numpy()).astype(np.uint8), ids.flatten().to_numpy().astype(np.uint32)]
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in row], names)
-
-    names = ["h", "size", "data", "n", "flat"]
-    parts = encoded.mapInArrow(pack, ", ".join(f"{k} binary" for k in names)).collect()  # some 30 bytes a word, `most` words
+    chosen, held = vocabulary.frequent(common.written(vocabulary.distinct_words(docs), "bpe-words", drop=done), most)
+    folded = encode_words(chosen.repartition(common.partitions_for(spark, held, 20_000)), ranks)
+    out = vocabulary.packed(common.written(folded, "bpe-ids", drop=done))
     common.remove(spark, done)
-    h, size, data, n, flat = (np.concatenate([np.frombuffer(p[k], t) for p in parts] or [np.zeros(0, t)]) for k, t in zip(names, (np.uint64, np.uint8, np.uint8, np.uint8, np.uint32), strict=True))
-    size, n = size.astype(np.int64), n.astype(np.int64)
-    order = np.unique(h, return_index=True)[1]  # of words with one hash the first is held, the rest are folded where they are met
-    words, ids = (pretok.take_rows(x, (np.cumsum(z) - z)[order], z[order]) for x, z in ((data, size), (flat, n)))
-    return [h[order], np.cumsum(size[order]), words, np.cumsum(n[order]), ids]
+    return out
 
 
 _HOLE = np.uint32(1 << 31)
 
 
-class _Encoder:
-    """The broadcast dictionary; what it lacks is left as holes, numbered by text."""
-
-    def __init__(self, ranks: dict[bytes, int], known: list[np.ndarray]):
-        self.ranks, (self.keys, self.ends, self.bytes, self.stops, self.flat) = ranks, known
-
-    def split(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
-        """(ids and holes, length of each word's ids, the words of the holes, how many of them each text has)."""
-        codes, first = pretok.distinct(data, starts, ends)
-        at0, size = starts[first], (ends - starts)[first]
-        h = pretok.span_hashes(data, at0, ends[first])
-        at = np.minimum(np.searchsorted(self.keys, h), max(len(self.keys) - 1, 0))
-        known = np.zeros(len(first), bool)
-        if len(self.keys):
-            begin = np.append(0, self.ends)[at]
-            known = (self.keys[at] == h) & (self.ends[at] - begin == size)
-            some = np.flatnonzero(known)
-            known[some] = pretok.equal_spans(data, at0[some], self.bytes, begin[some], size[some])
-        rows, place = np.ones(len(first), np.int64), np.zeros(len(first), np.int64)
-        place[known] = np.append(0, self.stops)[at[known]]
-        rows[known] = self.stops[at[known]] - place[known]
-        flat = self.flat
-        long = np.flatnonzero(~known & (size > FOLD_BYTES))
-        for u in long.tolist():
-            ids = merge_word(data[at0[u] : at0[u] + size[u]].tobytes(), self.ranks)
-            place[u], rows[u], flat = len(flat), len(ids), np.concatenate([flat, np.array(ids, np.uint32)])
-        hole = ~known & (size <= FOLD_BYTES)
-        # each text numbers its own distinct words without ids
-        place[hole] = len(flat)
-        out = pretok.take_rows(np.append(flat, _HOLE), place[codes], rows[codes])
-        size_of = rows[codes]
-        met = np.flatnonzero(hole[codes])
-        text = np.repeat(np.arange(len(per)), per)[met]
-        pairs, number = np.unique(text * len(first) + codes[met], return_inverse=True)
-        of = pairs // max(len(first), 1)
-        count = np.bincount(of, minlength=len(per))
-        out[(np.cumsum(size_of) - size_of)[met]] = _HOLE + (number - (np.cumsum(count) - count)[text]).astype(np.uint32)
-        word = first[pairs % max(len(first), 1)]
-        return out, size_of, _gather(data, starts[word], ends[word]), count
+def _split(table: list[np.ndarray], ranks: dict[bytes, int], data: np.ndarray, starts: np.ndarray, ends: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """(ids and holes, length of each word's ids, the words of the holes, how many of them each text has).
+
+    What the dictionary lacks is a hole; each text numbers its own distinct words of that kind.
+    """
+    codes, first = pretok.distinct(data, starts, ends)
+    at0, size = starts[first], (ends - starts)[first]
+    known, place, rows = vocabulary.lookup(table, data, at0, ends[first])
+    rows[~known] = 1
+    flat = table[-1]
+    for u in np.flatnonzero(~known & (size > FOLD_BYTES)).tolist():
+        ids = merge_word(data[at0[u] : at0[u] + size[u]].tobytes(), ranks)
+        place[u], rows[u], flat = len(flat), len(ids), np.concatenate([flat, np.array(ids, np.uint32)])
+    hole = ~known & (size <= FOLD_BYTES)
+    place[hole] = len(flat)
+    out = pretok.take_rows(np.append(flat, _HOLE), place[codes], rows[codes])
+    size_of = rows[codes]
+    met = np.flatnonzero(hole[codes])
+    text = np.repeat(np.arange(len(per)), per)[met]
+    pairs, number = np.unique(text * len(first) + codes[met], return_inverse=True)
+    count = np.bincount(pairs // max(len(first), 1), minlength=len(per))
+    out[(np.cumsum(size_of) - size_of)[met]] = _HOLE + (number - (np.cumsum(count) - count)[text]).astype(np.uint32)
+    word = first[pairs % max(len(first), 1)]
+    return out, size_of, vocabulary.gather(data, starts[word], ends[word]), count
 
 
 def _fill(flat: np.ndarray, of: np.ndarray, folded: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -256,11 +196,11 @@ def _run(docs: DataFrame, ranks_path: str, most: int, with_ids: bool) -> DataFra
     sent_words = spark.sparkContext.broadcast(dictionary(docs, ranks, most))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = _Encoder(sent_ranks.value, sent_words.value)
+        table, own = sent_words.value, sent_ranks.value
         for b in common.slices(batches, "text", 1 << 20):
             data, off = common.text_buffers(b.column(1))
             starts, ends, per = pretok.bpe_tokens(data, off)
-            flat, size, words, count = e.split(data, starts, ends, per) if len(starts) else (np.zeros(0, np.uint32), np.zeros(0, np.int64), pa.array([], pa.binary()), np.zeros(len(per), np.int64))
+            flat, size, words, count = _split(table, own, data, starts, ends, per) if len(starts) else (np.zeros(0, np.uint32), np.zeros(0, np.int64), pa.array([], pa.binary()), np.zeros(len(per), np.int64))
             edge = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(per)])].tolist()
             raw = flat.astype("<u4").tobytes()
             rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), words)

@@ -2,8 +2,11 @@
 
 A text's pre-tokens are its words, each led by the mark U+2581. Under a unigram vocabulary (piece, score) a word's best segmentation
 maximises the sum of scores; its forward score at a place depends on the prefix before it alone, so it is computed once a
-trie node, when a distinct word first reaches it. A terminal node stores the word's number of tokens. Each task grows its own
-trie from its distinct words (cleared beyond ``limit`` nodes, which costs repeated work only), so nothing is shuffled.
+trie node, when a distinct word first reaches it. A terminal node stores the word's number of tokens.
+
+The corpus' distinct words are counted, and those that recur (the most frequent, at most ``most``) are dealt to tasks by ranges, so that
+words which share a prefix meet in one trie; their counts are packed and broadcast. A text's other words, chiefly those that occur
+once, are inserted in the trie of the task that meets them. A trie is cleared beyond ``limit`` nodes, which costs repeated work only.
 
 The vocabulary's pieces come from a public tokenizer file, in order of id; their scores are those of Zipf's law over that order,
 a fixed rule (no tokenizer is trained). A character that no piece matches scores ``penalty`` below the least score and costs one
@@ -23,9 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from docmill.llm import common, pretok
+from docmill.llm import common, pretok, vocabulary
 
 MARK = "▁"
+WORDS = 1_000_000
 
 
 def zipf_scores(pieces: list[str]) -> dict[str, float]:
@@ -80,32 +84,52 @@ class Trie:
         return count[node]
 
 
-def counts(docs: DataFrame, model_path: str) -> DataFrame:
+def _scored(trie: Trie, words: list[bytes]) -> np.ndarray:
+    """The tokens of each word; words are inserted in order, so that those which share a prefix meet it while it is fresh."""
+    n = np.empty(len(words), np.int64)
+    for i in sorted(range(len(words)), key=words.__getitem__):
+        n[i] = trie.add(MARK + words[i].decode("utf-8", "replace"))
+    return n
+
+
+def dictionary(docs: DataFrame, sent_scores, most: int = WORDS) -> list[np.ndarray]:
+    """The token counts of the most frequent recurring words, packed: never more than ``most`` words."""
+    spark = docs.sparkSession
+    done: list[str] = []
+    chosen, held = vocabulary.frequent(common.written(vocabulary.distinct_words(docs, pretok.words), "trie-words", drop=done), most)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = Trie(sent_scores.value)
+        for b in batches:
+            n = _scored(trie, b.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1), pa.int32()), pa.array(n, pa.int32()))], ["word", "ids"])
+
+    rows = chosen.repartitionByRange(common.partitions_for(spark, held, 50_000), "word").mapInArrow(run, "word binary, ids array<int>")
+    out = vocabulary.packed(common.written(rows, "trie-counts", drop=done))
+    common.remove(spark, done)
+    return out
+
+
+def counts(docs: DataFrame, model_path: str, most: int = WORDS) -> DataFrame:
     """(doc_id, n_words, n_tokens) of each whole text."""
     spark = docs.sparkSession
     common.small_batches(spark)
     sent = spark.sparkContext.broadcast(zipf_scores(load_pieces(Path(model_path).read_bytes())))
+    sent_words = spark.sparkContext.broadcast(dictionary(docs, sent, most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(sent.value)
-
-        def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-            # sorted, so that words which share a prefix meet it while it is fresh
-            n = np.empty(len(words), np.int64)
-            for i in sorted(range(len(words)), key=words.__getitem__):
-                n[i] = trie.add(MARK + words[i].decode("utf-8", "replace"))
-            return np.minimum(n, 65_535), np.ones(len(words), np.int64)
-
-        table = pretok.WordTable(encode)
+        trie, table = Trie(sent.value), sent_words.value
         for b in common.slices(batches, "text", 1 << 20):
             data, off = common.text_buffers(b.column(1))
             starts, ends, per = pretok.words(data, off)
-            long = np.flatnonzero(ends - starts > 20_000)  # their counts may not fit the table
-            flat, _ = table.rows(data, starts, ends)
-            n = flat.astype(np.int64)
-            for k in long:
-                n[k] = trie.add(MARK + data[starts[k] : ends[k]].tobytes().decode("utf-8", "replace"))
-            run_of = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(per)])]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(per.astype(np.int64)), pa.array(np.diff(run_of))], ["doc_id", "n_words", "n_tokens"])
+            codes, first = pretok.distinct(data, starts, ends)
+            known, place, _ = vocabulary.lookup(table, data, starts[first], ends[first])
+            n = np.zeros(len(first), np.int64)
+            n[known] = table[-1][place[known]]
+            raw, rest = data.tobytes(), np.flatnonzero(~known)
+            n[rest] = _scored(trie, [raw[starts[i] : ends[i]] for i in first[rest].tolist()])
+            upto = np.concatenate([[0], np.cumsum(n[codes])])[np.concatenate([[0], np.cumsum(per)])]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(per.astype(np.int64)), pa.array(np.diff(upto))], ["doc_id", "n_words", "n_tokens"])
+        common.trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_tokens long")
