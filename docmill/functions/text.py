@@ -68,10 +68,29 @@ def stable_id(fp: Column, url: Column, source_id: Column) -> Column:
     return F.coalesce(blank(fp), blank(url), source_id)
 
 
-def public_url(c: Column) -> Column:
-    """A registry API address as its public page: the last segment of the API path under /document/."""
-    key = F.regexp_extract(c, r"/api/(?:v\d+/)?[^/]+/([^/?#]+)", 1)
-    return F.when(key != "", F.concat(F.regexp_extract(c, "^(https?://[^/]+)", 1), F.lit("/document/"), key)).otherwise(c)
+#: Fixed value: where a document of the planning register is shown.
+REGISTER = "https://omgevingswet.overheid.nl/regels-op-de-kaart/documenten/"
+
+
+def register_id(c: Column) -> Column:
+    """A document's identifier in an address of the planning register, or null: after /documenten/ or /document/, an /akn/ path, or
+    a segment that looks like one. Identifiers with _ for / are turned back."""
+    slashed = lambda x: F.when(x.startswith("_akn_"), F.replace(x, F.lit("_"), F.lit("/"))).otherwise(x)
+    plain = lambda x: F.url_decode(F.replace(x, F.lit("+"), F.lit("%2B")))
+    found = lambda p: F.nullif(F.regexp_extract(c, p, 1), F.lit(""))
+    segment = plain(found(r"^https?://[^/?#]+(?:/[^?#]*)?/(_akn_[^/?#]*|akn[^/?#]*|NL\.IMRO\.[^/?#]*)"))
+    return F.coalesce(slashed(plain(found(r"/documenten/([^/?#]+)"))), plain(found(r"/document/([^/?#]+)")), plain(found(r"^https?://[^/?#]+[^?#]*?(/akn/[^?#]*)")), slashed(F.when(segment.startswith("akn"), F.concat(F.lit("/"), segment)).otherwise(segment)))
+
+
+def public_url(c: Column, known_id: Column | None = None) -> Column:
+    """The public page of an address of the planning register: public addresses as they are, API and old addresses by the identifier
+    in them, others (the bare domain too) by ``known_id``, or null."""
+    lower = F.lower(c)
+    api = lower.contains("/api/") | lower.rlike(r"service\.(?:pre\.)?omgevingswet\.overheid\.nl|/documenten/_(?:zoek|suggereer)|/publiek/")
+    old = c.contains("omgevingswet.overheid.nl/document/")
+    page = lambda i: F.concat(F.lit(REGISTER), F.replace(i, F.lit("/"), F.lit("_")))
+    known = page(known_id) if known_id is not None else F.lit(None).cast("string")
+    return F.when(c.contains("omgevingswet.overheid.nl/regels-op-de-kaart/documenten/"), c).when(api | old, F.coalesce(page(register_id(c)), known)).otherwise(known)
 
 
 def query_terms(c: Column, longer_than: int = 2) -> Column:
@@ -211,6 +230,23 @@ def municipality(c: Column) -> Column:
     return trim(F.regexp_replace(F.regexp_replace(s, "[-']", " "), r"\s+", " "))
 
 
+def same_municipality(a: Column, b: Column) -> Column:
+    """Whether two names mean one municipality: equal in their letters, or one inside the other with five letters or more."""
+    strict = lambda c: F.regexp_replace(municipality(c), "[^a-z]", "")
+    x, y = strict(a), strict(b)
+    return (x != "") & (y != "") & ((x == y) | ((F.least(F.length(x), F.length(y)) >= 5) & (F.contains(x, y) | F.contains(y, x))))
+
+
+def best_municipality(name: Column, known: list[str]) -> Column:
+    """The known name that means the same, else the nearest by Levenshtein at 0.8 or more of the bare names, else null.
+
+    ``known`` is a list in the plan, as long as the country has municipalities.
+    """
+    near = F.transform(F.array(*map(F.lit, known)), lambda k: F.struct(F.when(same_municipality(name, k), 2.0).otherwise(levenshtein_sim(municipality(name), municipality(k))).alias("s"), k.alias("k")))
+    best = F.array_max(F.filter(near, lambda n: n["s"] >= 0.8))
+    return best["k"]
+
+
 def domain(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_extract(url, "^(?i)[a-z]+://([^/?#:]+)", 1)), r"^www\.", "")
 

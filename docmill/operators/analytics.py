@@ -86,8 +86,9 @@ def histogram(df: DataFrame, score: str, bins: int = 5) -> DataFrame:
 
 
 def percentiles(df: DataFrame, key: str, value: str, ps: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99)) -> DataFrame:
-    """Linear interpolation."""
-    return df.groupBy(key).agg(*(F.percentile(value, p).alias(f"p{round(p * 100)}") for p in ps))
+    """Linear interpolation; one pass and one buffer a key for all of them."""
+    got = df.groupBy(key).agg(F.percentile(value, list(ps)).alias("_p"))
+    return got.select(key, *(F.col("_p")[i].alias(f"p{round(p * 100)}") for i, p in enumerate(ps)))
 
 
 def nearest_rank(df: DataFrame, key: str, value: str, slow: float, ps: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
@@ -125,9 +126,12 @@ def top_n_per_group(df: DataFrame, key: str, score: str, tie: str, n: int) -> Da
 
 def min_max(df: DataFrame, key: str | None, score: str) -> DataFrame:
     """Scores scaled to 0..1 within a key; equal scores become 1 if positive, else 0."""
-    w = Window.partitionBy(key) if key else Window.partitionBy(F.lit(0))
-    lo, hi = F.min(score).over(w), F.max(score).over(w)
-    return df.withColumn("norm", F.when(hi == lo, F.when(F.col(score) > 0, 1.0).otherwise(0.0)).otherwise((F.col(score) - lo) / (hi - lo)))
+    if key:
+        lo, hi, rows = F.min(score).over(Window.partitionBy(key)), F.max(score).over(Window.partitionBy(key)), df
+    else:  # one row for all
+        rows = df.join(F.broadcast(df.agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))), F.lit(True))
+        lo, hi = F.col("_lo"), F.col("_hi")
+    return rows.select(*df.columns, F.when(hi == lo, F.when(F.col(score) > 0, 1.0).otherwise(0.0)).otherwise((F.col(score) - lo) / (hi - lo)).alias("norm"))
 
 
 def flakes(runs: DataFrame, key: str, at: str, passed: str, tie: str, last: int = 10, least: int = 5) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -53,3 +55,36 @@ def ab_test(df: DataFrame, variant: str, success: str) -> DataFrame:
 def failure_patterns(df: DataFrame, message: str) -> DataFrame:
     m = df.withColumn("category", T.error_category(F.col(message))).withColumn("pattern", F.substring(T.error_norm(F.col(message)), 1, 100))
     return m.groupBy("category", "pattern").agg(F.count("*").alias("n"))
+
+
+def p_value(z: Column) -> Column:
+    """The two-sided probability of a standard score at least as far from 0."""
+    return F.least(F.lit(1.0), 2 * (1 - T.normal_cdf(F.abs(z))))
+
+
+def run_benchmarks(suite: dict[str, Callable[[], object]], iterations: int = 10, warmup: int = 2, timeout: float = 300.0) -> list[tuple]:
+    """(name, runs, failed, least, mean, median, 95th percentile and greatest seconds) of each function of the suite.
+
+    Functions run one after the other on the driver, as each starts its own Spark jobs; an error counts as a failed run, and no run
+    starts after ``timeout`` seconds of its function.
+    """
+    import time
+
+    out = []
+    for name, f in suite.items():
+        took, failed, began = [], 0, time.monotonic()
+        for i in range(warmup + iterations):
+            if time.monotonic() - began > timeout:
+                break
+            at = time.perf_counter()
+            try:
+                f()
+            except Exception:  # a failed run is a result
+                failed += i >= warmup
+                continue
+            if i >= warmup:
+                took.append(time.perf_counter() - at)
+        s = sorted(took)
+        rank = lambda q: s[min(len(s) - 1, max(0, -(-int(q * 100) * len(s) // 100) - 1))] if s else None  # noqa: B023, E731
+        out.append((name, len(s), failed, rank(0.0), sum(s) / len(s) if s else None, rank(0.5), rank(0.95), rank(1.0)))
+    return out

@@ -121,14 +121,15 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return lab
 
 
-def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, cut_every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, cut_every: int = 2) -> DataFrame:
     """(id, rank), ranks sum to 1; the mass of nodes without out-edges is spread over all."""
     e = cut(edges.select("src", "dst").distinct())
     out = e.groupBy("src").agg(F.count("*").alias("d"))
     ids = cut(nodes_of(e))
     n = ids.count()
     ranks = ids.join(out, ids["id"] == out["src"], "left").select("id", "d", F.lit(1.0 / max(n, 1)).alias("rank"))
-    w = cut(e.join(out, "src").select("src", "dst", (1 / F.col("d")).alias("w")))
+    # held by source, so that a round shuffles ranks alone; lost parts are made again from the checkpoint
+    w = cut(e.join(out, "src").select("src", "dst", (1 / F.col("d")).alias("w"))).repartition("src").persist()
     for i in range(rounds):
         loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("d").isNull(), F.col("rank"))), F.lit(0.0)).alias("loose"))
         got = w.join(ranks, w["src"] == ranks["id"]).groupBy("dst").agg(F.sum(F.col("w") * F.col("rank")).alias("got"))
@@ -136,6 +137,7 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, cut_ever
         ranks = ranks.select("id", "d", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
         if (i + 1) % cut_every == 0 or i + 1 == rounds:
             ranks = cut(ranks)
+    w.unpersist()
     return ranks.select("id", "rank")
 
 
@@ -240,7 +242,13 @@ def _louvain(f: pd.DataFrame) -> pd.DataFrame:
 
 
 def louvain(edges: DataFrame) -> DataFrame:
-    """(id, community, component): modularity communities of each component, deterministic; a component must fit one task."""
+    """(id, community, component): modularity communities by moves over all nodes at once; no component is gathered in a task."""
+    com = _levels(edges, lambda w, d, own, tot, out, every: w - tot * d, 6, 5, False)
+    return com.join(components(undirected(edges)), "id").select("id", "community", "component")
+
+
+def louvain_small(edges: DataFrame) -> DataFrame:
+    """As ``louvain``, by sequential moves, for graphs of small components: each component must fit one task."""
     e = undirected(edges)
     comp = components(e)
     kind = dict(edges.dtypes)["src"]
@@ -372,3 +380,225 @@ def best_first(edges: DataFrame, start: DataFrame, weight: str, depth: int) -> D
         front = cut(nxt.groupBy("id").agg(F.max("score").alias("score")))
         best = cut(best.unionByName(front).groupBy("id").agg(F.max("score").alias("score")))
     return best
+
+
+def graph_problems(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, dims: int) -> DataFrame:
+    """(problem, n): dangling edges, orphans, nodes on cycles, repeated uris, connected parts, and vectors that aren't ``dims`` numbers."""
+    e, ids = edges.select("src", "dst"), nodes.select("id")
+    known = ids.distinct()
+    found = lambda df, name: df.agg(F.lit(name).alias("problem"), F.count("*").alias("n"))
+    whole = e.join(known.select(F.col("id").alias("src")), "src", "left_semi").join(known.select(F.col("id").alias("dst")), "dst", "left_semi")
+    dangling = e.agg(F.count("*").alias("a")).join(whole.agg(F.count("*").alias("b")), F.lit(True)).select(F.lit("dangling").alias("problem"), (F.col("a") - F.col("b")).alias("n"))
+    strong = strong_components(e)
+    cyclic = strong.join(strong.groupBy("component").agg(F.count("*").alias("c")).where("c > 1"), "component", "left_semi").select("id").union(e.where("src = dst").select("src")).distinct()
+    parts = components(e, known)
+    return (
+        dangling.unionByName(found(known.join(nodes_of(e), "id", "left_anti"), "orphan"))
+        .unionByName(found(cyclic, "cyclic"))
+        .unionByName(found(nodes.groupBy("uri").count().where("count > 1"), "duplicate_uri"))
+        .unionByName(found(parts.join(known, "id", "left_semi").select("component").distinct(), "components"))
+        .unionByName(found(vectors.where((F.size("embedding") != dims) | F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))), "bad_vector"))
+    )
+
+
+def centralities(edges: DataFrame) -> DataFrame:
+    """(id, ins, outs, pagerank, eigenvector, betweenness) of every node, side by side."""
+    out = degrees(edges)
+    for name, df in (("pagerank", pagerank(edges).select("id", F.col("rank").alias("pagerank"))), ("eigenvector", eigenvector(edges).select("id", F.col("score").alias("eigenvector"))), ("betweenness", betweenness(edges, nodes_of(edges)).select("id", F.col("score").alias("betweenness")))):
+        out = out.join(df, "id", "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+    return out
+
+
+def preorder(edges: DataFrame, root: int) -> DataFrame:
+    """(id, place, depth) of a tree's nodes in the order of a depth-first walk that takes children by id.
+
+    Subtree sizes are summed from the leaves up and places handed down from the root, a level a round, so no task walks the tree.
+    """
+    levels = [cut(edges.sparkSession.createDataFrame([(root,)], "id long").withColumn("up", F.lit(None).cast("long")))]
+    e = cut(edges.where("src <> dst").select(F.col("src").alias("up"), F.col("dst").alias("id")))
+    while True:
+        nxt = cut(e.join(levels[-1].select(F.col("id").alias("up")), "up", "left_semi").select("id", "up"))
+        if nxt.isEmpty():
+            break
+        levels.append(nxt)
+    sized = [None] * len(levels)
+    for d in range(len(levels) - 1, -1, -1):
+        below = sized[d + 1].groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("s")) if d + 1 < len(levels) else None
+        here = levels[d].join(below, "id", "left").select("id", "up", (F.coalesce("s", F.lit(0)) + 1).alias("size")) if below is not None else levels[d].select("id", "up", F.lit(1).cast("long").alias("size"))
+        sized[d] = cut(here)
+    placed = sized[0].select("id", F.lit(0).cast("long").alias("place"))
+    out = placed.withColumn("depth", F.lit(0))
+    for d in range(1, len(sized)):
+        before = F.sum("size").over(Window.partitionBy("up").orderBy("id")) - F.col("size")
+        placed = cut(sized[d].withColumn("_b", before).join(placed.select(F.col("id").alias("up"), F.col("place").alias("_p")), "up").select("id", (F.col("_p") + 1 + F.col("_b")).alias("place")))
+        out = out.unionByName(placed.withColumn("depth", F.lit(d)))
+    return out
+
+
+def relevant(edges: DataFrame, start: DataFrame, depth: int, stop: float) -> DataFrame:
+    """(id, score) over edges (src, dst, w, node): the best relevance of a path to each node, which is 0.9 of the path so far, 0.1 of
+    the node's own and 0.2 of the edge's weight, 1 at most; a path below ``stop`` goes no further. A score never falls by being
+    reached better, so the best path to each node is enough to go on from."""
+    best = cut(start.select("id", F.lit(1.0).alias("score")))
+    front = best
+    for _ in range(depth):
+        nxt = front.join(edges, front["id"] == edges["src"]).select(F.col("dst").alias("id"), F.least(F.lit(1.0), 0.9 * F.col("score") + 0.1 * F.col("node") + 0.2 * F.col("w")).alias("score"))
+        front = cut(nxt.where(F.col("score") >= stop).groupBy("id").agg(F.max("score").alias("score")))
+        if front.isEmpty():
+            break
+        best = cut(best.unionByName(front).groupBy("id").agg(F.max("score").alias("score")))
+    return best
+
+
+def astar(edges: DataFrame, goals: DataFrame, weight: str, heuristic=None, most_rounds: int = 1000) -> DataFrame:
+    """(start, goal, cost) of the cheapest path for each (start, goal); pairs without a path are left out.
+
+    ``heuristic``: a function of (node, goal) columns to a column that never exceeds the cost that is left, 0 by default. Nodes whose
+    cost so far plus heuristic can't beat the best path found are dropped each round; all starts advance together.
+    """
+    h = heuristic or (lambda node, goal: F.lit(0.0))
+    best = cut(goals.select("start", "goal", F.col("start").alias("id"), F.lit(0.0).alias("cost")))
+    front = best
+    for _ in range(most_rounds):
+        nxt = front.join(edges, front["id"] == edges["src"]).select("start", "goal", F.col("dst").alias("id"), (F.col("cost") + F.col(weight)).alias("cost"))
+        nxt = nxt.groupBy("start", "goal", "id").agg(F.min("cost").alias("new"))
+        got = best.where("id = goal").select("start", "goal", F.col("cost").alias("_found"))
+        nxt = nxt.join(got, ["start", "goal"], "left").where(F.col("_found").isNull() | (F.col("new") + h(F.col("id"), F.col("goal")) < F.col("_found"))).drop("_found")
+        j = cut(best.join(nxt, ["start", "goal", "id"], "full_outer"))
+        better = F.col("new").isNotNull() & (F.col("cost").isNull() | (F.col("new") < F.col("cost")))
+        front = cut(j.where(better).select("start", "goal", "id", F.col("new").alias("cost")))
+        best = cut(j.select("start", "goal", "id", F.least("cost", "new").alias("cost")))
+        if front.isEmpty():
+            return best.where("id = goal").select("start", "goal", "cost")
+    raise RuntimeError("paths did not settle")
+
+
+#: How much a dependency of a type weighs, and how much its distance.
+IMPACT_TYPE = {"OVERRIDES": 1.2, "AMENDS": 1.1, "IMPLEMENTS": 1.0, "REFINES": 0.9, "REFERENCES": 0.5}
+IMPACT_LEVEL = {"direct": 1.0, "indirect": 0.7, "critical": 1.5}
+
+
+def typed_impact(edges: DataFrame, start: DataFrame, depth: int, critical: Column | None = None) -> DataFrame:
+    """(start, n, impact): min(1, mean over the affected of level weight x type weight x confidence) along edges (src, dst, type,
+    confidence) against their direction. A node counts at its least distance, by its strongest edge there; ``critical``: a condition
+    over the edge that makes it a critical one."""
+    hops = k_hop(edges, start, depth, "in")
+    weight = F.element_at(F.create_map(*(F.lit(x) for kv in IMPACT_TYPE.items() for x in kv)), F.col("type"))
+    level = F.when(F.col("h") == 1, IMPACT_LEVEL["direct"]).otherwise(IMPACT_LEVEL["indirect"])
+    level = level if critical is None else F.when(critical, IMPACT_LEVEL["critical"]).otherwise(level)
+    before = hops.select("start", F.col("id").alias("dst"), (F.col("hops") + 1).alias("h"))
+    at = edges.join(before, "dst").join(hops.select("start", F.col("id").alias("src"), F.col("hops").alias("h")), ["start", "src", "h"])
+    per = at.groupBy("start", "src").agg(F.max(level * F.coalesce(weight, F.lit(1.0)) * F.col("confidence")).alias("s"))
+    return per.groupBy("start").agg(F.count("*").alias("n"), F.least(F.lit(1.0), F.sum("s") / F.count("*")).alias("impact"))
+
+
+def numbered(df: DataFrame, by: str, name: str = "i") -> DataFrame:
+    """``df`` with its place (from 0) in order of ``by``: ranges are numbered where they are, and offset by the ranges before."""
+    put = cut(df.repartitionByRange(F.col(by)).sortWithinPartitions(by).withColumn("_at", F.monotonically_increasing_id()))
+    put = put.withColumn("_p", F.shiftright("_at", 33)).withColumn("_n", F.col("_at").bitwiseAND((1 << 33) - 1))
+    sizes = put.groupBy("_p").agg(F.count("*").alias("c"))  # a row a range
+    before = sizes.select("_p", (F.sum("c").over(Window.orderBy("_p")) - F.col("c")).alias("_o"))
+    return put.join(before, "_p").withColumn(name, F.col("_o") + F.col("_n")).drop("_at", "_p", "_n", "_o")
+
+
+def grid(nodes: DataFrame, spacing: float, at: float = 100.0) -> DataFrame:
+    """(id, x, y): rows of a square grid in order of id."""
+    n = nodes.agg(F.ceil(F.sqrt(F.count("*"))).cast("long").alias("_c"))  # one row
+    j = numbered(nodes.select("id"), "id").join(F.broadcast(n), F.lit(True))
+    return j.select("id", (at + F.pmod("i", "_c") * spacing).alias("x"), (at + F.expr("i div _c") * spacing).alias("y"))
+
+
+def applies_to(area: DataFrame, rules: DataFrame, known: DataFrame, types: tuple[str, ...]) -> DataFrame:
+    """(src, dst, confidence): a document's rule (doc, rule, type), by one of ``types``, applies to the areas (doc, area) that the
+    document touches, unless that edge is known (src, dst)."""
+    j = rules.where(F.col("type").isin(*types)).select("doc", "rule").distinct().join(area.distinct(), "doc")
+    found = j.select(F.col("rule").alias("src"), F.col("area").alias("dst")).distinct().join(known.select("src", "dst"), ["src", "dst"], "left_anti")
+    return found.withColumn("confidence", F.lit(0.85))
+
+
+def mentions(entities: DataFrame, pages: DataFrame) -> DataFrame:
+    """(id, page): pages (page, words) that name an entity (id, name) in one of their distinct words; entities of one name share the
+    look-up, so a word is joined once however many bear it."""
+    by = entities.groupBy("name").agg(F.collect_list("id").alias("ids"))
+    return pages.select("page", F.explode("words").alias("name")).join(by, "name").select(F.explode("ids").alias("id"), "page")
+
+
+def node_changes(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(key, change, fields): added, removed, updated (with the names of the changed fields) or unchanged."""
+    a = old.select(key, F.struct(*columns).alias("_a"))
+    b = new.select(key, F.struct(*columns).alias("_b"))
+    differ = F.array_compact(F.array(*(F.when(~F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}")), F.lit(c)) for c in columns)))
+    j = a.join(b, key, "full_outer")
+    change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(F.size(differ) > 0, "updated").otherwise("unchanged")
+    return j.select(key, change.alias("change"), F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), differ).otherwise(F.array().cast("array<string>")).alias("fields"))
+
+
+def _levels(edges: DataFrame, score, rounds: int, levels: int, refine: bool) -> DataFrame:
+    """(id, community) by rounds of local moves over a weighted undirected graph, then over the graph of its communities.
+
+    In a round every node looks at its neighbours' communities, but only half of the nodes (by a hash of node and round) move, so two
+    neighbours seldom swap. ``score``: the gain, as a column, of a node that stands alone and joins a community: of w (its weight to the
+    community), d (its degree), own (its inner weight), tot and cut (the community's degree and weight to the outside, without the
+    node), all as shares of the total, and all (every community's weight to the outside). ``refine``: communities are split into
+    their connected parts first.
+    """
+    e = cut(undirected(edges).select("src", "dst", F.lit(1.0).alias("w")))
+    m2 = e.agg(F.sum("w")).first()[0] or 1.0
+    e = cut(e.withColumn("w", F.col("w") / m2))
+    member = cut(e.select(F.col("src").alias("id")).distinct().withColumn("node", F.col("id")))
+    for _ in range(levels):
+        own = F.sum(F.when(F.col("src") == F.col("dst"), F.col("w")).otherwise(0.0))
+        com = cut(e.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("d"), own.alias("own")).withColumn("com", F.col("id")))
+        for i in range(rounds):
+            near = e.where("src <> dst").join(com.select(F.col("id").alias("dst"), F.col("com").alias("c")), "dst").select(F.col("src").alias("id"), "c", "w")
+            near = near.unionByName(com.select("id", F.col("com").alias("c"), F.lit(0.0).alias("w"))).groupBy("id", "c").agg(F.sum("w").alias("w"))
+            links = cut(near.join(com, "id"))
+            per = links.where("c = com").groupBy("c").agg(F.sum("d").alias("tot"), F.sum(F.col("d") - F.col("own") - F.col("w")).alias("cut"))
+            every = per.agg(F.sum("cut").alias("all"))  # one row
+            at = links.join(per, "c").join(F.broadcast(every), F.lit(True))
+            mine = F.col("c") == F.col("com")
+            tot = F.when(mine, F.col("tot") - F.col("d")).otherwise(F.col("tot"))
+            out = F.when(mine, F.greatest(F.lit(0.0), F.col("cut") - (F.col("d") - F.col("own") - 2 * F.col("w")))).otherwise(F.col("cut"))
+            at = at.withColumn("g", F.round(score(F.col("w"), F.col("d"), F.col("own"), tot, out, F.col("all")), 12))
+            best = at.groupBy("id", "com", "d", "own").agg(F.max(F.struct("g", (-F.col("c")).alias("n"))).alias("m"), F.max(F.when(mine, F.col("g"))).alias("stay"))
+            could = F.col("m.g") > F.col("stay")
+            free = F.pmod(F.xxhash64("id", F.lit(i)), F.lit(2)) == 0
+            nxt = cut(best.select("id", "d", "own", F.when(free & could, -F.col("m.n")).otherwise(F.col("com")).alias("com"), could.alias("could")))
+            com = nxt.drop("could")
+            if not nxt.where("could").limit(1).count():
+                break
+        if refine:
+            lab = com.select("id", "com")
+            a, b = lab.select(F.col("id").alias("src"), F.col("com").alias("x")), lab.select(F.col("id").alias("dst"), F.col("com").alias("y"))
+            inside = e.select("src", "dst").join(a, "src").join(b, "dst").where("x = y").select("src", "dst")
+            com = cut(components(inside, com.select("id")).select("id", F.col("component").alias("com")))
+        member = cut(member.join(com.select(F.col("id").alias("node"), "com"), "node").select("id", F.col("com").alias("node")))
+        a, b = com.select(F.col("id").alias("src"), F.col("com").alias("x")), com.select(F.col("id").alias("dst"), F.col("com").alias("y"))
+        less = cut(e.join(a, "src").join(b, "dst").groupBy(F.col("x").alias("src"), F.col("y").alias("dst")).agg(F.sum("w").alias("w")))
+        if less.count() == e.count():
+            break
+        e = less
+    low = member.groupBy("node").agg(F.min("id").alias("community"))
+    return member.join(low, "node").select("id", "community")
+
+
+def leiden(edges: DataFrame, rounds: int = 6, levels: int = 5) -> DataFrame:
+    """(id, community): modularity communities that are connected, by moves over all nodes at once; no component is gathered in a task."""
+    return _levels(edges, lambda w, d, own, tot, out, every: w - tot * d, rounds, levels, True)
+
+
+def infomap(edges: DataFrame, rounds: int = 6, levels: int = 5) -> DataFrame:
+    """(id, community): communities that shorten the description of a random walk: greedy moves by the two-level map equation.
+
+    On an undirected graph a node is visited in proportion to its degree, so what a move changes of the equation are the terms of the
+    node, of the community that it joins and of the exits in all.
+    """
+
+    def gain(w: Column, d: Column, own: Column, tot: Column, out: Column, every: Column) -> Column:
+        plogp = lambda x: F.when(x > 1e-15, x * F.log2(x)).otherwise(0.0)
+        alone, joined = d - own, F.greatest(F.lit(0.0), out + d - own - 2 * w)  # exits of the node, and of both together
+        before = plogp(every) - 2 * plogp(out) + plogp(out + tot) - 2 * plogp(alone) + plogp(alone + d)
+        after = plogp(F.greatest(F.lit(0.0), every + joined - out - alone)) - 2 * plogp(joined) + plogp(joined + tot + d)
+        return before - after
+
+    return _levels(edges, gain, rounds, levels, False)

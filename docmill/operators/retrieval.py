@@ -201,3 +201,112 @@ def relation_score(frequency: Column, compatible: Column, pattern: Column, gap_d
 def entropy_conflict(before: Column, after: Column, threshold: float = 0.1) -> Column:
     delta = after - before
     return F.when(delta > 0.3, "high").when(delta > threshold, "medium").otherwise("none")
+
+
+#: The weights of a result's scores, and of graph against vector in a fact's.
+RANK_WEIGHTS = {"vector": 0.5, "graph": 0.25, "recency": 0.1, "metadata": 0.15}
+FACT_WEIGHTS = {"graph": 0.6, "vector": 0.4}
+
+
+def hybrid_kg(vector: DataFrame, entities: DataFrame, about: DataFrame, edges: DataFrame, limit: int = 5, related: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(documents, related entities) of a question: vector hits (id, score) and entity hits (id, score) ranked together.
+
+    ``about``: (id, uri, recency, metadata), each null where unknown and then 0.5. A document's score is the weighted sum of its four
+    scores, a side that didn't find it counting 0; of documents with one uri the best stays. Related entities are the neighbours of
+    what was found in edges (src, dst), by how many results they touch. Only the ``limit`` best reach one task.
+    """
+    hits = vector.select("id", F.col("score").alias("v")).join(entities.select("id", F.col("score").alias("g")), "id", "full_outer").join(about, "id", "left")
+    part = {"vector": F.coalesce("v", F.lit(0.0)), "graph": F.coalesce("g", F.lit(0.0)), "recency": F.coalesce("recency", F.lit(0.5)), "metadata": F.coalesce("metadata", F.lit(0.5))}
+    rank = sum((w * part[k] for k, w in RANK_WEIGHTS.items()), F.lit(0.0))
+    ranked = hits.select("id", "uri", F.round(rank, 9).alias("score"))
+    best = ranked.where("uri IS NOT NULL").groupBy("uri").agg(F.max(F.struct("score", (-F.col("id")).alias("n"))).alias("m")).select((-F.col("m.n")).alias("id"), "uri", "m.score")
+    docs = ranked.where("uri IS NULL").unionByName(best.select("id", "uri", "score")).orderBy(F.desc("score"), "id").limit(limit)
+    both = edges.select("src", "dst").union(edges.select("dst", "src"))
+    near = both.join(F.broadcast(docs.select(F.col("id").alias("src"))), "src").join(F.broadcast(docs.select(F.col("id").alias("dst"))), "dst", "left_anti")
+    near = near.groupBy(F.col("dst").alias("id")).agg(F.countDistinct("src").alias("touches")).orderBy(F.desc("touches"), "id").limit(related)
+    return docs, near
+
+
+def graph_rag(facts: DataFrame, chunks: DataFrame, most_facts: int = 10, per_fact: int = 5, per_query: int = 20, least: float = 0.3) -> DataFrame:
+    """(place, fact, chunk, score, citation) of a question: ranked facts, each with the chunks that support it.
+
+    ``facts``: (id, relevance), of which the ``most_facts`` best are kept; ``chunks``: (id, entity, similarity), at ``least`` or more, at most
+    ``per_fact`` an entity and ``per_query`` in all, a chunk once, with its best fact. A row's score is 0.6 of its fact's and 0.4 of its
+    chunk's; a fact without a chunk stands alone. Citations number the facts in order.
+    """
+    top = facts.orderBy(F.desc("relevance"), "id").limit(most_facts)
+    top = top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("relevance"), "id"))).select("place", F.col("id").alias("fact"), "relevance")
+    c = chunks.where(F.col("similarity") >= least).join(F.broadcast(top), F.col("entity") == F.col("fact"))
+    c = c.withColumn("_r", F.row_number().over(Window.partitionBy("fact").orderBy(F.desc("similarity"), "id"))).where(F.col("_r") <= per_fact)
+    c = c.groupBy("id").agg(F.max(F.struct("relevance", (-F.col("place")).alias("n"), "fact", "similarity")).alias("m"))
+    c = c.select(F.col("id").alias("chunk"), "m.fact", "m.similarity").orderBy(F.desc("similarity"), "chunk").limit(per_query)
+    out = top.join(c, "fact", "left")
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), FACT_WEIGHTS["graph"] * F.col("relevance") + FACT_WEIGHTS["vector"] * F.coalesce("similarity", F.lit(0.0))))
+    return out.select("place", "fact", "chunk", score.alias("score"), F.concat(F.lit("["), "place", F.lit("]")).alias("citation"))
+
+
+PROVIDERS: dict[str, dict[str, object]] = {"embed": {}, "llm": {}}
+
+
+def provider(kind: str, name: str):
+    """Registers a model: a function of a series of texts to vectors (embed) or to texts (llm), run in batches where the rows are."""
+
+    def add(f):
+        PROVIDERS[kind][name] = f
+        return f
+
+    return add
+
+
+def through(df: DataFrame, text: str, kind: str, name: str, out: str = "out") -> DataFrame:
+    """``df`` with the named provider's answer to its texts; a provider that fails or is unknown is an error, not an empty answer."""
+    f = PROVIDERS[kind][name]
+
+    @F.pandas_udf("array<double>" if kind == "embed" else "string")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(f(texts.fillna("")))
+
+    return df.withColumn(out, run(F.col(text)))
+
+
+@provider("embed", "letters")
+def _(texts: pd.Series):
+    """Shares of the 26 letters: a stand-in without a model."""
+    import string
+
+    low = texts.str.lower()
+    counts = np.array([[t.count(ch) for ch in string.ascii_lowercase] for t in low], float).reshape(len(low), 26)
+    return list(counts / np.maximum(counts.sum(1, keepdims=True), 1))
+
+
+@provider("llm", "first_sentence")
+def _(texts: pd.Series):
+    """The first sentence: the deterministic answer where no model is given."""
+    return texts.str.extract(r"(?s)^\s*(.*?[.!?](?=\s|$)|.*)", expand=False).str.strip()
+
+
+class ResultCache:
+    """Results by key, kept as Spark's cached tables: the least recently used go beyond ``most``, and each after ``ttl`` seconds."""
+
+    def __init__(self, spark, ttl: float = 300.0, most: int = 100):
+        self.ttl, self.most, self.hits = ttl, most, 0
+        self._held: dict[str, tuple[float, DataFrame]] = {}
+
+    def get(self, key: str, make) -> DataFrame:
+        """The cached result of ``key``, or that of ``make()``, which is then cached."""
+        import time
+
+        now = time.monotonic()
+        if key in self._held and now - self._held[key][0] <= self.ttl:
+            self.hits += 1
+            self._held[key] = self._held.pop(key)
+            return self._held[key][1]
+        self.drop(key)
+        self._held[key] = (now, make().cache())
+        while len(self._held) > self.most:
+            self.drop(next(iter(self._held)))
+        return self._held[key][1]
+
+    def drop(self, key: str) -> None:
+        if key in self._held:
+            self._held.pop(key)[1].unpersist()

@@ -14,21 +14,6 @@ from docmill.plans.analytics import R, rounded
 from docmill.plans.graphs import EDGES, _edges
 from docmill.plans.registry import query
 
-_PART = "(SELECT p_partkey AS id, lower(p_name) AS name, p_brand || '|' || p_type AS blk FROM part)"
-
-
-def _ents(t):
-    return t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat_ws("|", "p_brand", "p_type").alias("blk"))
-
-
-_MATCH = f"WITH p AS (SELECT *, CASE WHEN a = b THEN 1 WHEN na = nb THEN 0.98 ELSE least(0.9, 0.5 + (s - 0.85) / 0.15 * 0.4) END AS c FROM (SELECT x.id AS a, y.id AS b, x.name AS na, y.name AS nb, CASE WHEN x.name = y.name THEN 1 ELSE 1 - levenshtein(x.name, y.name) / greatest(length(x.name), length(y.name))::DOUBLE END AS s FROM {_PART} x JOIN {_PART} y ON x.blk = y.blk) WHERE a = b OR na = nb OR s >= 0.85)"
-
-
-@query("er_find", _MATCH + " SELECT a, b, round(c, 6)::DOUBLE AS confidence FROM p")
-def _(t):
-    return rounded(E.find_matches(_ents(t), _ents(t), "blk").drop("how"))
-
-
 @query("er_conf", "SELECT doc_id, round(least(0.9, 0.5 + (s - 0.85) / 0.15 * 0.4), 6)::DOUBLE AS name_conf, round(least(0.85, 0.6 + (s - 0.75) / 0.25 * 0.25), 6)::DOUBLE AS sem_conf FROM (SELECT doc_id, 0.85::DOUBLE + (doc_id % 15) / 100.0::DOUBLE AS s FROM documents)")
 def _(t):
     s = 0.85 + (F.col("doc_id") % 15) / 100
@@ -161,12 +146,6 @@ def _(t):
     return t.events.groupBy(E.quality_band(s).alias("band")).agg(F.count("*").alias("n"))
 
 
-@query("va_nav_graph", f"SELECT 'dangling' AS problem, count(*) AS n FROM {EDGES} WHERE dst NOT IN (SELECT p_partkey FROM part WHERE p_size <= 20) UNION ALL SELECT 'duplicate_url', count(*) FROM (SELECT url FROM pages GROUP BY url HAVING count(*) > 1)")
-def _(t):
-    e = _edges(t).join(t.part.where("p_size <= 20").select(F.col("p_partkey").alias("dst")), "dst", "left_anti").agg(F.lit("dangling").alias("problem"), F.count("*").alias("n"))
-    return e.unionByName(t.pages.groupBy("url").count().where("count > 1").agg(F.lit("duplicate_url").alias("problem"), F.count("*").alias("n")))
-
-
 @query("va_etl", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def _(t):
     return t.orders.select("o_orderkey").join(t.lineitem.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")
@@ -207,11 +186,6 @@ def _(t):
     return E.apply_changes(t.part, _v2(t), c, "p_partkey").select("p_partkey", "p_size", "deleted")
 
 
-@query("vs_merge", f"SELECT a.p_partkey, coalesce(b.p_size, a.p_size) AS p_size FROM part a LEFT JOIN {_V2} b ON a.p_partkey = b.p_partkey")
-def _(t):
-    return E.merge_versions(t.part, _v2(t), "p_partkey", "p_size")
-
-
 @query("vs_entity", "SELECT o_orderkey, row_number() OVER w::INT AS version, lead(o_orderdate) OVER w AS until FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)".replace("OVER w::INT", "OVER w"))
 def _(t):
     return E.versions(t.orders, "o_custkey", "o_orderdate", "o_orderkey").select("o_orderkey", F.col("version").cast("long").alias("version"), "until")
@@ -239,12 +213,6 @@ def _(t):
     return t.orders.groupBy("o_custkey").agg(F.array_join(h, ">").alias("history"))
 
 
-@query("vs_branch", "SELECT c_mktsegment, count(*) FILTER (WHERE c_custkey % 2 = 0) AS main, count(*) FILTER (WHERE c_custkey % 2 = 1) AS work FROM customer GROUP BY 1")
-def _(t):
-    b = t.customer.withColumn("branch", F.when(F.col("c_custkey") % 2 == 0, "main").otherwise("work"))
-    return b.groupBy("c_mktsegment").pivot("branch", ["main", "work"]).count().fillna(0)
-
-
 # chunks and metadata
 @query("ch_tokens", "SELECT doc_id, i::INT AS chunk_index, substr(text, i * 1800 + 1, 2000) AS chunk FROM (SELECT doc_id, text, unnest(range(greatest(1, ceil((length(text) - 200) / 1800.0::DOUBLE))::BIGINT)) AS i FROM documents WHERE length(text) > 0)")
 def _(t):
@@ -401,12 +369,9 @@ def _(t):
     return t.orders.groupBy(F.date_trunc("quarter", "o_orderdate").alias("quarter")).agg(R(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("lb_knn", "WITH s AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id < 50) SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM s WHERE s >= 0.2) WHERE r <= 5")
+@query("lb_knn", "WITH s AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id) SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM s WHERE s >= 0.2) WHERE r <= 5")
 def _(t):
-    e = t.embeddings.where("vec_id < 50").select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"), "label")
-    f = t.embeddings.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"), "label")
-    s = e.join(f, "label").where("a <> b").select("a", "b", R(T.cosine(F.col("x"), F.col("y")), 9).alias("s")).where("s >= 0.2")
-    return A.top_n_per_group(s, "a", "s", "b", 5).select("a", "b")
+    return retrieval.nearest(t.embeddings, "vec_id", "embedding", "label", 5, 0.2).select("a", "b")
 
 
 @query("lb_knn_all", "WITH s AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id) SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM s WHERE s >= 0.2) WHERE r <= 5")
@@ -425,12 +390,9 @@ def _(t):
     return _edges(t).where("src <> dst AND src % 4 <> dst % 4").select("src", "dst")
 
 
-@query("lb_align", "SELECT c_mktsegment AS term, arg_max(p_type, (round(1 - levenshtein(lower(c_mktsegment), lower(p_type)) / greatest(length(c_mktsegment), length(p_type))::DOUBLE, 6), p_type)) AS best FROM (SELECT DISTINCT c_mktsegment FROM customer), (SELECT DISTINCT p_type FROM part) GROUP BY 1")
+@query("lb_align", "SELECT term, arg_max(best, (s, best)) AS best, round(max(s), 6) AS sim FROM (SELECT lower(c_mktsegment) AS term, lower(p_type) AS best, 1 - levenshtein(lower(c_mktsegment), lower(p_type)) / greatest(length(c_mktsegment), length(p_type))::DOUBLE AS s FROM (SELECT DISTINCT c_mktsegment FROM customer), (SELECT DISTINCT p_type FROM part)) WHERE s >= 0.3 GROUP BY term")
 def _(t):
-    # both vocabularies are small by nature: a few terms against a few types
-    a, b = t.customer.select("c_mktsegment").distinct(), t.part.select("p_type").distinct()
-    s = R(T.levenshtein_sim(F.col("c_mktsegment"), F.col("p_type")))
-    return a.join(F.broadcast(b), F.lit(True)).groupBy(F.col("c_mktsegment").alias("term")).agg(F.max_by("p_type", F.struct(s, F.col("p_type"))).alias("best"))
+    return rounded(E.align(t.customer.select(F.lower("c_mktsegment").alias("name")), t.part.select(F.lower("p_type").alias("name")), 0.3))
 
 
 @query("tx_orphan_files", "SELECT page_id, CASE WHEN length(html) < 2000 THEN 0.9 ELSE 0.6 END::DOUBLE AS confidence FROM pages WHERE page_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")

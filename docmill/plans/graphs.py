@@ -53,27 +53,11 @@ def _(t):
     return G.bfs_paths(_edges(t), _start(t, 1), 4, "both").select("id", "hops", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
-@query("gr_dfs", _BFS + " SELECT id FROM m")
-def _(t):
-    # a depth-first walk reaches the same nodes
-    return G.k_hop(_edges(t), _start(t, 1), 4, "both").select("id")
-
-
 @query("gr_weighted", f"WITH RECURSIVE e AS (SELECT src, dst, 1 - w / 100.0::DOUBLE AS w FROM {EDGES}), r AS (SELECT unnest([1, 2, 3]::BIGINT[]) AS id, 1::DOUBLE AS s, 0 AS h UNION ALL SELECT dst, s * w, h + 1 FROM r JOIN e ON id = src WHERE h < 4) SELECT id, round(max(s), 6) AS score FROM r GROUP BY id")
 def _(t):
     return rounded(G.best_first(_edges(t).withColumn("w", 1 - F.col("w") / 100), _start(t, 1, 2, 3), "w", 4))
 
 
-@query("gr_relevance", f"WITH e AS (SELECT src, dst, w FROM {EDGES}) SELECT src, dst, round(least(1, 0.9 * 0.8 + 0.1 * (dst % 10) / 10.0::DOUBLE + 0.2 * w / 100.0::DOUBLE), 6) AS score FROM e")
-def _(t):
-    return rounded(_edges(t).select("src", "dst", F.least(F.lit(1.0), 0.9 * 0.8 + 0.1 * (F.col("dst") % 10) / 10 + 0.2 * F.col("w") / 100).alias("score")))
-
-
-@query("gr_astar", f"WITH RECURSIVE e AS (SELECT * FROM {EDGES}), r AS (SELECT unnest([1, 2, 3]::BIGINT[]) AS start, unnest([1, 2, 3]::BIGINT[]) AS id, 0 AS cost, 0 AS h UNION SELECT start, dst, cost + w, h + 1 FROM r JOIN e ON id = src WHERE h < 60) SELECT start, id, min(cost)::DOUBLE AS cost FROM r GROUP BY ALL")
-def _(t):
-    return G.shortest_paths(_edges(t), _start(t, 1, 2, 3), "w").select("start", "id", "cost")
-
-
 @query("gr_path", f"WITH RECURSIVE e AS (SELECT * FROM {EDGES}), r AS (SELECT 7::BIGINT AS id, 0 AS h UNION SELECT dst, h + 1 FROM r JOIN e ON id = src WHERE h < 60) SELECT id, min(h)::INT AS hops FROM r GROUP BY id")
 def _(t):
     return G.k_hop(_edges(t), _start(t, 7), 60).select("id", "hops")
@@ -108,12 +92,6 @@ def _(t):
     return G.strong_components(_edges(t))
 
 
-@query("gr_kcore", f"WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 100000 AS b FROM lineitem WHERE l_partkey <= 300), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e) SELECT a AS id FROM u GROUP BY a HAVING count(*) >= 1")
-def _(t):
-    e = t.lineitem.where("l_partkey <= 300").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 100000).alias("dst"))
-    return G.k_core(e, 1)
-
-
 @query("gr_kcore_3")
 def _(t):
     return G.k_core(t.lineitem.select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 100000).alias("dst")), 3)
@@ -127,6 +105,11 @@ def _(t):
     return G.k_core(e, k or 1)
 
 
+@query("gr_dijkstra", f"WITH RECURSIVE e AS (SELECT * FROM {EDGES}), r AS (SELECT unnest([1, 2, 3]::BIGINT[]) AS start, unnest([1, 2, 3]::BIGINT[]) AS id, 0 AS cost, 0 AS h UNION SELECT start, dst, cost + w, h + 1 FROM r JOIN e ON id = src WHERE h < 60) SELECT start, id, min(cost)::DOUBLE AS cost FROM r GROUP BY ALL")
+def _(t):
+    return G.shortest_paths(_edges(t), _start(t, 1, 2, 3), "w").select("start", "id", "cost")
+
+
 @query("gr_lpa")
 def _(t):
     return G.label_propagation(_edges(t))
@@ -137,16 +120,6 @@ def _(t):
     return G.louvain(_edges(t))
 
 
-@query("gr_leiden")
-def _(t):
-    # communities refined so that each is connected
-    c = G.louvain(_edges(t))
-    e = _edges(t).select("src", "dst")
-    lab = c.select("id", F.col("community").alias("label"))
-    inside = e.join(lab.select(F.col("id").alias("src"), F.col("label").alias("a")), "src").join(lab.select(F.col("id").alias("dst"), F.col("label").alias("b")), "dst").where("a = b").select("src", "dst")
-    return G.components(inside, c.select("id")).select("id", F.col("component").alias("community"))
-
-
 @query("gr_modularity")
 def _(t):
     return rounded(G.modularity(_edges(t), G.louvain(_edges(t)).select("id", F.col("community").alias("label"))))
@@ -208,10 +181,10 @@ def _(t):
     return G.descendants(_tree(t), _start(t, 2))
 
 
-@query("gr_jurisdiction", f"WITH RECURSIVE e AS (SELECT * FROM {TREE}), r AS (SELECT child AS start, child AS id FROM e WHERE child BETWEEN 1001 AND 1020 UNION SELECT start, parent FROM r JOIN e ON child = id) SELECT start, id FROM r")
+@query("gr_jurisdiction", f"WITH RECURSIVE e AS (SELECT * FROM {TREE}), r AS (SELECT x AS start, x AS id FROM (SELECT child AS x FROM e UNION SELECT parent FROM e) UNION SELECT start, parent FROM r JOIN e ON child = id) SELECT start, id FROM r")
 def _(t):
     up = _tree(t).select(F.col("child").alias("src"), F.col("parent").alias("dst"))
-    return G.k_hop(up, up.where("src BETWEEN 1001 AND 1020").select(F.col("src").alias("id")), 10).select("start", "id")
+    return G.k_hop(up, G.nodes_of(up), 10).select("start", "id")
 
 
 @query("gr_jurisdiction_all", f"WITH RECURSIVE e AS (SELECT * FROM {TREE}), r AS (SELECT x AS start, x AS id FROM (SELECT child AS x FROM e UNION SELECT parent FROM e) UNION SELECT start, parent FROM r JOIN e ON child = id) SELECT start, id FROM r")
@@ -225,12 +198,6 @@ def _(t):
     return rounded(G.transitive(_edges(t)))
 
 
-@query("gr_inf_type", "SELECT DISTINCT o_custkey, n_regionkey, 0.85::DOUBLE AS confidence FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
-def _(t):
-    j = t.orders.select("o_custkey").distinct().join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
-    return j.select("o_custkey", "n_regionkey", F.lit(0.85).alias("confidence")).distinct()
-
-
 @query("gr_inf_temporal", "WITH d AS (SELECT o_orderkey AS newer, lag(o_orderkey) OVER w AS older, (epoch_us(o_orderdate) - epoch_us(lag(o_orderdate) OVER w)) / (365 * 86400000000.0::DOUBLE) AS y FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) SELECT newer, older, round(greatest(0.5, 0.8 - 0.1 * y), 6) AS confidence FROM d WHERE older IS NOT NULL")
 def _(t):
     return rounded(G.supersedes(t.orders, "o_orderkey", "o_custkey", "o_orderdate"))
@@ -242,10 +209,10 @@ def _(t):
     return e.select(F.col("child").alias("src"), F.col("parent").alias("m")).join(e.select(F.col("child").alias("m"), F.col("parent").alias("dst")), "m").select("src", "dst", F.lit(0.75).alias("confidence"))
 
 
-@query("gr_impact", f"WITH RECURSIVE e AS (SELECT * FROM {EDGES}), r AS (SELECT x AS start, x AS id, 0 AS h FROM (SELECT DISTINCT dst AS x FROM e WHERE dst <= 60) UNION SELECT start, src, h + 1 FROM r JOIN e ON id = dst WHERE h < 3), m AS (SELECT start, id, min(h) AS h FROM r GROUP BY ALL) SELECT start, count(*) AS affected, round(least(1, sum(0.5::DOUBLE ^ (h - 1)) / count(*)), 6) AS impact FROM m WHERE h > 0 GROUP BY start")
+@query("gr_impact", f"WITH RECURSIVE e AS (SELECT * FROM {EDGES}), r AS (SELECT x AS start, x AS id, 0 AS h FROM (SELECT DISTINCT dst AS x FROM e) UNION SELECT start, src, h + 1 FROM r JOIN e ON id = dst WHERE h < 3), m AS (SELECT start, id, min(h) AS h FROM r GROUP BY ALL) SELECT start, count(*) AS affected, round(least(1, sum(0.5::DOUBLE ^ (h - 1)) / count(*)), 6) AS impact FROM m WHERE h > 0 GROUP BY start")
 def _(t):
     e = _edges(t)
-    return rounded(G.impact(e, e.where("dst <= 60").select(F.col("dst").alias("id")).distinct(), 3))
+    return rounded(G.impact(e, e.select(F.col("dst").alias("id")).distinct(), 3))
 
 
 @query("gr_impact_all", f"WITH RECURSIVE e AS (SELECT * FROM {EDGES}), r AS (SELECT x AS start, x AS id, 0 AS h FROM (SELECT DISTINCT dst AS x FROM e) UNION SELECT start, src, h + 1 FROM r JOIN e ON id = dst WHERE h < 3), m AS (SELECT start, id, min(h) AS h FROM r GROUP BY ALL) SELECT start, count(*) AS affected, round(least(1, sum(0.5::DOUBLE ^ (h - 1)) / count(*)), 6) AS impact FROM m WHERE h > 0 GROUP BY start")
@@ -273,11 +240,6 @@ def _(t):
     return t.part.select(F.col("p_partkey").alias("id")).join(G.nodes_of(_edges(t)), "id", "left_anti")
 
 
-@query("gr_xlink", "SELECT s_suppkey, doc_id FROM supplier JOIN documents ON doc_id = s_suppkey * 3 AND contains(source, 'src')")
-def _(t):
-    return t.supplier.select("s_suppkey", (F.col("s_suppkey") * 3).alias("doc_id")).join(t.documents.where(F.contains("source", F.lit("src"))).select("doc_id"), "doc_id").select("s_suppkey", "doc_id")
-
-
 @query("cr_plan", f"WITH RECURSIVE e AS (SELECT * FROM {EDGES}), r AS (SELECT 1::BIGINT AS id, 0 AS h UNION SELECT dst, h + 1 FROM r JOIN e ON id = src WHERE h < 3) SELECT id, min(h)::INT AS hops FROM r GROUP BY id ORDER BY 2, 1 LIMIT 50")
 def _(t):
     return G.bfs_paths(_edges(t), _start(t, 1), 3, most=50).select("id", "hops")

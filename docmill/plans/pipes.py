@@ -39,9 +39,9 @@ def _lines_of(t, orders):
     return readers.with_extensions(orders.select("o_orderkey"), "o_orderkey", {"lines": l}).select("o_orderkey", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n"))
 
 
-@query("src_with_ext", "SELECT o_orderkey, count(l_linenumber) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey < 500 GROUP BY o_orderkey")
+@query("src_with_ext", "SELECT o_orderkey, count(l_linenumber) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
 def _(t):
-    return _lines_of(t, t.orders.where("o_orderkey < 500"))
+    return _lines_of(t, t.orders)
 
 
 @query("src_with_ext_all", "SELECT o_orderkey, count(l_linenumber) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
@@ -55,13 +55,6 @@ def _(t):
     return guard.read_only_sql(t.spark, "SELECT lang, count(*) AS n FROM documents WHERE n_chars > :least GROUP BY lang", least=300)
 
 
-@query("src_cypher", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
-def _(t):
-    t.nation.createOrReplaceTempView("nation")
-    t.region.createOrReplaceTempView("region")
-    return guard.read_only_sql(t.spark, "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
-
-
 @query("src_cdx_query", r"SELECT regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)), '^www\.', '') AS domain, count(*) AS n FROM pages WHERE regexp_matches(url, 'a') GROUP BY 1")
 def _(t):
     return t.pages.where(F.col("url").rlike("a")).groupBy(T.domain(F.col("url")).alias("domain")).agg(F.count("*").alias("n"))
@@ -78,13 +71,6 @@ def _(t):
     return readers.ingest({"web": t.pages, "documents": t.documents}).select("source", "source_id", "title")
 
 
-@query("src_imro", "SELECT p_partkey, p_name AS name, p_type AS kind, 'law' AS format FROM part")
-def _(t):
-    xml = F.concat(F.lit("<wetgeving><naam>"), F.col("p_name"), F.lit("</naam><soort>"), F.col("p_type"), F.lit("</soort></wetgeving>"))
-    x = t.part.select("p_partkey", xml.alias("x"))
-    return x.select("p_partkey", *readers.xml_fields(F.col("x"), {"name": "/wetgeving/naam", "kind": "/wetgeving/soort"}), readers.xml_format(F.col("x")).alias("format"))
-
-
 _V2 = "(SELECT p_partkey, p_size + 100 AS p_size FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey + 1000000, 1 FROM part WHERE p_partkey <= 5)"
 
 
@@ -117,12 +103,6 @@ def _(t):
     return sinks.triples(t.nation.select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("s"), F.lit("name").alias("p"), F.col("n_name").alias("o"), F.lit(True).alias("literal")), "g")
 
 
-@query("snk_graphml", "SELECT '<node id=\"' || n_nationkey || '\"/>' AS value FROM nation")
-def _(t):
-    n = t.nation.select(F.col("n_nationkey").alias("id"))
-    return sinks.graphml(n, n.limit(0).select(F.col("id").alias("src"), F.col("id").alias("dst"))).where("value LIKE '<node%'")
-
-
 @query("st_tumbling", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def _(t):
     return rounded(S.tumbling(_ev(t)))

@@ -130,9 +130,16 @@ def _(t):
     return t.pages.select("page_id", T.norm_url_eval(F.col("url")).alias("out"))
 
 
-@query("fn_dso_url", "SELECT page_id, 'https://h.nl/document/d' || page_id AS out FROM pages")
+_REG = "https://omgevingswet.overheid.nl/"
+_FORMS = ("https://service.omgevingswet.overheid.nl/publiek/v7/documenten/_akn_nl_act_{}?x=1", "https://omgevingswet.overheid.nl/document/NL.IMRO.{}", "https://omgevingswet.overheid.nl/regels-op-de-kaart/documenten/{}", "https://omgevingswet.overheid.nl/", "https://host.nl/api/v1/akn/nl/act/{}", "https://elsewhere.nl/{}", "https://host.nl/api/v1/NL.IMRO.{}/text")
+_SHOWN = ("'_akn_nl_act_' || page_id", "'NL.IMRO.' || page_id", "page_id", "'id' || page_id", "'_akn_nl_act_' || page_id", "'id' || page_id", "'NL.IMRO.' || page_id")
+
+
+@query("fn_dso_url", "SELECT page_id, '" + _REG + "regels-op-de-kaart/documenten/' || CASE page_id % 7 " + " ".join(f"WHEN {i} THEN ({x})::VARCHAR" for i, x in enumerate(_SHOWN)) + " END AS out FROM pages")
 def _(t):
-    return t.pages.select("page_id", T.public_url(F.concat(F.lit("https://h.nl/api/v2/docs/d"), F.col("page_id"))).alias("out"))
+    parts = F.array(*(F.concat(F.lit(f.split("{}")[0]), F.col("page_id").cast("string") if "{}" in f else F.lit(""), F.lit(f.partition("{}")[2])) for f in _FORMS))
+    url = F.element_at(parts, (F.col("page_id") % 7 + 1).cast("int"))
+    return t.pages.select("page_id", T.public_url(url, F.concat(F.lit("id"), "page_id")).alias("out"))
 
 
 @query("fn_domain", r"SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)), '^www\.', '') AS domain, CASE WHEN regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1) END AS path FROM pages")
@@ -145,11 +152,6 @@ def _(t):
     return t.events.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("fn_bbox", "SELECT user_id, min(value) AS x0, max(value) AS x1, min(event_id) AS y0, max(event_id) AS y1 FROM events GROUP BY user_id")
-def _(t):
-    return t.events.groupBy("user_id").agg(F.min("value").alias("x0"), F.max("value").alias("x1"), F.min("event_id").alias("y0"), F.max("event_id").alias("y1"))
-
-
 @query("src_html", r"SELECT page_id, " + _TRIM.format(r"regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style>', ' ', 'g'), '(?is)<noscript\b[^>]*>.*?</noscript>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&'), '\s+', ' ', 'g')") + " AS out FROM pages")
 def _(t):
     return t.pages.select("page_id", T.strip_html(F.col("html")).alias("out"))
@@ -202,7 +204,7 @@ def _(t):
     return t.part.where(F.exists(F.split(F.lower("p_type"), " "), both) & (F.col("p_size") >= 10)).select("p_partkey")
 
 
-@query("flt_geo", "SELECT c_custkey FROM customer WHERE c_acctbal BETWEEN 0 AND 5000 AND c_nationkey BETWEEN 5 AND 15")
+@query("flt_geo_box", "SELECT c_custkey FROM customer WHERE c_acctbal BETWEEN 0 AND 5000 AND c_nationkey BETWEEN 5 AND 15")
 def _(t):
     # boxes (x0, x1, y0, y1) of points overlap the query box
     from docmill.operators import spatial
@@ -230,9 +232,13 @@ def _(t):
     return t.embeddings.where(F.element_at("embedding", 1) >= 0.1).select("vec_id")
 
 
-@query("flt_branch", "SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' OR o_orderpriority IS NULL")
+@query("flt_branch", "SELECT branch, id, value FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY branch = 'main') AS r FROM (SELECT 'main' AS branch, p_partkey AS id, p_size AS value FROM part UNION ALL SELECT 'work', p_partkey, p_size + 1 FROM part WHERE p_size > 40 UNION ALL SELECT 'other', p_partkey, 0 FROM part) WHERE branch IN ('work', 'main')) WHERE r = 1")
 def _(t):
-    return t.orders.where((F.col("o_orderpriority") == "1-URGENT") | F.col("o_orderpriority").isNull()).select("o_orderkey")
+    from docmill.operators import entities as E
+
+    rows = lambda b, v, p: p.select(F.lit(b).alias("branch"), F.col("p_partkey").alias("id"), v.alias("value"))
+    every = rows("main", F.col("p_size"), t.part).unionByName(rows("work", F.col("p_size") + 1, t.part.where("p_size > 40"))).unionByName(rows("other", F.lit(0), t.part))
+    return E.on_branch(every, "id", "work")
 
 
 @query("prj_flatten", "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS item, value AS score FROM events")

@@ -91,3 +91,12 @@ def queue(df: DataFrame, work, good: str, dead: str, checkpoint: str) -> None:
 def replay(events: DataFrame, last_id: int, limit: int = 1000) -> DataFrame:
     """Buffered progress after an event id, in order."""
     return events.where(F.col("event_id") > last_id).orderBy("event_id").limit(limit)
+
+
+def latest(df: DataFrame, path: str, checkpoint: str) -> None:
+    """Runs a stream in update mode into a table with a folder for each epoch; the last epoch of a key holds."""
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    df.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
