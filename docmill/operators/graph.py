@@ -112,8 +112,10 @@ def k_core(edges: DataFrame, k: int) -> DataFrame:
 
 
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """(id, label): each round takes the most frequent label of the neighbours, ties to the least."""
-    e = cut(undirected(edges))
+    """(id, label): each round takes the most frequent label of the neighbours and the node itself, ties to the least; with its own
+    vote two linked nodes settle on one label rather than swap theirs."""
+    both = undirected(edges)
+    e = cut(both.unionByName(both.select("src", F.col("src").alias("dst")).distinct()))
     lab = cut(e.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id")))
     for _ in range(rounds):
         votes = e.join(lab, e["dst"] == lab["id"]).groupBy("src", "label").agg(F.count("*").alias("n"))
