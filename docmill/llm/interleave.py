@@ -7,6 +7,9 @@ match the mixture, with row counts at most one apart.
 Both ranks are places in a total order found by range partitioning, local numbering and prefix sums over partitions. A large
 source is simply a longer stretch of ranges, so none is gathered in one task.
 
+Equal texts, the groups of a query's contract, get no place of their own: under the law ``rows`` only counts decide, and their copies
+spread over the shards like any rows.
+
 Defined cases: a null text has no bytes and no characters; a null source is a source of its own; repeated rows are ordered by
 all that is known of them and fall into neighbouring places; fewer rows than shards leave shards empty; empty tables give no rows.
 """
