@@ -72,7 +72,10 @@ def packed(rows: DataFrame) -> list[np.ndarray]:
     size, n = size.astype(np.int64), n.astype(np.int64)
     order = np.unique(h, return_index=True)[1]  # of words with one hash the first is held
     words, ids = (pretok.take_rows(x, (np.cumsum(z) - z)[order], z[order]) for x, z in ((data, size), (flat, n)))
-    return [h[order], np.cumsum(size[order]), words, np.cumsum(n[order]), ids]
+    out = [h[order], np.cumsum(size[order]), words, np.cumsum(n[order]), ids]
+    del parts, h, data, flat
+    common.trim()  # the driver keeps one copy
+    return out
 
 
 def lookup(table: list[np.ndarray], data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
