@@ -229,3 +229,63 @@ class WordTable:
 def take_rows(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The runs flat[begin:begin + size], one after the other."""
     return flat[np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)]
+
+
+def lowered(data: np.ndarray, off: np.ndarray, normal) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of the texts in lower case and composed form.
+
+    Code points up to U+00FF are composed already and are put in lower case here; ``normal`` (str to str) is asked about texts that hold others.
+    """
+    if not len(data):
+        return data, off
+    far = np.flatnonzero(data >= 0xC4)  # the first byte of a code point beyond U+00FF
+    if len(far):
+        asked = set((np.searchsorted(off, far, side="right") - 1).tolist())
+        raw = data.tobytes()
+        texts = [normal(t.decode()).encode() if i in asked else t for i, t in enumerate(raw[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True))]
+        data, off = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    out = data.copy()
+    out[(out >= 65) & (out <= 90)] += 32
+    tail = np.flatnonzero(out[:-1] == 0xC3) + 1
+    at = tail[(out[tail] <= 0x9E) & (out[tail] != 0x97)]
+    out[at] += 32
+    return out, off
+
+
+def word_runs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(byte starts, byte ends, matches of each text): contractions, runs of letters, single numbers, runs of other characters.
+
+    The pattern is ``'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+``; white space only parts the matches.
+    """
+    docs = len(off) - 1
+    if not len(data):
+        z = np.zeros(0, np.int64)
+        return z, z, np.zeros(docs, np.int64)
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    cps = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    n = len(cps)
+    cls = classes()[cps]
+    head = np.zeros(n + 1, bool)
+    head[np.searchsorted(at, off[:-1][off[:-1] < off[1:]])] = True
+    head[n] = True
+    cut = np.ones(n + 4, bool)
+    np.not_equal(cls[1:], cls[:-1], out=cut[1:n])
+    cut[:n] |= head[:n] | (cls == NUMBER)
+    q = np.flatnonzero((cps == 0x27) & cut[:n])
+    if len(q):
+        pad = np.concatenate([cps, np.zeros(3, np.uint32)])
+        edge = np.concatenate([head, np.ones(3, bool)])
+        here = ~edge[q + 1]
+        one = here & np.isin(pad[q + 1], [ord(c) for c in SHORT])
+        two = np.zeros(len(q), bool)
+        for a, b in LONG:
+            two |= here & ~edge[q + 2] & (pad[q + 1] == ord(a)) & (pad[q + 2] == ord(b))
+        cut[q[one | two] + 1] = False
+        cut[q[one] + 2] = True
+        cut[q[two] + 3] = True
+    first = np.flatnonzero(cut[:n])
+    starts = at[first]
+    ends = np.append(starts[1:], len(data))
+    solid = cls[first] != WHITE
+    starts, ends = starts[solid], ends[solid]
+    return starts, ends, np.diff(np.searchsorted(starts, off))
