@@ -42,6 +42,13 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
 
 
+def short_plans(spark: SparkSession, most: int = 50_000) -> None:
+    """Descriptions of plans of at most ``most`` characters: the driver prints each plan several times and keeps the text of past queries,
+    megabytes each where a plan holds a large literal. A user's own setting is left alone."""
+    if int(spark.conf.get("spark.sql.maxPlanStringLength").rstrip("b")) > 1 << 30:
+        spark.conf.set("spark.sql.maxPlanStringLength", str(most))
+
+
 _open: list[list[str]] = []
 
 

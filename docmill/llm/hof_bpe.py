@@ -191,6 +191,7 @@ def decode(rows: DataFrame, ranks_path: str) -> DataFrame:
 def _run(docs: DataFrame, ranks_path: str, most: int, with_ids: bool) -> DataFrame:
     spark = docs.sparkSession
     common.small_batches(spark)
+    common.short_plans(spark)
     ranks = load_ranks(ranks_path)
     sent_ranks = spark.sparkContext.broadcast(ranks)
     sent_words = spark.sparkContext.broadcast(dictionary(docs, ranks, most))

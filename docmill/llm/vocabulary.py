@@ -68,16 +68,35 @@ def packed(rows: DataFrame) -> list[np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in row], names)
 
     parts = rows.select("word", "ids").mapInArrow(pack, ", ".join(f"{k} binary" for k in names)).collect()
-    h, size, data, n, flat = (np.concatenate([np.frombuffer(p[k], t) for p in parts] or [np.zeros(0, t)]) for k, t in zip(names, (np.uint64, np.uint8, np.uint8, np.uint8, np.uint32), strict=True))
-    size, n = size.astype(np.int64), n.astype(np.int64)
-    order = np.unique(h, return_index=True)[1]  # of words with one hash the first is held
-    words, ids = (pretok.take_rows(x, (np.cumsum(z) - z)[order], z[order]) for x, z in ((data, size), (flat, n)))
-    out = [h[order], np.cumsum(size[order]), words, np.cumsum(n[order]), ids]
-    del parts, h, data, flat
+    held = {k: [p[k] for p in parts] for k in names}
+    del parts
+
+    def taken(k: str, kind: type) -> np.ndarray:
+        return np.concatenate([np.frombuffer(x, kind) for x in held.pop(k)] or [np.zeros(0, kind)])
+
+    h = taken("h", np.uint64)
+    order = np.unique(h, return_index=True)[1].astype(np.int32)  # of words with one hash the first is held
+    out = [h[order]]
+    for lengths, values, kind in (("size", "data", np.uint8), ("n", "flat", np.uint32)):
+        size = taken(lengths, np.uint8)
+        ends = np.cumsum(size, dtype=np.int64)
+        out += [np.cumsum(size[order], dtype=np.int64), _reordered(taken(values, kind), ends - size, size, order)]
+    del h, held
     common.trim()  # the driver keeps one copy
     return out
 
 
+def _reordered(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, order: np.ndarray, step: int = 1 << 15) -> np.ndarray:
+    """The runs flat[begin:begin + size] in ``order``, copied by ``step`` runs, as a copy's index takes eight bytes a value."""
+    out, at = np.empty(int(size[order].sum(dtype=np.int64)), flat.dtype), 0
+    for k in range(0, len(order), step):
+        some = order[k : k + step]
+        part = pretok.take_rows(flat, begin[some], size[some].astype(np.int64))
+        out[at : at + len(part)] = part
+        at += len(part)
+    return out
+
+
 def lookup(table: list[np.ndarray], data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(whether each word is held, the place of its first value, how many values) for words data[start:end]."""
     keys, stops, held, value_stops, _ = table
