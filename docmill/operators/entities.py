@@ -182,7 +182,7 @@ def resolve(claims: DataFrame, strategy: str = "most_reliable") -> DataFrame:
     """(entity, property, value, confidence, decision) from (entity, property, value, reliability, ts, and recency for most_recent).
 
     most_reliable: the most reliable value, at 0.7 of its confidence when the runner-up is within 0.1. most_recent: the latest value, as
-    sure as its recency. weighted: the mean of the numbers weighted by reliability, as sure as the mean reliability; a property with
+    sure as its recency. weighted: the mean of the numbers weighted by reliability, unrounded, as sure as the mean reliability; a property with
     any other value goes by most_reliable. human: no value, for review. Decisions: auto at 0.85 or more, review below 0.7.
     """
     keys = ["entity", "property"]
@@ -200,7 +200,7 @@ def resolve(claims: DataFrame, strategy: str = "most_reliable") -> DataFrame:
         return best
     number = F.expr("try_cast(value AS double)")
     sums = claims.groupBy(*keys).agg(F.every(number.isNotNull()).alias("all"), (F.sum(number * F.col("reliability")) / F.sum("reliability")).alias("mean"), F.avg("reliability").alias("sure"))
-    mean = sums.where("all AND mean IS NOT NULL").select(*keys, F.round("mean", 6).cast("string").alias("value"), F.col("sure").alias("confidence"), decided(F.col("sure")))
+    mean = sums.where("all AND mean IS NOT NULL").select(*keys, F.col("mean").cast("string").alias("value"), F.col("sure").alias("confidence"), decided(F.col("sure")))
     return mean.unionByName(best.join(mean.select(*keys), keys, "left_anti"))
 
 

@@ -166,18 +166,6 @@ def expand(queries: DataFrame, key: str, text: str, synonyms: DataFrame) -> Data
     return both.groupBy(key).agg(F.array_sort(F.collect_set("term")).alias("terms"))
 
 
-def decompose(query: str) -> dict:
-    """A question's parts by rule: comparison, several parts, or simple; with a plan of how to run them."""
-    import re
-
-    q = query.strip()
-    m = re.match(r"(?i)(?:compare|vergelijk)\s+(.+?)\s+(?:with|and|met|en)\s+(.+)|(?:difference|verschil)\w*\s+(?:between|tussen)\s+(.+?)\s+(?:and|en)\s+(.+)", q)
-    if m:
-        return {"kind": "comparison", "plan": "parallel", "parts": [p for p in m.groups() if p]}
-    parts = [p.strip() for p in re.split(r"(?i)\?\s+|;\s*|\s+(?:and also|en ook)\s+", q) if p.strip()]
-    return {"kind": "multi", "plan": "sequential", "parts": parts} if len(parts) > 1 else {"kind": "simple", "plan": "single", "parts": [q]}
-
-
 def fact_score(name: Column, description: Column, terms: list[str], type_match: Column, place_match: Column) -> Column:
     s = F.lit(0.5) + 0.2 * type_match.cast("int") + 0.2 * place_match.cast("int")
     for w in terms:

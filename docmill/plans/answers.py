@@ -57,15 +57,6 @@ def _(t):
     return rounded(retrieval.graph_rag(_facts(t), chunks, 40, 5, 20, 0.05).withColumn("place", F.col("place").cast("long")))
 
 
-@query("rt_decompose", "SELECT * FROM (VALUES (0, 'comparison', 'parallel', 0, 'steel'), (0, 'comparison', 'parallel', 1, 'brass'), (1, 'multi', 'sequential', 0, 'Who pays'), (1, 'multi', 'sequential', 1, 'and when?'), (2, 'simple', 'single', 0, 'one thing')) v(q, kind, plan, i, part)")
-def _(t):
-    rows = []
-    for q, text in enumerate(("Compare steel with brass", "Who pays? and when?", "one thing")):
-        d = retrieval.decompose(text)
-        rows += [(q, d["kind"], d["plan"], i, p) for i, p in enumerate(d["parts"])]
-    return t.spark.createDataFrame(rows, "q int, kind string, plan string, i int, part string")
-
-
 @query("rt_expand_graph", f"WITH e AS (SELECT src, dst FROM {EDGES} UNION SELECT dst, src FROM {EDGES}), m AS (SELECT p_partkey AS id FROM part WHERE contains(p_name, 'ring')) SELECT DISTINCT p_name AS term FROM part JOIN e ON p_partkey = dst WHERE src IN (SELECT id FROM m) UNION SELECT p_name FROM part WHERE contains(p_name, 'ring')")
 def _(t):
     # a term's entities, and those that they are linked with

@@ -189,14 +189,7 @@ def _(t):
     return retrieval.expand(t.benchmark, "item_id", "text", F.broadcast(syn)).select("item_id", F.array_join("terms", " ").alias("terms"))
 
 
-@query("rt_plan")
-def _(t):
-    steps = retrieval.decompose("Compare noise rules with parking rules")["parts"]
-    each = [_top(t, t.titled.select("doc_id", retrieval.keyword_contains(F.col("title"), F.col("text"), p.split()).alias("score")), 20) for p in steps]
-    return A.evidence_union(each, "doc_id", "score")
-
-
-@query("rt_fact_first", "SELECT p_partkey, round(least(1, 0.5 + 0.2 * contains(p_type, 'STEEL')::INT + CASE WHEN contains(lower(p_name), 'part') THEN 0.3 WHEN contains(lower(p_type), 'part') THEN 0.1 ELSE 0 END), 6) AS score FROM part")
+@query("rt_fact_score", "SELECT p_partkey, round(least(1, 0.5 + 0.2 * contains(p_type, 'STEEL')::INT + CASE WHEN contains(lower(p_name), 'part') THEN 0.3 WHEN contains(lower(p_type), 'part') THEN 0.1 ELSE 0 END), 6) AS score FROM part")
 def _(t):
     return rounded(t.part.select("p_partkey", retrieval.fact_score(F.col("p_name"), F.col("p_type"), ["part"], F.contains("p_type", F.lit("STEEL")), F.lit(False)).alias("score")))
 
@@ -219,12 +212,12 @@ def _(t):
     return rounded(t.orders.join(f, "o_orderpriority").select("o_orderkey", retrieval.relation_score(F.col("f"), F.col("o_orderstatus") == "F", F.lit(0.5), F.col("o_orderkey") % 400).alias("score")))
 
 
-@query("rt_community", "SELECT label, round(0.4 * (label % 3) / 3.0::DOUBLE + 0.2 * least(count(*) / 100.0::DOUBLE, 1), 6) AS score FROM embeddings GROUP BY label")
+@query("rt_community_score", "SELECT label, round(0.4 * (label % 3) / 3.0::DOUBLE + 0.2 * least(count(*) / 100.0::DOUBLE, 1), 6) AS score FROM embeddings GROUP BY label")
 def _(t):
     return rounded(t.embeddings.groupBy("label").agg(F.count("*").alias("n")).select("label", retrieval.community_score(None, (F.col("label") % 3) / 3, F.col("n")).alias("score")))
 
 
-@query("rt_truthful", "SELECT event_id, CASE WHEN value / 100 - 0.5 > 0.3 THEN 'high' WHEN value / 100 - 0.5 > 0.1 THEN 'medium' ELSE 'none' END AS conflict FROM events")
+@query("rt_conflict_band", "SELECT event_id, CASE WHEN value / 100 - 0.5 > 0.3 THEN 'high' WHEN value / 100 - 0.5 > 0.1 THEN 'medium' ELSE 'none' END AS conflict FROM events")
 def _(t):
     return t.events.select("event_id", retrieval.entropy_conflict(F.lit(0.5), F.col("value") / 100).alias("conflict"))
 

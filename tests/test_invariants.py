@@ -184,7 +184,7 @@ def _(rows, graph, docs):
     assert rows and all(0 <= r[c] <= 1 for r in rows for c in ("precision", "recall", "f1", "ap"))
 
 
-@check("rt_plan", "src_crawl", "src_ingest_adapters", "er_matching", "gr_betweenness")
+@check("src_crawl", "src_ingest_adapters", "er_matching", "gr_betweenness")
 def _(rows, graph, docs):
     assert rows and len(set(rows)) == len(rows)  # brute force in test_whole and test_goldens
 
