@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docmill.operators.dedup import cut
+from docmill.operators.dedup import cut, discard
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -161,40 +161,44 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both.groupBy("id").agg(F.sum("i").alias("ins"), F.sum("o").alias("outs"))
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, most_edges: int = 5_000_000) -> DataFrame:
-    """(id, score): Brandes' sums over the given sources, one source after another in each task. The graph is sent to every
-    task, so it must have at most ``most_edges`` edges; larger graphs are refused rather than cut."""
-    e = undirected(edges)
-    if e.limit(most_edges + 1).count() > most_edges:
-        raise ValueError(f"betweenness takes graphs of at most {most_edges} edges")
-    pdf = e.toPandas()
-    sent = edges.sparkSession.sparkContext.broadcast(pdf.groupby("src")["dst"].apply(list).to_dict())
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        near = sent.value
-        for f in frames:
-            total: dict = {}
-            for s in f["id"]:
-                order, dist, paths, before = [s], {s: 0}, {s: 1.0}, {s: []}
-                for v in order:
-                    for u in near.get(v, ()):
-                        if u not in dist:
-                            dist[u], paths[u], before[u] = dist[v] + 1, 0.0, []
-                            order.append(u)
-                        if dist[u] == dist[v] + 1:
-                            paths[u] += paths[v]
-                            before[u].append(v)
-                share = dict.fromkeys(order, 0.0)
-                for u in reversed(order):
-                    for v in before[u]:
-                        share[v] += paths[v] / paths[u] * (1 + share[u])
-                    if u != s:
-                        total[u] = total.get(u, 0.0) + share[u]
-            yield pd.DataFrame({"id": list(total), "score": list(total.values())}).astype({"score": float})
+def betweenness(edges: DataFrame, sources: DataFrame, at_once: int = 1000) -> DataFrame:
+    """(id, score): Brandes' sums over the shortest paths from the given sources, for every node that some source reaches.
 
-    kind = dict(edges.dtypes)["src"]
-    # a walk takes long beside its row, so sources are dealt out, few to a task
-    return sources.select("id").repartition(4 * edges.sparkSession.sparkContext.defaultParallelism, "id").mapInPandas(run, f"id {kind}, score double").groupBy("id").agg(F.sum("score").alias("score"))
+    All sources of a block of about ``at_once`` walk together, a join a level: forward with the numbers of shortest paths, then backward with the
+    shares of the paths that go through. A level and its predecessor suffice to tell new nodes, so a round reads two levels, not all. A block's tables
+    hold at most a row for each of its sources and each node, and are deleted once it is summed.
+    """
+    spark, kept = edges.sparkSession, []
+    e = cut(undirected(edges), kept)
+    start = cut(sources.select("id").distinct(), kept)
+    blocks, total = -(-start.count() // at_once), None
+    dealt = start.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(max(1, blocks))))
+    for block in range(blocks):
+        old: list[str] = []
+        levels = [cut(dealt.where(F.col("_b") == block).select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths")), old)]
+        while True:
+            new = levels[-1].join(e, F.col("id") == F.col("src")).groupBy("s", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
+            for before in levels[-2:]:
+                new = new.join(before.select("s", "id"), ["s", "id"], "left_anti")
+            new = cut(new, old)
+            if new.isEmpty():
+                break
+            levels.append(new)
+        shares = [levels[-1].withColumn("share", F.lit(0.0))]
+        for lower in reversed(levels[:-1]):
+            back = shares[-1].join(e, F.col("id") == F.col("src")).groupBy("s", F.col("dst").alias("id")).agg(F.sum((1 + F.col("share")) / F.col("paths")).alias("_g"))
+            shares.append(cut(lower.join(back, ["s", "id"], "left").select("s", "id", "paths", (F.col("paths") * F.coalesce("_g", F.lit(0.0))).alias("share")), old))
+        through = shares[0]
+        for x in shares[1:]:
+            through = through.unionByName(x)
+        part = cut(through.where("id <> s").groupBy("id").agg(F.sum("share").alias("score")))
+        discard(spark, old)
+        total = part if total is None else total.unionByName(part)
+    if total is None:
+        return start.select("id", F.lit(0.0).alias("score")).limit(0)
+    out = cut(total.groupBy("id").agg(F.sum("score").alias("score")))
+    discard(spark, kept)
+    return out
 
 
 def _louvain(f: pd.DataFrame) -> pd.DataFrame:

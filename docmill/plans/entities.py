@@ -414,13 +414,13 @@ def _(t):
     return A.top_n_per_group(w, "doc_id", "s", "chunk_index", 1).select("doc_id", "chunk_index", "chunk")
 
 
-@query("pt_rank", "SELECT page_id, round(0.7 * (0.6 * (length(url) % 10) / 10.0::DOUBLE + 0.4 * (page_id % 5) / 5.0::DOUBLE) + 0.3 * 0.5, 6) AS score FROM pages WHERE 0.7 * (0.6 * (length(url) % 10) / 10.0::DOUBLE + 0.4 * (page_id % 5) / 5.0::DOUBLE) + 0.3 * 0.5 >= 0.4")
+@query("pt_score", "SELECT page_id, round(0.7 * (0.6 * (length(url) % 10) / 10.0::DOUBLE + 0.4 * (page_id % 5) / 5.0::DOUBLE) + 0.3 * 0.5, 6) AS score FROM pages WHERE 0.7 * (0.6 * (length(url) % 10) / 10.0::DOUBLE + 0.4 * (page_id % 5) / 5.0::DOUBLE) + 0.3 * 0.5 >= 0.4")
 def _(t):
     s = 0.7 * (0.6 * (F.length("url") % 10) / 10 + 0.4 * (F.col("page_id") % 5) / 5) + 0.3 * 0.5
     return rounded(t.pages.select("page_id", s.alias("score")).where("score >= 0.4"))
 
 
-@query("pt_validate", r"SELECT page_id, regexp_matches(url, '^https?://[^\s/$.?#].[^\s]*$') AS ok FROM pages")
+@query("pt_url_ok", r"SELECT page_id, regexp_matches(url, '^https?://[^\s/$.?#].[^\s]*$') AS ok FROM pages")
 def _(t):
     return t.pages.select("page_id", F.col("url").rlike(r"^https?://[^\s/$.?#].[^\s]*$").alias("ok"))
 

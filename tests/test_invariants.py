@@ -184,9 +184,9 @@ def _(rows, graph, docs):
     assert rows and all(0 <= r[c] <= 1 for r in rows for c in ("precision", "recall", "f1", "ap"))
 
 
-@check("src_crawl", "src_ingest_adapters", "er_matching", "gr_betweenness")
+@check("pt_select", "src_crawl", "src_ingest_adapters", "er_matching", "gr_betweenness")
 def _(rows, graph, docs):
-    assert rows and len(set(rows)) == len(rows)  # brute force in test_whole and test_goldens
+    assert rows and len(set(rows)) == len(rows)  # brute force in test_whole, test_goldens and test_dom
 
 
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLE)))

@@ -37,15 +37,15 @@ def test_plan(spark):
 
 def test_answer_runs_cascades_until_enough(spark):
     docs = spark.createDataFrame([(1, "one one"), (2, "one two"), (3, "two"), (4, "three"), (5, "four four"), (6, None), (7, "")], "id int, text string")
-    index = Q.postings(docs, "id", "text")
+    of = (docs, "id", "text", Q.vocabulary(docs, "text"))
     asked = spark.createDataFrame([(1, "one; two; three; four"), (2, "compare one with two")], "k int, q string")
-    few = Q.answer(Q.plan(asked, "k", "q", expected=2), "k", index, 10).collect()
+    few = Q.answer(Q.plan(asked, "k", "q", expected=2), "k", *of, 10).collect()
     assert {r["id"] for r in few if r["k"] == 1} == {1, 2}  # the first step finds two, so no other runs
-    more = {(r["k"], r["id"]): (r["score"], r["steps"]) for r in Q.answer(Q.plan(asked, "k", "q", expected=5), "k", index, 10).collect()}
+    more = {(r["k"], r["id"]): (r["score"], r["steps"]) for r in Q.answer(Q.plan(asked, "k", "q", expected=5), "k", *of, 10).collect()}
     assert {i for k, i in more if k == 1} == {1, 2, 3, 4} and more[1, 2] == (1.0, 2)  # two steps have four results, three have five
     # a later step that scores less leaves the score; documents without any of the terms aren't there
     assert more[2, 2] == (1.0, 3) and {i for k, i in more if k == 2} == {1, 2, 3}
-    assert Q.answer(Q.plan(asked.limit(0), "k", "q"), "k", index).count() == 0 and Q.answer(Q.plan(asked, "k", "q"), "k", Q.postings(docs.limit(0), "id", "text")).count() == 0
+    assert Q.answer(Q.plan(asked.limit(0), "k", "q"), "k", *of).count() == 0 and Q.answer(Q.plan(asked, "k", "q"), "k", docs.limit(0), "id", "text", Q.vocabulary(docs.limit(0), "text")).count() == 0
 
 
 def test_facts(spark):
