@@ -26,17 +26,20 @@ def turned(edges: DataFrame, direction: str) -> DataFrame:
     return {"out": edges.select("src", "dst"), "in": back, "both": edges.select("src", "dst").unionByName(back)}[direction].distinct()
 
 
-def k_hop(edges: DataFrame, start: DataFrame, k: int, direction: str = "out") -> DataFrame:
-    """(start, id, hops): nodes within k hops of each start, at their least distance."""
-    e = turned(edges, direction)
-    seen = cut(start.select(F.col("id").alias("start"), "id", F.lit(0).alias("hops")))
-    front = seen
-    for h in range(1, k + 1):
+def k_hop(edges: DataFrame, start: DataFrame, k: int | None, direction: str = "out") -> DataFrame:
+    """(start, id, hops): nodes within k hops of each start, at their least distance; with k None, however far. A round's tables go once the next is written."""
+    e, old, hops = turned(edges, direction), [], 0
+    seen = front = cut(start.select(F.col("id").alias("start"), "id", F.lit(0).alias("hops")), old)
+    while k is None or hops < k:
+        hops, new = hops + 1, []
         nxt = front.join(e, front["id"] == e["src"]).select("start", F.col("dst").alias("id")).distinct()
-        front = cut(nxt.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("hops", F.lit(h)))
+        front = cut(nxt.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("hops", F.lit(hops)), new)
         if front.isEmpty():
+            discard(edges.sparkSession, new)
             break
-        seen = cut(seen.unionByName(front))
+        seen = cut(seen.unionByName(front), new)
+        discard(edges.sparkSession, old)
+        old = new
     return seen
 
 
@@ -330,8 +333,8 @@ def subgraph(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def descendants(parents: DataFrame, root: DataFrame) -> DataFrame:
-    """(id, hops) below the roots in (child, parent)."""
-    return k_hop(parents.select(F.col("parent").alias("src"), F.col("child").alias("dst")), root, 1000).select("id", "hops")
+    """(id, hops) below the roots in (child, parent), however deep."""
+    return k_hop(parents.select(F.col("parent").alias("src"), F.col("child").alias("dst")), root, None).select("id", "hops")
 
 
 def transitive(edges: DataFrame, least: float = 0.5) -> DataFrame:

@@ -184,13 +184,13 @@ def _(t):
 @query("gr_jurisdiction", f"WITH RECURSIVE e AS (SELECT * FROM {TREE}), r AS (SELECT x AS start, x AS id FROM (SELECT child AS x FROM e UNION SELECT parent FROM e) UNION SELECT start, parent FROM r JOIN e ON child = id) SELECT start, id FROM r")
 def _(t):
     up = _tree(t).select(F.col("child").alias("src"), F.col("parent").alias("dst"))
-    return G.k_hop(up, G.nodes_of(up), 10).select("start", "id")
+    return G.k_hop(up, G.nodes_of(up), None).select("start", "id")
 
 
 @query("gr_jurisdiction_all", f"WITH RECURSIVE e AS (SELECT * FROM {TREE}), r AS (SELECT x AS start, x AS id FROM (SELECT child AS x FROM e UNION SELECT parent FROM e) UNION SELECT start, parent FROM r JOIN e ON child = id) SELECT start, id FROM r")
 def _(t):
     up = _tree(t).select(F.col("child").alias("src"), F.col("parent").alias("dst"))
-    return G.k_hop(up, G.nodes_of(up), 10).select("start", "id")
+    return G.k_hop(up, G.nodes_of(up), None).select("start", "id")
 
 
 @query("gr_inf_transitive", f"WITH e AS (SELECT src, dst FROM {EDGES}) SELECT DISTINCT a.src, b.dst, 0.72::DOUBLE AS confidence FROM e a JOIN e b ON a.dst = b.src WHERE a.src <> b.dst AND NOT EXISTS (SELECT 1 FROM e x WHERE x.src = a.src AND x.dst = b.dst)")

@@ -124,3 +124,10 @@ def test_betweenness_in_blocks(spark):
     one = {r["id"]: round(r["score"], 9) for r in G.betweenness(edges, G.nodes_of(edges)).collect()}
     assert one == {r["id"]: round(r["score"], 9) for r in G.betweenness(edges, G.nodes_of(edges), at_once=7).collect()} and max(one.values()) > 10
     assert G.betweenness(edges, G.nodes_of(edges).limit(0)).collect() == []
+
+
+def test_descendants_however_deep(spark):
+    """A chain of fourteen, with a circle at its end."""
+    chain = spark.createDataFrame([(i + 1, i) for i in range(14)] + [(10, 14)], "child long, parent long")
+    got = {r["id"]: r["hops"] for r in G.descendants(chain, spark.createDataFrame([(0,)], "id long")).collect()}
+    assert got == {i: i for i in range(15)}
