@@ -252,7 +252,7 @@ def _louvain(f: pd.DataFrame) -> pd.DataFrame:
 
 def louvain(edges: DataFrame) -> DataFrame:
     """(id, community, component): modularity communities by moves over all nodes at once; no component is gathered in a task."""
-    com = _levels(edges, lambda w, d, own, tot, out, every: w - tot * d, 6, 5, False)
+    com = _levels(edges, lambda w, d, own, tot, out, every: w - tot * d, 6, 5)
     return com.join(components(undirected(edges)), "id").select("id", "community", "component")
 
 
@@ -542,14 +542,13 @@ def node_changes(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -
     return j.select(key, change.alias("change"), F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), differ).otherwise(F.array().cast("array<string>")).alias("fields"))
 
 
-def _levels(edges: DataFrame, score, rounds: int, levels: int, refine: bool) -> DataFrame:
+def _levels(edges: DataFrame, score, rounds: int, levels: int) -> DataFrame:
     """(id, community) by rounds of local moves over a weighted undirected graph, then over the graph of its communities.
 
     In a round every node looks at its neighbours' communities, but only half of the nodes (by a hash of node and round) move, so two
     neighbours seldom swap. ``score``: the gain, as a column, of a node that stands alone and joins a community: of w (its weight to the
     community), d (its degree), own (its inner weight), tot and cut (the community's degree and weight to the outside, without the
-    node), all as shares of the total, and all (every community's weight to the outside). ``refine``: communities are split into
-    their connected parts first.
+    node), all as shares of the total, and all (every community's weight to the outside).
     """
     e = cut(undirected(edges).select("src", "dst", F.lit(1.0).alias("w")))
     m2 = e.agg(F.sum("w")).first()[0] or 1.0
@@ -576,11 +575,6 @@ def _levels(edges: DataFrame, score, rounds: int, levels: int, refine: bool) ->
             com = nxt.drop("could")
             if not nxt.where("could").limit(1).count():
                 break
-        if refine:
-            lab = com.select("id", "com")
-            a, b = lab.select(F.col("id").alias("src"), F.col("com").alias("x")), lab.select(F.col("id").alias("dst"), F.col("com").alias("y"))
-            inside = e.select("src", "dst").join(a, "src").join(b, "dst").where("x = y").select("src", "dst")
-            com = cut(components(inside, com.select("id")).select("id", F.col("component").alias("com")))
         member = cut(member.join(com.select(F.col("id").alias("node"), "com"), "node").select("id", F.col("com").alias("node")))
         a, b = com.select(F.col("id").alias("src"), F.col("com").alias("x")), com.select(F.col("id").alias("dst"), F.col("com").alias("y"))
         less = cut(e.join(a, "src").join(b, "dst").groupBy(F.col("x").alias("src"), F.col("y").alias("dst")).agg(F.sum("w").alias("w")))
@@ -591,9 +585,105 @@ def _levels(edges: DataFrame, score, rounds: int, levels: int, refine: bool) ->
     return member.join(low, "node").select("id", "community")
 
 
-def leiden(edges: DataFrame, rounds: int = 6, levels: int = 5) -> DataFrame:
-    """(id, community): modularity communities that are connected, by moves over all nodes at once; no component is gathered in a task."""
-    return _levels(edges, lambda w, d, own, tot, out, every: w - tot * d, rounds, levels, True)
+def _settled(e: DataFrame, com: DataFrame, tolerance: float) -> DataFrame:
+    """``com`` (id, d, own, com) after rounds of moves that raise modularity, as weights of ``e`` are shares of the total.
+
+    A part of the nodes (half at first) moves in a round, each to its best community. A round that gains no more than ``tolerance`` is taken
+    back and tried with half as many nodes, as moves made at once may spoil each other; below a sixteenth, or where none could move, it is settled.
+    """
+    old: list[str] = []
+    kept, part, i = None, 2, 0
+    while True:
+        to = com.select(F.col("id").alias("dst"), F.col("com").alias("c"))
+        near = e.where("src <> dst").join(to, "dst").select(F.col("src").alias("id"), "c", "w").unionByName(com.select("id", F.col("com").alias("c"), F.lit(0.0).alias("w")))
+        links = cut(near.groupBy("id", "c").agg(F.sum("w").alias("w")).join(com, "id"), old)
+        per = links.where("c = com").groupBy("c").agg(F.sum("d").alias("tot"), F.sum(F.col("w") + F.col("own")).alias("inside"))
+        score = per.agg(F.sum(F.col("inside") - F.col("tot") * F.col("tot"))).first()[0]
+        if kept is not None and score <= kept[0] + tolerance:
+            score, com, links, per = kept
+            part *= 2
+        kept = (score, com, links, per)
+        others = F.when(F.col("c") == F.col("com"), F.col("tot") - F.col("d")).otherwise(F.col("tot"))
+        gain = links.join(per, "c").withColumn("g", F.round(F.col("w") - others * F.col("d"), 12))
+        best = gain.groupBy("id", "d", "own", "com").agg(F.min(F.struct((-F.col("g")).alias("less"), "c")).alias("b"), F.max(F.when(F.col("c") == F.col("com"), F.col("g"))).alias("stay"))
+        could = -F.col("b.less") > F.col("stay")
+        turn = F.pmod(F.xxhash64("id", F.lit(i)), F.lit(part)) == 0
+        i += 1
+        after = cut(best.select("id", "d", "own", F.when(could & turn, F.col("b.c")).otherwise(F.col("com")).alias("com"), could.alias("could")), old)
+        if part > 16 or after.where("could").isEmpty():
+            out = cut(com)
+            discard(e.sparkSession, old)
+            return out
+        com = after.drop("could")
+
+
+def _refined(e: DataFrame, com: DataFrame) -> DataFrame:
+    """(id, com, fine): each community of ``com`` (id, d, com) split from single nodes up into parts that are connected and well linked to it.
+
+    A node that is alone, and linked to the rest of its community as well as chance would, joins the part of most gain among those as well linked.
+    Nodes that may move in a round join only parts that don't move in it, so that parts stay connected. Each move makes one node fewer that is
+    alone, so this ends without a bound on the rounds.
+    """
+    spark, old = e.sparkSession, []
+    a, b = com.select(F.col("id").alias("src"), F.col("com").alias("x")), com.select(F.col("id").alias("dst"), F.col("com").alias("y"))
+    inner = cut(e.where("src <> dst").join(a, "src").join(b, "dst").where("x = y").select("src", "dst", "w"), old)
+    whole = com.groupBy("com").agg(F.sum("d").alias("ds"))
+    linked = inner.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("_w"))
+    well = F.coalesce("_w", F.lit(0.0)) >= F.col("d") * (F.col("ds") - F.col("d")) - 1e-15
+    state = cut(com.join(whole, "com").join(linked, "id", "left").select("id", "com", "d", "ds", well.alias("ok"), F.col("id").alias("fine")), old)
+    i = 0
+    while True:
+        i += 1
+        turn = lambda x: F.pmod(F.xxhash64(x, F.lit(i)), F.lit(2)) == 0  # noqa: B023, E731
+        sizes = state.groupBy(F.col("fine").alias("c")).agg(F.count("*").alias("n"), F.sum("d").alias("tot"), F.max("ds").alias("ds"))
+        mine = state.join(sizes.select(F.col("c").alias("fine"), (F.col("n") == 1).alias("alone")), "fine").select("id", "fine", "d", "ok", "alone")
+        links = inner.join(state.select(F.col("id").alias("dst"), F.col("fine").alias("c")), "dst").groupBy(F.col("src").alias("id"), "c").agg(F.sum("w").alias("w"))
+        links = links.join(mine, "id").where("c <> fine")
+        out = links.groupBy("c").agg(F.sum("w").alias("out"))
+        to = sizes.join(out, "c").where("out >= tot * (ds - tot) - 1e-15").select("c", "n", "tot")
+        could = cut(links.where("alone AND ok").join(to, "c").withColumn("g", F.round(F.col("w") - F.col("tot") * F.col("d"), 12)).where("g > 0"), old)
+        if could.isEmpty():
+            done = cut(state.select("id", "com", "fine"))
+            discard(spark, old)
+            return done
+        take = could.where(turn("id") & ~((F.col("n") == 1) & turn("c"))).groupBy("id").agg(F.min(F.struct((-F.col("g")).alias("less"), "c")).alias("b"))
+        state = cut(state.join(take, "id", "left").select("id", "com", "d", "ds", "ok", F.coalesce("b.c", "fine").alias("fine")), old)
+
+
+def leiden(edges: DataFrame, tolerance: float = 1e-7) -> DataFrame:
+    """(id, community): modularity communities by Leiden's method: two partitions at once, the coarse one of moves and a fine one within it.
+
+    A level moves nodes until modularity settles, refines each community into well-linked connected parts, and goes on with these parts as
+    nodes, which start in the coarse communities; so a later level may take a community apart again, as Louvain's can't. Levels
+    end when parts are no fewer than nodes. Communities are connected. All nodes move at once by joins; nothing is gathered in a task or the
+    driver but a round's score. No edges give no rows; loops, repeated and reversed edges count as ``undirected`` has them.
+    """
+    old: list[str] = []
+    spark = edges.sparkSession
+    e = cut(undirected(edges).select("src", "dst", F.lit(1.0).alias("w")), old)
+    m2 = e.agg(F.sum("w")).first()[0] or 1.0
+    e = cut(e.withColumn("w", F.col("w") / m2), old)
+    member = cut(e.select(F.col("src").alias("id")).distinct().withColumn("node", F.col("id")), old)
+    begin = member.select("id", F.col("id").alias("com"))
+    while True:
+        own = F.sum(F.when(F.col("src") == F.col("dst"), F.col("w")).otherwise(0.0))
+        nodes = cut(e.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("d"), own.alias("own")).join(begin, "id"), old)
+        com = _settled(e, nodes, tolerance)
+        fine = _refined(e, com)
+        if fine.select("fine").distinct().count() == nodes.count():
+            break
+        low = fine.groupBy("com").agg(F.min("fine").alias("low"))
+        begin = cut(fine.join(low, "com").select(F.col("fine").alias("id"), F.col("low").alias("com")).distinct(), old)
+        member = cut(member.join(fine.select(F.col("id").alias("node"), "fine"), "node").select("id", F.col("fine").alias("node")), old)
+        a, b = fine.select(F.col("id").alias("src"), F.col("fine").alias("x")), fine.select(F.col("id").alias("dst"), F.col("fine").alias("y"))
+        e = cut(e.join(a, "src").join(b, "dst").groupBy(F.col("x").alias("src"), F.col("y").alias("dst")).agg(F.sum("w").alias("w")), old)
+    a, b = com.select(F.col("id").alias("src"), F.col("com").alias("x")), com.select(F.col("id").alias("dst"), F.col("com").alias("y"))
+    inside = e.join(a, "src").join(b, "dst").where("x = y").select("src", "dst")
+    parts = components(inside, com.select("id")).select(F.col("id").alias("node"), "component")  # moves alone might leave a part unlinked
+    label = member.join(parts, "node").select("id", "component")
+    out = cut(label.join(label.groupBy("component").agg(F.min("id").alias("community")), "component").select("id", "community"))
+    discard(spark, old)
+    return out
 
 
 def infomap(edges: DataFrame, rounds: int = 6, levels: int = 5) -> DataFrame:
@@ -610,4 +700,4 @@ def infomap(edges: DataFrame, rounds: int = 6, levels: int = 5) -> DataFrame:
         after = plogp(F.greatest(F.lit(0.0), every + joined - out - alone)) - 2 * plogp(joined) + plogp(joined + tot + d)
         return before - after
 
-    return _levels(edges, gain, rounds, levels, False)
+    return _levels(edges, gain, rounds, levels)

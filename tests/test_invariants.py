@@ -206,3 +206,40 @@ def test_core(spark):
     """A triangle with a tail: the 2-core is the triangle."""
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5)], "src long, dst long")
     assert sorted(r["id"] for r in G.k_core(e, 2).collect()) == [1, 2, 3] and G.k_core(e, 3).count() == 0
+
+
+def test_leiden(spark):
+    """On planted groups: communities are connected, well linked, and as modular as sequential moves make them."""
+    import random
+
+    for seed in (1,):
+        rng = random.Random(seed)
+        of = {i: i // 12 for i in range(48)}
+        pairs = [(a, b) for a in of for b in of if a < b and rng.random() < (0.5 if of[a] == of[b] else 0.03)]
+        edges = spark.createDataFrame(pairs, "src long, dst long")
+        got = {r["id"]: r["community"] for r in G.leiden(edges).collect()}
+        other = {r["id"]: r["community"] for r in G.louvain_small(edges).collect()}
+        graph = [(a, b, 1) for a, b in pairs]
+        assert set(got) == set(other) and modularity(graph, got) > modularity(graph, other) - 0.02
+        degree, m2 = defaultdict(int), 2 * len(pairs)
+        for a, b in pairs:
+            degree[a] += 1
+            degree[b] += 1
+        inner = [(a, b, 1) for a, b in pairs if got[a] == got[b]]
+        split = parts(inner, set(got))
+        for c in set(got.values()):
+            members = {n for n in got if got[n] == c}
+            assert min(members) == c and len({split[n] for n in members}) == 1
+            total = sum(degree[n] for n in members)
+            for n in members:  # no node is linked to the rest of its community by less than chance
+                links = sum(n in (a, b) for a, b, _ in inner)
+                assert links * m2 >= degree[n] * (total - degree[n])
+
+
+def test_leiden_bridge(spark):
+    """A node that held two groups together leaves: the groups come apart, as connected communities; no edges, no rows."""
+    clique = lambda ids: [(a, b) for a in ids for b in ids if a < b]
+    pairs = [*clique(range(1, 5)), *clique(range(11, 15)), *clique(range(21, 31)), (0, 1), (0, 11), *((0, i) for i in range(21, 31))]
+    got = {r["id"]: r["community"] for r in G.leiden(spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    assert got == {**{i: 1 for i in range(1, 5)}, **{i: 11 for i in range(11, 15)}, 0: 0, **{i: 0 for i in range(21, 31)}}
+    assert G.leiden(spark.createDataFrame([], "src long, dst long")).count() == 0
