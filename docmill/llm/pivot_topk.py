@@ -9,7 +9,7 @@ task holds at most ``query_rows`` queries and ``cell_rows`` candidates however m
 query, and a second grouping merges them.
 
 Defined cases: vectors that are null, hold null or non-finite components, or are empty take no part; only vectors of one
-length meet; rows with the query's vec_id count as its own; a repeated query row answers once; ties go to the smaller vec_id;
+length meet; rows with the query's vec_id count as its own; a repeated query row answers once; query rows of one vec_id with different vectors give one list, of the best over all of them; ties go to the smaller vec_id;
 scores beyond 64 bits are held at the bounds of a long.
 """
 
@@ -142,7 +142,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
                 found += eliminate(q["vec_id"].to_numpy(), mat(q["v"]), mat(q["d"]), x["vec_id"].to_numpy(), mat(x["v"]), mat(x["d"]), k)[0]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
-    # repeated queries with one vec_id but different vectors would mix; they are told apart by their vector
+    # query rows of one vec_id with different vectors give one list: the k best scores over all of them
     both = asks.unionByName(gives)
     part = both.groupBy("dim", "qg", "xg").applyInPandas(cell, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
