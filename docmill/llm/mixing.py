@@ -51,29 +51,55 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3)
     return src.withColumn("_top", level).select("source", "source_size", F.least((most * F.col("source_size")).cast("double"), F.col("_top") * F.col("_w")).alias("target"))
 
 
-def _pivot(size: np.ndarray, mass: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, int]:
-    """(mass after pivoting: none or all of its size, but for one row; that row or -1)."""
-    mass, held = mass.tolist(), -1
-    sizes, draw = size.tolist(), rng.random(len(size)).tolist()
-    for i, w in enumerate(sizes):
-        if mass[i] <= 0 or mass[i] >= w:
-            continue
+def _pairs(rows: np.ndarray, size: np.ndarray, mass: np.ndarray, rng: np.random.Generator) -> int:
+    """Pivots two rows at a time, in place; the row that stays fractional, or -1."""
+    held, draw = -1, rng.random(len(rows)).tolist()
+    for i, u in zip(rows.tolist(), draw, strict=True):
         if held < 0:
             held = i
             continue
-        m, n, v = mass[held], mass[i], sizes[held]
+        m, n, v, w = float(mass[held]), float(mass[i]), float(size[held]), float(size[i])
         up, down = min(v - m, n), min(m, w - n)  # to the held row, or from it
-        if draw[i] * (up + down) < down:
-            full = v - m <= n
-            mass[held], mass[i] = (v, n - (v - m)) if full else (m + n, 0)
+        if u * (up + down) < down:
+            mass[held], mass[i] = (v, n - (v - m)) if v - m <= n else (m + n, 0)
         else:
-            full = w - n <= m
-            mass[i], mass[held] = (w, m - (w - n)) if full else (n + m, 0)
+            mass[i], mass[held] = (w, m - (w - n)) if w - n <= m else (n + m, 0)
         if 0 < mass[i] < w:
             held = i
         elif not 0 < mass[held] < v:
             held = -1
-    return np.array(mass, float), held
+    return held
+
+
+def _against(row: int, rest: np.ndarray, size: np.ndarray, mass: np.ndarray, rng: np.random.Generator) -> None:
+    """Pivots a row against all of ``rest`` as one, in place, until it or they hold no fraction."""
+    v = size[row]
+    while 0 < mass[row] < v and len(rest := rest[(mass[rest] > 0) & (mass[rest] < size[rest])]):
+        m, n, w = mass[row], mass[rest], size[rest]
+        room = np.minimum(n, w - n)  # what each may give or take alike
+        up, down = min(v - m, room.sum()), min(m, room.sum())
+        if rng.random() * (up + down) < down:
+            mass[row] = v if up == v - m else m + up
+            mass[rest] = np.maximum(n - room * (up / room.sum()), 0)
+        else:
+            mass[row] = 0 if down == m else m - down
+            grown = n + room * (down / room.sum())
+            mass[rest] = np.where((down == room.sum()) & (room == w - n), w, np.minimum(grown, w))
+
+
+def _pivot(size: np.ndarray, mass: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, int]:
+    """(mass after pivoting: none or all of its size, but for one row; that row or -1)."""
+    mass, held = mass.astype(float), -1
+    grade = np.frexp(size)[1]
+    for g in np.unique(grade)[::-1]:
+        open_ = (mass > 0) & (mass < size)
+        held = _pairs(np.flatnonzero(open_ & (grade == g)), size, mass, rng)
+        if held >= 0:
+            _against(held, np.flatnonzero(open_ & (grade < g)), size, mass, rng)
+            if 0 < mass[held] < size[held]:
+                break
+            held = -1
+    return mass, held
 
 
 _SCHEMA = "source string, doc_id long, key long, size long, source_size long, target double, bucket long, copies long, taken_copies long, mass double"

@@ -7,13 +7,15 @@ trie node, when a distinct word first reaches it. A terminal node stores the wor
 The corpus' distinct words are counted, and those that recur (the most frequent, at most ``most``) are dealt to tasks by ranges, so that
 words which share a prefix meet in one trie; their counts are packed and broadcast. A text's other words, chiefly those that occur
 once, are inserted in the trie of the task that meets them. A trie is cleared beyond ``limit`` nodes, which costs repeated work only.
+A word of more than ``LONG`` characters gets no nodes: its forward scores roll through an array as long as the longest piece, so that
+memory beside the word itself doesn't grow with it.
 
 The vocabulary's pieces come from a public tokenizer file, in order of id; their scores are those of Zipf's law over that order,
 a fixed rule (no tokenizer is trained). A character that no piece matches scores ``penalty`` below the least score and costs one
 token a byte, as with byte fallback.
 
 Defined cases: a null or empty text has no words and no tokens; repeated rows are counted like any; a null doc_id stays; an empty
-table gives no rows; other columns play no part; ties between segmentations go to the one whose last piece is longer.
+table gives no rows; other columns play no part; words of any length are scored whole; ties between segmentations go to the one whose last piece is longer.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from docmill.llm import common, pretok, vocabulary
 
 MARK = "▁"
 WORDS = 1_000_000
+LONG = 4096
 
 
 def zipf_scores(pieces: list[str]) -> dict[str, float]:
@@ -61,6 +64,8 @@ class Trie:
 
     def add(self, word: str) -> int:
         """Inserts a word; the tokens of its best segmentation, stored at its terminal node."""
+        if len(word) > LONG:
+            return self.rolled(word)
         if len(self.best) > self.limit:
             self.clear()
         child, best, count, scores = self.child, self.best, self.count, self.scores
@@ -83,6 +88,21 @@ class Trie:
         self.terminal[node] = count[node]
         return count[node]
 
+    def rolled(self, word: str) -> int:
+        """The tokens of a word's best segmentation, from the scores of its last prefixes alone."""
+        scores, longest, size = self.scores, self.longest, self.longest + 1
+        best, count = [0.0] * size, [0] * size
+        for i, ch in enumerate(word):
+            top, tokens = -math.inf, 0
+            for j in range(max(0, i + 1 - longest), i + 1):
+                s = scores.get(word[j : i + 1])
+                if s is not None and best[j % size] + s > top:
+                    top, tokens = best[j % size] + s, count[j % size] + 1
+            if ch not in scores and best[i % size] + self.least > top:
+                top, tokens = best[i % size] + self.least, count[i % size] + len(ch.encode("utf-8", "replace"))
+            best[(i + 1) % size], count[(i + 1) % size] = top, tokens
+        return count[len(word) % size]
+
 
 def _scored(trie: Trie, words: list[bytes]) -> np.ndarray:
     """The tokens of each word; words are inserted in order, so that those which share a prefix meet it while it is fresh."""

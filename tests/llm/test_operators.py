@@ -4,6 +4,8 @@ import hashlib
 import itertools
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -232,6 +234,38 @@ def test_pivot_keeps_the_sum():
     assert np.mean(got) == pytest.approx(0.3, abs=0.09)
 
 
+def test_pivot_leaves_a_small_document():
+    rng = np.random.default_rng(3)
+    size = np.concatenate([[40_000.0, 9_000.0, 9_000.0, 0.0], np.floor(rng.lognormal(5, 1, 400)) + 1])
+    frac = np.concatenate([[0.4, 0.4, 0.9, 0.4], np.full(300, 0.4), rng.random(100)])  # copies of equal rows have fractions of their own
+    total, runs = np.zeros(len(size)), 600
+    for seed in range(runs):
+        mass, held = mixing._pivot(size, size * frac, np.random.default_rng(seed))
+        assert mass.sum() == pytest.approx((size * frac).sum())
+        assert all(m in (0, s) for i, (m, s) in enumerate(zip(mass, size, strict=True)) if i != held)
+        assert held < 0 or size[held] < 0.002 * mass.sum()
+        total += mass
+    seen, want = total[size > 0] / size[size > 0] / runs, frac[size > 0]
+    z = (seen - want) / np.sqrt(want * (1 - want) / runs + 1e-9)
+    assert np.abs(z).max() < 4.5  # the documents' shares move together, so the values are not independent
+
+
+def test_op2_is_near_its_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    source = {r["doc_id"]: r["source"] for r in docs.select("doc_id", "source").collect()}
+    taken, at, sizes = Counter(), {}, defaultdict(list)
+    for r in mixing.mix(docs).collect():
+        s = source[r["doc_id"]]
+        taken[s] += r["taken"]
+        at[s] = (r["target"], r["source_size"])
+        sizes[s].append(r["size"])
+    for s, (target, size) in at.items():
+        miss, loose = abs(taken[s] - target), target % size
+        # where the fractions sum to less than a document, taking it or not must miss by what lacks
+        assert miss <= (0.02 * target if min(loose, size - loose) >= max(sizes[s]) else max(sizes[s]))
+        assert len(sizes[s]) < 20 or miss <= 0.06 * target
+
+
 # 3
 def test_op3(spark):
     d = "/root/testdata/sf0.01"
@@ -260,6 +294,38 @@ def test_interaction_is_learnt():
     assert any({i, j} == {0, 1} for i, j, *_ in m.pairs) and ((m.score(x) >= 0.5) == y).mean() > 0.9
 
 
+def plain_features(text):
+    data = text.encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    lines = [x for x in data.split(b"\n") if re.search(rb"[^\x20\x09-\x0D]", x)]
+    n, size = max(len(words), 1), max(len(data), 1)
+    among = lambda chars: sum(data.count(c.encode()) for c in chars) / n
+    capitals = len(re.findall(rb"[A-Z]", data))
+    return [
+        np.log1p(len(words)),
+        sum(map(len, words)) / n,
+        len(set(words)) / n,
+        sum(a == b for a, b in itertools.pairwise(words)) / n,
+        capitals / max(len(re.findall(rb"[A-Za-z]", data)), 1),
+        len(re.findall(rb"[0-9]", data)) / size,
+        among("#*$%&<>"),
+        among("!"),
+        among("|"),
+        among(".,;:"),
+        1 - len(set(lines)) / len(lines) if lines else 0,
+        len(re.findall(rb"[\x80-\xff]", data)) / size,
+        sum(not re.search(rb"[A-Za-z\x80-\xff]", w) for w in words) / n,
+    ]
+
+
+def test_op3_features(docs):
+    texts = [r["text"] or "" for r in docs.limit(150).collect()] + ["", " ", "\n", "\n\n a", "a\n", "a\na\n\na", "x x x", "É é ! 12|3 <#>", "b\tc\x0bd\x1ce", "a\n b", "", "same\r\nsame\r\n"]
+    raw = [t.encode() for t in texts]
+    off = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+    got = gam.features(np.frombuffer(b"".join(raw), np.uint8), off)
+    np.testing.assert_allclose(got, [plain_features(t) for t in texts], rtol=1e-9, atol=1e-12)
+
+
 # 4
 def test_chain():
     rng = random.Random(4)
@@ -560,6 +626,30 @@ def test_op8(spark, docs, edge):
     assert trie_counts.counts(edge.limit(0), P.path("piece_bpe_32k.model")).count() == 0
 
 
+def test_op8_very_long_words(monkeypatch):
+    scores = trie_counts.zipf_scores(trie_counts.load_pieces(open(P.path("piece_bpe_32k.model"), "rb").read()))
+    rng = random.Random(8)
+    words = ["▁" + "".join(rng.choice("aeinrst☃é") for _ in range(rng.randint(1, 300))) for _ in range(50)]
+    want = [trie_counts.Trie(scores).add(w) for w in words]
+    monkeypatch.setattr(trie_counts, "LONG", 0)
+    trie = trie_counts.Trie(scores)
+    assert [trie.add(w) for w in words] == want and len(trie.best) == 1
+
+
+def test_op8_memory_of_a_word_of_5_mb():
+    code = """
+import resource, sys
+from docmill.llm import trie_counts as T
+trie = T.Trie({"a": -1.0, "ab": -1.5, "ba": -1.6, "aba": -1.7})
+word = "ab" * 2_500_000
+held = int(open("/proc/self/statm").read().split()[0]) * resource.getpagesize()
+resource.setrlimit(resource.RLIMIT_AS, (held + (64 << 20), -1))
+assert trie.add(word) == 2_500_000
+assert len(trie.best) == 1
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300)
+
+
 # 9
 def test_op9(spark, docs, edge):
     import tiktoken
