@@ -79,7 +79,7 @@ def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     out[:, 5] = per(_KIND[2][data]) / size
     for k in (3, 4, 5, 6):
         out[:, 3 + k] = per(_KIND[k][data]) / words
-    out[:, 10] = 1 - _first_seen(pretok.span_hashes(data, ls, le), lof, docs) / np.maximum(lines, 1) if len(ls) else 0
+    out[:, 10] = (lines - _first_seen(pretok.span_hashes(data, ls, le), lof, docs)) / np.maximum(lines, 1) if len(ls) else 0
     out[:, 11] = per(data >= 0x80) / size
     out[:, 12] = np.bincount(of, letter[ends] == letter[starts], docs) / words
     return out
