@@ -182,3 +182,32 @@ def test_stateful_rates(spark, tmp_path):
     batch = {r["user_id"]: (r["n"], r["e"]) for r in spark.read.parquet(f"{SMALL}/events.parquet").groupBy("user_id").agg(F.count("*").alias("n"), F.avg((F.col("event_type") == "error").cast("int")).alias("e")).collect()}
     assert {r["user_id"]: r["seen"] for r in rows} == {k: v[0] for k, v in batch.items()}
     assert all(r["error_rate"] == pytest.approx(batch[r["user_id"]][1]) for r in rows)
+
+
+def test_headings_of_each_strategy():
+    from docmill.operators import chunking as C
+
+    found = lambda text, name: C.headings(text, C.HEADINGS[name])
+    md = "intro\n# Visie\ntekst\n### Wonen \n## Water\nArtikel 1. x"
+    assert found(md, "default") == found(md, "policy") == [(6, 1, "Visie"), (20, 3, "Wonen"), (31, 2, "Water")]
+    assert [p for _, p in C.outline(found(md, "default"))] == [("Visie",), ("Visie", "Wonen"), ("Visie", "Water")]
+    assert found("Artikel 1 zonder punt\nHOOFDSTUK 2: Regels\nartikel 3a. Begrippen", "default") == [(22, 1, "HOOFDSTUK 2: Regels"), (42, 1, "artikel 3a: Begrippen")]
+    stop = "Hoofdstuk 1 Algemeen\nafdeling 1.2: Regels\nArtikel 1.2.3\n\nTitel 4 Overig\nx Artikel 5"
+    assert found(stop, "stop") == [(0, 1, "Algemeen"), (21, 2, "Regels"), (42, 3, "Titel 4 Overig")]  # without a title, the next line is taken for one
+    assert found("Artikel 7", "stop") == [(0, 1, "7")]
+    legal = "FEITEN\nA kocht.\n\nBeoordeling: het hof\nProcesverloop\nArtikel 3a: Termijn\nLid 2\nonderdeel 4. Slot\nGeschiedenis."
+    assert found(legal, "legal") == [(0, 1, "FEITEN"), (17, 1, "Beoordeling"), (52, 1, "Artikel 3a: Termijn"), (72, 2, "Lid 2: onderdeel 4. Slot"), (96, 1, "Geschiedenis")]
+    run = "Voorwoord Hoofdstuk 1: Inleiding Dit is de eerste zin van het stuk. Paragraaf 1.1 Doel\n\ntekst\nDeel 2: Bijlagen"
+    assert found(run, "policy") == [(10, 1, "Hoofdstuk 1: Inleiding"), (68, 2, "Paragraaf 1.1: Doel"), (94, 1, "Deel 2: Bijlagen")]
+    assert found("1 Doel\n1.1 Kader\n1.1.1 Wet\n2 Slot\n3. niet", "policy") == [(0, 1, "Doel"), (7, 2, "Kader"), (17, 3, "Wet"), (27, 1, "Slot")]
+    assert [p for _, p in C.outline(found("1 Doel\n1.1 Kader\n2 Slot", "policy"))] == [("Doel",), ("Doel", "Kader"), ("Slot",)]
+    assert all(found("gewone tekst zonder kop", n) == [] for n in C.HEADINGS)
+
+
+def test_sections_carry_their_path():
+    from docmill.operators import chunking as C
+
+    text = "voor" + " w" * 900 + "\n# A\n" + "x " * 900 + "\n## B\n" + "y " * 3000
+    parts = C.sections(text, C.HEADINGS["policy"], overlap=0)
+    assert [p for *_, p in parts] == ["", "A", "A > B", "A > B"] and [h for *_, h, _ in parts] == ["", "# A", "## B", "## B"]
+    assert "".join(text[a:b] for a, b, *_ in parts) == text
