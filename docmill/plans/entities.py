@@ -379,7 +379,7 @@ def _(t):
     return retrieval.nearest(t.embeddings, "vec_id", "embedding", "label", 5, 0.2).select("a", "b")
 
 
-@query("lb_rules", "SELECT c_custkey AS src, n_nationkey AS dst, 'LOCATED_IN' AS type FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT n_nationkey, n_regionkey, 'PART_OF' FROM nation")
+@query("lb_rules_join", "SELECT c_custkey AS src, n_nationkey AS dst, 'LOCATED_IN' AS type FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT n_nationkey, n_regionkey, 'PART_OF' FROM nation")
 def _(t):
     a = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("src"), F.col("n_nationkey").alias("dst"), F.lit("LOCATED_IN").alias("type"))
     return a.union(t.nation.select(F.col("n_nationkey").cast("long"), "n_regionkey", F.lit("PART_OF")))

@@ -13,7 +13,7 @@ from tests.conftest import SMALL
 
 LARGER = "/root/testdata/sf0.01"
 #: Queries that are also compared on larger tables: those whose rounding, ties or joins the smallest tables may not show.
-ALSO_LARGER = ["fu_resolve", "fu_resolve_recent", "fu_resolve_weighted", "fu_merge_resolved", "rt_parse", "rt_decompose", "rt_plan", "rt_fact_first", "rt_community", "rt_community_tree", "rt_truthful", "rt_conflicts"]
+ALSO_LARGER = ["fu_resolve", "fu_resolve_recent", "fu_resolve_weighted", "fu_merge_resolved", "rt_parse", "rt_decompose", "rt_plan", "rt_fact_first", "rt_community", "rt_community_tree", "rt_truthful", "rt_conflicts", "lb_rules"]
 
 
 def connected(folder):
