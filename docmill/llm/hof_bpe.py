@@ -2,7 +2,7 @@
 
 1. Every text is cut by the byte-level pattern; each task counts its distinct pre-tokens, and one grouping counts them all.
 2. ``fold``: ``aggregate`` folds merges over the array of a word's bytes: the pair of least rank (the leftmost of equals) is joined
-   until no pair has a rank. Ranks come from a literal in the plan.
+   until no pair has a rank. Pieces are numbers and what a pair joins to is found by arithmetic, in two literals in the plan (``Merges``).
 3. Words that recur are folded once and packed into a dictionary of at most ``dictionary_words`` words (the most frequent; the bound
    is what may be broadcast). A first pass over the texts writes the ids of the words it holds; the rest of a text's distinct words,
    chiefly those that occur once in the corpus, go beside the ids as an array, are folded by the same expression in the same
@@ -22,6 +22,7 @@ import base64
 import hashlib
 import heapq
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,33 +45,106 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def fold(word: str, table: str) -> str:
-    """SQL for the ids (array<int>) of the binary column ``word``; ``table``: SQL of the literal buckets."""
+class Merges:
+    """``ranks`` as arrays in which the fold finds what two neighbouring pieces join to, in two steps and by whole numbers.
 
-    def rank(x: str) -> str:
-        bucket = f"get({table}, CAST(crc32(CAST({x} AS BINARY)) % {_BUCKETS} AS INT))"
-        return f"coalesce(CAST(nullif(substring_index(substring_index({bucket}, concat(',', {x}, '='), -1), ',', 1), '') AS INT), {_NONE})"
+    Pieces are numbered by rank. The pair (x, y) belongs to the bucket (x * ``a`` + y) mod the size of ``move``, and stands in ``pairs`` at
+    (x * ``c`` + y + the bucket's move) modulo its size, as a number of three parts of ``bits`` bits: x, y and the piece that they join to.
+    The first two are compared with the pair that is looked for, so what shares its place is never taken for it.
+    """
 
-    start = f"transform(sequence(1, length({word})), i -> hex(substring({word}, i, 1)))"
-    ranks = f"transform(slice(b, 1, size(b) - 1), (x, i) -> {rank('concat(x, b[i + 1])')})"
-    state = f"transform(array({start}), b -> named_struct('p', b, 'r', {ranks}))[0]"
-    joined = "concat(s.p[i - 1], s.p[i])"
-    left = f"CASE WHEN i >= 2 THEN concat(slice(s.r, 1, i - 2), array({rank('concat(s.p[i - 2], j)')})) ELSE slice(s.r, 1, 0) END"
-    right = f"CASE WHEN i + 1 < size(s.p) THEN concat(array({rank('concat(j, s.p[i + 1])')}), slice(s.r, i + 2, size(s.r))) ELSE slice(s.r, 1, 0) END"
-    merge = (
-        "transform(array(CAST(array_position(s.r, array_min(s.r)) AS INT)), i -> "
-        f"transform(array({joined}), j -> named_struct('p', concat(slice(s.p, 1, i - 1), array(j), slice(s.p, i + 2, size(s.p))), 'r', concat({left}, {right})))[0])[0]"
-    )
-    step = f"CASE WHEN size(s.r) = 0 OR array_min(s.r) = {_NONE} THEN s ELSE {merge} END"
-    pieces = f"aggregate(sequence(1, length({word})), {state}, (s, k) -> {step}, s -> s.p)"
-    whole = f"hex({word})"
-    return f"CASE WHEN length({word}) = 1 OR {rank(whole)} < {_NONE} THEN array({rank(whole)}) ELSE transform({pieces}, x -> {rank('x')}) END"
+    def __init__(self, ranks: dict[bytes, int]):
+        pieces = sorted(ranks, key=ranks.__getitem__)
+        lone = [w for w in (bytes([b]) for b in range(256)) if w not in ranks]  # bytes without a rank may still be joined
+        number = {w: i for i, w in enumerate(pieces + lone)}
+        self.ids = [ranks[w] for w in pieces] + [_NONE] * len(lone)
+        self.bytes = [number[bytes([b])] for b in range(256)]
+        self.edge = len(number)  # stands before and after a word, and has no pairs
+        self.bits = (self.edge + 1).bit_length()
+        if self.bits > 20:
+            raise ValueError("more than a million pieces")
+        found = array("q")  # x, y, joined
+        for w, joined in number.items():
+            for i in range(1, len(w)):
+                if (x := number.get(w[:i])) is not None and (y := number.get(w[i:])) is not None:
+                    found.extend((x, y, joined))
+        self._place(*np.frombuffer(found, np.int64).reshape(-1, 3).T)
+        # pieces that no merges lead to: a word that equals one takes its rank nevertheless
+        self.apart = {w: r for w, r in ranks.items() if len(w) > 1 and _merged(w, ranks) != [w]}
+
+    def _place(self, x: np.ndarray, y: np.ndarray, joined: np.ndarray) -> None:
+        """Finds each bucket's move, buckets of many pairs first; of those that clash in a round all but the first try again."""
+        size = max(64, 1 << (5 * len(x) // 4).bit_length())
+        rng = np.random.default_rng(1)
+        done = False
+        while not done:
+            self.a, self.c = (int(k) | 1 for k in rng.integers(1 << 20, 1 << 30, 2))
+            bucket, at = (x * self.a + y) % (size // 4), (x * self.c + y) % size
+            self.move, taken = np.zeros(size // 4, np.int64), np.zeros(size, bool)
+            many = np.bincount(bucket, minlength=size // 4)[bucket]
+            for n in np.unique(many)[::-1].tolist():
+                left = np.flatnonzero(many == n)
+                for _ in range(2000):
+                    if not len(left):
+                        break
+                    move = rng.integers(0, size, size // 4)
+                    place = (at[left] + move[bucket[left]]) % size
+                    fits = np.zeros(len(left), bool)
+                    fits[np.unique(place, return_index=True)[1]] = True
+                    bad = np.zeros(size // 4, bool)
+                    bad[bucket[left[taken[place] | ~fits]]] = True
+                    good = ~bad[bucket[left]]
+                    self.move[bucket[left[good]]] = move[bucket[left[good]]]
+                    taken[place[good]] = True
+                    left = left[~good]
+                done = not len(left)
+                if not done:
+                    break
+            done = done or not len(x)
+        self.pairs = np.full(size, (self.edge + 1) << 2 * self.bits)
+        self.pairs[(at + self.move[bucket]) % size] = (x << self.bits | y) << self.bits | joined
+
+
+def fold(word: str, merges: Merges) -> str:
+    """SQL for the ids (array<int>) of the binary column ``word``; ``_with_merges`` binds the arrays ``move``, ``pairs`` and ``apart``.
+
+    The state is one array: of each piece what it and the next join to (a number without a piece: nothing), then its own number.
+    """
+    bits, limit = merges.bits, 1 << merges.bits
+
+    def element(x: str, y: str) -> str:
+        move = f"get(move, CAST({x} * {merges.a}L + {y} & {len(merges.move) - 1}L AS INT))"
+        place = f"get(pairs, CAST({x} * {merges.c}L + {y} + {move} & {len(merges.pairs) - 1}L AS INT))"
+        return f"(shiftleft(least({place} ^ shiftleft(shiftleft({x}, {bits}) | {y}, {bits}), {limit}L), {bits}) | {x})"
+
+    def own(i: str) -> str:
+        return f"(s[{i}] & {limit - 1}L)"
+
+    numbers = f"transform(split(decode({word}, 'ISO-8859-1'), ''), c -> get(array({', '.join(f'{k}L' for k in merges.bytes)}), ascii(c)))"
+    start = f"flatten(array(array({merges.edge}L), {numbers}, array({merges.edge}L, {merges.edge}L)))"
+    state = f"transform(array({start}), b -> transform(slice(b, 1, size(b) - 1), (x, i) -> {element('x', 'b[i + 1]')}))[0]"
+    # the leftmost of the pairs that join to the piece of least rank; flatten, as concat takes far longer for short arrays
+    at = f"CAST(array_position(transform(s, x -> shiftright(x, {bits})), shiftright(array_min(s), {bits})) AS INT)"
+    new = f"shiftright(s[i - 1], {bits})"
+    merge = f"flatten(array(slice(s, 1, i - 2), array({element(own('i - 2'), new)}, {element(new, own('i + 1'))}), slice(s, i + 2, size(s))))"
+    step = f"CASE WHEN array_min(s) < {limit << bits}L THEN transform(array({at}), i -> {merge})[0] ELSE s END"
+    pieces = f"aggregate(sequence(1, length({word})), {state}, (s, k) -> {step}, s -> transform(slice(s, 2, size(s) - 2), x -> CAST(x & {limit - 1}L AS INT)))"
+    if merges.ids != list(range(len(merges.ids))):
+        pieces = f"transform({pieces}, x -> get(array({', '.join(map(str, merges.ids))}), x))"
+    if not merges.apart:
+        return pieces
+    bucket = f"get(apart, CAST(crc32(CAST(hex({word}) AS BINARY)) % {_BUCKETS} AS INT))"
+    rank = f"nullif(substring_index(substring_index({bucket}, concat(',', hex({word}), '='), -1), ',', 1), '')"
+    return f"CASE WHEN {rank} IS NULL THEN {pieces} ELSE array(CAST({rank} AS INT)) END"
 
 
 def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same rule for one word, with a heap of pairs: least rank first, then leftmost."""
-    if (r := ranks.get(word)) is not None:
-        return [r]
+    return [r] if (r := ranks.get(word)) is not None else [ranks[w] for w in _merged(word, ranks)]
+
+
+def _merged(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """The pieces that merges leave of ``word``."""
     n = len(word)
     nxt, prv, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
     alive = [True] * n
@@ -90,32 +164,44 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
             heapq.heappush(heap, (r, prv[i], e))
     out, i = [], 0
     while i < n:
-        out.append(ranks[word[i : end[i]]])
+        out.append(word[i : end[i]])
         i = nxt[i]
     return out
 
 
-def _with_ranks(ranks: dict[bytes, int], body: str) -> Column:
-    """The SQL ``body`` over ``ranks``, the literal buckets, bound to one lambda variable: the plan holds (and prints) them once."""
-    rows = [[","] for _ in range(_BUCKETS)]
-    for piece, rank in ranks.items():
-        key = piece.hex().upper()
-        rows[zlib.crc32(key.encode()) % _BUCKETS].append(f"{key}={rank},")
-    literal = "|".join("".join(r) for r in rows)  # a constant: split once, when the plan is made
-    return F.expr(f"transform(array(split('{literal}', '[|]')), ranks -> {body})[0]")
+def _with_merges(merges: Merges, sql: str) -> Column:
+    """``sql`` over the arrays of ``merges``, literals bound to lambda variables: the plan holds (and prints) them once."""
+
+    def bound(name: str, literal: str, inner: str) -> str:  # constants: split once, when the plan is made
+        return f"transform(array({literal}), {name} -> {inner})[0]"
+
+    for name, row in (("move", merges.move), ("pairs", merges.pairs)):
+        sql = bound(name, f"CAST(split('{','.join(map(str, row.tolist()))}', ',') AS ARRAY<BIGINT>)", sql)
+    if merges.apart:
+        rows = [[","] for _ in range(_BUCKETS)]
+        for piece, rank in merges.apart.items():
+            key = piece.hex().upper()
+            rows[zlib.crc32(key.encode()) % _BUCKETS].append(f"{key}={rank},")
+        sql = bound("apart", f"split('{'|'.join(''.join(r) for r in rows)}', '[|]')", sql)
+    return F.expr(sql)
 
 
 def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """``words`` with ``ids``: the fold in Spark's own functions."""
-    return words.withColumn("ids", _with_ranks(ranks, fold("word", "ranks")))
+    return _encoded_words(words, Merges(ranks))
+
+
+def _encoded_words(words: DataFrame, merges: Merges) -> DataFrame:
+    return words.withColumn("ids", _with_merges(merges, fold("word", merges)))
 
 
-def dictionary(docs: DataFrame, ranks: dict[bytes, int], most: int = DICTIONARY_WORDS) -> list[np.ndarray]:
+def dictionary(docs: DataFrame, ranks: dict[bytes, int] | Merges, most: int = DICTIONARY_WORDS) -> list[np.ndarray]:
     """The ids of the most frequent recurring pre-tokens, folded in Spark and packed: never more than ``most`` words."""
     spark = docs.sparkSession
     done: list[str] = []
     chosen, held = vocabulary.frequent(common.written(vocabulary.distinct_words(docs), "bpe-words", drop=done), most)
-    folded = encode_words(chosen.repartition(common.partitions_for(spark, held, 20_000)), ranks)
+    merges = ranks if isinstance(ranks, Merges) else Merges(ranks)
+    folded = _encoded_words(chosen.repartition(common.partitions_for(spark, held, 20_000)), merges)
     out = vocabulary.packed(common.written(folded, "bpe-ids", drop=done))
     common.remove(spark, done)
     return out
@@ -194,7 +280,9 @@ def _run(docs: DataFrame, ranks_path: str, most: int, with_ids: bool) -> DataFra
     common.short_plans(spark)
     ranks = load_ranks(ranks_path)
     sent_ranks = spark.sparkContext.broadcast(ranks)
-    sent_words = spark.sparkContext.broadcast(dictionary(docs, ranks, most))
+    merges = Merges(ranks)
+    common.trim()
+    sent_words = spark.sparkContext.broadcast(dictionary(docs, merges, most))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, own = sent_words.value, sent_ranks.value
@@ -232,6 +320,6 @@ def _run(docs: DataFrame, ranks_path: str, most: int, with_ids: bool) -> DataFra
 
     # written, so that the workers of one pass are gone before those of the next start
     parts = common.written(docs.select("doc_id", "text").mapInArrow(split, "doc_id long, part binary, rare array<binary>"), "bpe-parts")
-    folded = _with_ranks(ranks, f"transform(rare, w -> {fold('w', 'ranks')})")
+    folded = _with_merges(merges, f"transform(rare, w -> {fold('w', merges)})")
     more = ", ids binary" if with_ids else ""
     return parts.select("doc_id", "part", folded.alias("ids")).mapInArrow(finish, f"doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")

@@ -675,6 +675,45 @@ def test_op9(spark, docs, edge):
     assert hof_bpe.digests(edge.limit(0), path).count() == 0
 
 
+def test_op9_pairs_by_number(spark):
+    """The fold searches no strings: every pair that joins is found by its numbers, no other is, whatever the ranks are."""
+    ranks = hof_bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    m = hof_bpe.Merges(ranks)
+    assert "substring_index" not in hof_bpe.fold("word", m) and not m.apart
+
+    def joined(x, y):
+        at = (x * m.c + y + int(m.move[(x * m.a + y) & (len(m.move) - 1)])) & (len(m.pairs) - 1)
+        got = int(m.pairs[at]) ^ ((x << m.bits | y) << m.bits)
+        return got if got < 1 << m.bits else None
+
+    number = {w: i for i, w in enumerate(sorted(ranks, key=ranks.get))}
+    for w, r in ranks.items():
+        for i in range(1, len(w)):
+            if w[:i] in ranks and w[i:] in ranks:
+                assert joined(number[w[:i]], number[w[i:]]) == number[w]
+    rng, pieces = random.Random(1), sorted(ranks)
+    for x, y in ((rng.choice(pieces), rng.choice(pieces)) for _ in range(20_000)):
+        assert joined(number[x], number[y]) == number.get(x + y)
+    assert joined(m.edge, m.edge) is None and all(joined(m.edge, k) is None and joined(k, m.edge) is None for k in range(300))
+
+    # gaps between ranks, bytes without a rank, a piece that no merges lead to, one piece from two pairs
+    odd = {bytes([b]): 3 * b for b in range(97, 102)} | {b"ab": 5000, b"ba": 5001, b"aba": 5002, b"aa": 4000, b"aaa": 4500, b"fa": 10, b"dabe": 70_000}
+    words = [bytes(rng.choice(b"aabbcdef") for _ in range(rng.randint(1, 12))).replace(b"f", b"fa") for _ in range(400)] + [b"dabe", b"aaaa", b"aaaaa", b"ababa"]
+
+    def plain(word):  # the rule itself: the least rank, then the leftmost
+        if word in odd:
+            return [odd[word]]
+        p = [word[i : i + 1] for i in range(len(word))]
+        while found := [(odd[p[i] + p[i + 1]], i) for i in range(len(p) - 1) if p[i] + p[i + 1] in odd]:
+            i = min(found)[1]
+            p[i : i + 2] = [p[i] + p[i + 1]]
+        return [odd[x] for x in p]
+
+    df = spark.createDataFrame([(bytearray(w),) for w in words], "word binary")
+    assert {(bytes(r["word"]), tuple(r["ids"])) for r in hof_bpe.encode_words(df, odd).collect()} == {(w, tuple(plain(w))) for w in words}
+    assert all(hof_bpe.merge_word(w, odd) == plain(w) for w in words)
+
+
 # 10
 def test_op10(spark, docs, edge):
     for df, parts in ((docs, 7), (edge, 3), (edge.limit(0), 2)):
