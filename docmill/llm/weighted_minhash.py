@@ -40,6 +40,7 @@ CELLS = 1 << 18
 LIFT, RESOLUTION = 0.2, 300
 _SLICE = 8192
 _FEW = 4096
+_CACHED = 1 << 15
 
 _C = np.uint64(0xD6E8FEB86659FD93)
 _SALT = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -128,7 +129,19 @@ def signatures(of: np.ndarray, key: np.ndarray, w: np.ndarray) -> tuple[np.ndarr
     """(texts that have shingles, 64 samples of each as uint32)."""
     head = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
     out = np.empty((len(head), BANDS * ROWS), np.uint32)
-    size = np.diff(np.append(head, len(of)))
+    ends = np.append(head, len(of))
+    lo = 0
+    while lo < len(head):  # as many texts as the processor's cache holds the shingles of, or one
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + _CACHED, side="right")) - 1)
+        at = slice(ends[lo], ends[hi])
+        _sample(key[at], w[at], head[lo:hi] - ends[lo], out[lo:hi])
+        lo = hi
+    return of[head], out
+
+
+def _sample(key: np.ndarray, w: np.ndarray, head: np.ndarray, out: np.ndarray) -> None:
+    """The samples of texts whose shingles begin at ``head``, into ``out``."""
+    size = np.diff(np.append(head, len(key)))
     log_w = np.log(w)
     for k, seed in enumerate(_SEEDS):
         h = (key ^ seed) * _C
@@ -138,11 +151,10 @@ def signatures(of: np.ndarray, key: np.ndarray, w: np.ndarray) -> tuple[np.ndarr
         beta = ((h >> np.uint64(16)) & np.uint64(0xFFFFFF)).astype(np.float32) / np.float32(1 << 24)
         t = np.floor(log_w / r + beta)
         log_a = _LOG_GAMMA[((h >> np.uint64(40)) & np.uint64(_FEW - 1)).astype(np.int64)] - r * (t - beta + 1)
-        low = np.minimum.reduceat(log_a, head) if len(head) else log_a
+        low = np.minimum.reduceat(log_a, head)
         hit = np.flatnonzero(log_a == np.repeat(low, size))
         hit = hit[np.searchsorted(hit, head)]  # the least hash of equals: consistent between texts
         out[:, k] = (pretok.mix(key[hit] + t[hit].astype(np.int64).astype(np.uint64) * _SALT[0]) >> np.uint64(32)).astype(np.uint32)
-    return of[head], out
 
 
 def band_hashes(sig: np.ndarray) -> np.ndarray:
@@ -191,14 +203,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> Data
 
 def _between(sig_least: int, idf, threshold: float):
     """Verified pairs of a bucket's block whose components differ. A pair is looked at in the first band that it shares, and
-    only if its samples agree often enough; once two components are joined, no more of their pairs are looked at."""
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.drop_duplicates(["node", "odd"]).sort_values("node")
-        bh, table = f["bh"].iloc[0], idf.value
-        odd, other = f[f["odd"]], f[~f["odd"]]
-        mat = lambda g: np.frombuffer(b"".join(g["sig"]), np.uint32).reshape(len(g), -1)
-        nx, ny, tx, ty = odd["node"].to_numpy(), other["node"].to_numpy(), odd["text"].to_numpy(), other["text"].to_numpy()
+    only if its samples agree often enough; once two components are joined, no more of their pairs are looked at.
+
+    Most blocks hold a few rows, so a block is read as the Arrow table that it comes as."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
+
+    def run(f: pa.Table) -> pa.Table:
+        bh, table = f["bh"][0].as_py(), idf.value
+        nodes, labels, texts, odds = f["node"].to_numpy(), f["label"].to_numpy(), f["text"], f["odd"].to_numpy()
+        # each node once, in order
+        odd, other = (at[np.unique(nodes[at], return_index=True)[1]] for at in (np.flatnonzero(odds), np.flatnonzero(~odds)))
+        sigs = f["sig"].to_pylist()
+        mat = lambda at: np.frombuffer(b"".join([sigs[i] for i in at.tolist()]), np.uint32).reshape(len(at), -1)
+        nx, ny = nodes[odd].tolist(), nodes[other].tolist()
         found, root, sets = [], {}, {}
 
         def find(x: int) -> int:
@@ -206,14 +223,14 @@ def _between(sig_least: int, idf, threshold: float):
                 x = root[x] = root.get(root[x], root[x])
             return x
 
-        def known(node: int, text: str) -> tuple[np.ndarray, np.ndarray]:
+        def known(node: int, at: int) -> tuple[np.ndarray, np.ndarray]:
             if node not in sets:
-                _, key, tf = shingles(*common.text_buffers(pa.array([text], pa.string())))
+                _, key, tf = shingles(*common.text_buffers(pa.array([texts[at].as_py()], pa.string())))
                 sets[node] = key, weights(key, tf, table)
             return sets[node]
 
         if len(odd) and len(other):
-            x, y, lx, ly = mat(odd), mat(other), odd["label"].to_numpy(), other["label"].to_numpy()
+            x, y, lx, ly = mat(odd), mat(other), labels[odd], labels[other]
             bx, by = band_hashes(x), band_hashes(y)
             here = int(np.flatnonzero(bx[0] == bh)[0])
             for i in range(len(odd)):
@@ -221,14 +238,14 @@ def _between(sig_least: int, idf, threshold: float):
                 at = np.flatnonzero((same >= sig_least) & (ly != lx[i]) & ((by == bx[i]).argmax(1) == here))
                 for j in at[np.argsort(-same[at], kind="stable")].tolist():
                     p, q = find(lx[i]), find(ly[j])
-                    if p != q and (sim := similarity(known(nx[i], tx[i]), known(ny[j], ty[j]))) >= threshold - 1e-9:
+                    if p != q and (sim := similarity(known(nx[i], int(odd[i])), known(ny[j], int(other[j])))) >= threshold - 1e-9:
                         root[max(p, q)] = min(p, q)
                         found.append((nx[i], ny[j], sim))
                 sets.pop(nx[i], None)
-        if len(f) > 200:
+        if len(odd) + len(other) > 200:
             sets.clear()
             common.trim()
-        return pd.DataFrame(found, columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
+        return pa.Table.from_pydict({k: [r[i] for r in found] for i, k in enumerate(schema.names)}, schema)
 
     return run
 
@@ -293,7 +310,7 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, block: int = 256, membe
     gives = some.withColumn("odd", F.lit(False)).withColumn("j", hash_to("mb")).withColumn("i", F.explode(F.sequence(F.lit(0), "ob")))
     least = int(BANDS * ROWS * threshold - 4 * (BANDS * ROWS * threshold * (1 - threshold)) ** 0.5)
     blocks = asks.unionByName(gives).groupBy("bh", "i", "j")
-    second = common.written(blocks.applyInPandas(_between(least, idf, threshold), "a long, b long, similarity double"), "nd-edges")
+    second = common.written(blocks.applyInArrow(_between(least, idf, threshold), "a long, b long, similarity double"), "nd-edges")
     return rows.select("doc_id", "node"), first.unionByName(second)
 
 

@@ -675,6 +675,39 @@ def test_op9(spark, docs, edge):
     assert hof_bpe.digests(edge.limit(0), path).count() == 0
 
 
+def test_op6_blocks_without_pandas(monkeypatch):
+    """A bucket's block, mostly a few rows, makes no pandas frames; texts are signed alike whatever is signed with them."""
+    import pandas as pd
+
+    rng = random.Random(6)
+    base = [" ".join(f"w{rng.randrange(400)}" for _ in range(80)) for _ in range(6)]
+    texts = base + [b.replace(b.split()[5], "other", 1) for b in base[:3]]
+    idf = np.ones((2, weighted_minhash.CELLS), np.float32)
+    of, key, tf = weighted_minhash.shingles(*buffers(texts))
+    has, sig = weighted_minhash.signatures(of, key, weighted_minhash.weights(key, tf, idf))
+    assert has.tolist() == list(range(len(texts)))
+    for cached in (1, 100, 1 << 20):
+        monkeypatch.setattr(weighted_minhash, "_CACHED", cached)
+        assert (weighted_minhash.signatures(of, key, weighted_minhash.weights(key, tf, idf))[1] == sig).all()
+    bands = weighted_minhash.band_hashes(sig)
+    shared = [int(bands[6 + k][np.flatnonzero(bands[6 + k] == bands[k])[0]]) for k in range(3)]
+
+    class Sent:
+        value = idf
+
+    run = weighted_minhash._between(30, Sent, 0.8)
+    monkeypatch.setattr(pd, "DataFrame", None)
+    for k in range(3):
+        rows = [(6 + k, 6 + k, True), (6 + k, 6 + k, True), (k, k, False), (6 + k, 6 + k, False), (k, k, False)]  # repeated rows count once
+        f = pa.table({"node": [r[0] for r in rows], "bh": [shared[k]] * 5, "label": [r[1] for r in rows], "odd": [r[2] for r in rows], "sig": [sig[r[0]].tobytes() for r in rows], "text": [texts[r[0]] for r in rows]})
+        out = run(f).to_pylist()
+        assert [(r["a"], r["b"]) for r in out] == [(6 + k, k)]
+        one = [weighted_minhash.shingles(*buffers([texts[j]])) for j in (6 + k, k)]
+        pair = [(x[1], weighted_minhash.weights(x[1], x[2], idf)) for x in one]
+        assert out[0]["similarity"] == weighted_minhash.similarity(*pair) >= 0.8
+        assert run(f.filter(f["odd"])).num_rows == 0
+
+
 def test_op1_words_met_again_are_kept():
     """A full table forgets what was met once: a frequent word is encoded once, whatever else the texts hold."""
     asked = Counter()
