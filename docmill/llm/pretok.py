@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import unicodedata
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 
@@ -193,7 +194,7 @@ class WordTable:
     ``encode`` gets the bytes of unknown distinct words and returns their rows. Forgetting costs repeated work, never results.
     """
 
-    def __init__(self, encode, limit: int = 300_000):
+    def __init__(self, encode, limit: int = 200_000):
         self.encode, self.limit = encode, limit
         self.clear()
 
@@ -223,7 +224,7 @@ class WordTable:
             self._forget()
         raw = data.tobytes()
         words = [raw[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        at = np.fromiter((self.row.get(w, -1) for w in words), np.int64, len(words))
+        at = np.fromiter(map(self.row.get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(at < 0)
         self.again[at[at >= 0]] = True
         if len(new):
