@@ -1,0 +1,27 @@
+"""Rows on an edge, sums that turn on their order, keys that meet and events out of order, against SQL or by hand."""
+
+import datetime
+
+from docmill import plans
+from docmill.operators import entities, spatial
+from pyspark.sql import functions as F
+from tests.test_oracle import connected, norm
+
+
+def agrees(spark, folder, name, **tables):
+    """The query's rows over the given tables, held against its SQL."""
+    for t, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).toPandas().to_parquet(f"{folder}/{t}.parquet")
+    got = norm(plans.QUERIES[name](spark, str(folder)).toPandas())
+    assert got == norm(connected(folder).sql(plans.ORACLE[name]).df())
+    return got[1]
+
+
+def test_points_on_edges_of_polygons(spark, tmp_path):
+    ring = lambda a, b: F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((a, a), (b, a), (b, b), (a, b), (a, a))))
+    rings = F.array(ring(0, 4), ring(1, 2))
+    points = {(0, 3): False, (4, 3): False, (3, 0): False, (3, 4): False, (1, 1.5): True, (2, 1.5): True, (1.5, 1): True, (1.5, 2): True, (1.5, 1.5): False, (3, 3): True}
+    d = spark.createDataFrame([(float(x), float(y)) for x, y in points], "x double, y double")
+    assert {(r["x"], r["y"]): r["i"] for r in d.select("x", "y", spatial.in_polygon(F.col("x"), F.col("y"), rings).alias("i")).collect()} == points
+    # the left edge of the corner that is cut off belongs to the area
+    assert agrees(spark, tmp_path, "flt_geo", customer=([(7, 1, -833.0)], "c_custkey long, c_nationkey int, c_acctbal double"), part=([(1, 51)], "p_partkey long, p_size int")) == [(7.0, 1.0)]
