@@ -192,16 +192,19 @@ def resolve(claims: DataFrame, strategy: str = "most_reliable") -> DataFrame:
     if strategy == "most_recent":
         got = claims.groupBy(*keys).agg(F.max(F.struct("ts", "reliability", "value", "recency")).alias("m"))
         return got.select(*keys, "m.value", F.col("m.recency").alias("confidence"), decided(F.col("m.recency")))
+    if strategy == "weighted":
+        # sums run in order of ts over whole groups, as a rounded mean or a decision may turn on the order of additions
+        number = F.expr("try_cast(value AS double)")
+        whole = Window.partitionBy(*keys).orderBy("ts", "value", "reliability").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        claims = claims.select("*", F.min(number.isNotNull()).over(whole).alias("_all"), (F.sum(number * F.col("reliability")).over(whole) / F.sum("reliability").over(whole)).alias("_mean"), F.avg("reliability").over(whole).alias("_sure"))
     w = Window.partitionBy(*keys).orderBy(F.desc("reliability"), F.desc("ts"), "value")
     r = claims.withColumn("_r", F.row_number().over(w)).withColumn("_next", F.lead("reliability").over(w)).where("_r = 1")
     c = F.when(F.col("reliability") - F.col("_next") < 0.1, F.col("reliability") * 0.7).otherwise(F.col("reliability"))
-    best = r.select(*keys, "value", c.alias("confidence"), decided(c))
-    if strategy == "most_reliable":
-        return best
-    number = F.expr("try_cast(value AS double)")
-    sums = claims.groupBy(*keys).agg(F.every(number.isNotNull()).alias("all"), (F.sum(number * F.col("reliability")) / F.sum("reliability")).alias("mean"), F.avg("reliability").alias("sure"))
-    mean = sums.where("all AND mean IS NOT NULL").select(*keys, F.col("mean").cast("string").alias("value"), F.col("sure").alias("confidence"), decided(F.col("sure")))
-    return mean.unionByName(best.join(mean.select(*keys), keys, "left_anti"))
+    if strategy == "weighted":
+        mean = F.col("_all") & F.col("_mean").isNotNull()
+        r = r.withColumn("value", F.when(mean, F.col("_mean").cast("string")).otherwise(F.col("value")))
+        c = F.when(mean, F.col("_sure")).otherwise(c)
+    return r.select(*keys, "value", c.alias("confidence"), decided(c))
 
 
 def merge_entities(rows: DataFrame, key: str, order: str, columns: list[str], strategy: str = "merge_all") -> DataFrame:

@@ -85,7 +85,7 @@ _BEST = f"(SELECT *, CASE WHEN reliability - nxt < 0.1 THEN reliability * 0.7 EL
 @query("fu_resolve_weighted", f"SELECT entity, property, round(sum(value::DOUBLE * reliability) / sum(reliability), 4)::VARCHAR AS value, {_decided('avg(reliability)')} FROM {_CL} WHERE property = 'size' GROUP BY ALL UNION ALL SELECT entity, property, value, {_decided('c')} FROM {_BEST} WHERE property = 'type'")
 def _(t):
     r = rounded(E.resolve(_claims(t), "weighted"))
-    return r.withColumn("value", F.when(F.col("property") == "size", F.round(F.col("value").cast("double"), 4).cast("string")).otherwise(F.col("value")))
+    return r.withColumn("value", F.when(F.col("property") == "size", (F.round(F.col("value").cast("double") * 1e4) / 1e4).cast("string")).otherwise(F.col("value")))
 
 
 @query("fu_resolve_human", f"SELECT DISTINCT entity, property, NULL::VARCHAR AS value, 0::DOUBLE AS confidence, 'review' AS decision FROM {_CL}")

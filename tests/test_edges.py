@@ -25,3 +25,14 @@ def test_points_on_edges_of_polygons(spark, tmp_path):
     assert {(r["x"], r["y"]): r["i"] for r in d.select("x", "y", spatial.in_polygon(F.col("x"), F.col("y"), rings).alias("i")).collect()} == points
     # the left edge of the corner that is cut off belongs to the area
     assert agrees(spark, tmp_path, "flt_geo", customer=([(7, 1, -833.0)], "c_custkey long, c_nationkey int, c_acctbal double"), part=([(1, 51)], "p_partkey long, p_size int")) == [(7.0, 1.0)]
+
+
+def test_weighted_means_add_in_order_of_time(spark):
+    claims = [(0, "size", "40", 959.9 / 2500, 1), (0, "size", "13", 960.0 / 2500, 2), (0, "size", "4", 960.1 / 2500, 3)]
+    total = weight = 0.0
+    for _, _, v, r, _ in claims:
+        total, weight = total + float(v) * r, weight + r
+    for order in ((0, 1, 2), (2, 1, 0), (1, 2, 0)):
+        d = spark.createDataFrame([claims[i] for i in order], "entity long, property string, value string, reliability double, ts long").coalesce(1)
+        row = entities.resolve(d, "weighted").first()
+        assert float(row["value"]) == total / weight and row["confidence"] == weight / 3
