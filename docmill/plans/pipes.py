@@ -76,9 +76,11 @@ _V2 = "(SELECT p_partkey, p_size + 100 AS p_size FROM part WHERE p_partkey % 3 =
 
 @query("snk_upsert_source", f"SELECT p_partkey, p_size FROM {_V2} UNION ALL SELECT p_partkey, p_size FROM part WHERE p_partkey % 3 <> 0")
 def _(t):
-    p = t.part.select("p_partkey", F.col("p_size").cast("int").alias("p_size"), F.lit(1).alias("seq"))
-    new = p.where("p_partkey % 3 = 0").withColumn("p_size", F.col("p_size") + 100).unionByName(p.where("p_partkey <= 5").withColumn("p_partkey", F.col("p_partkey") + 1000000).withColumn("p_size", F.lit(1)))
-    return sinks.upsert(p, new, ["p_partkey"], "seq").drop("seq")
+    # keys are ids within a source: the inserted parts are another source's, whose ids may be those of known parts
+    p = t.part.select(F.lit("a").alias("source"), "p_partkey", F.col("p_size").cast("int").alias("p_size"), F.lit(1).alias("seq"))
+    other = p.where("p_partkey <= 5").withColumn("source", F.lit("b")).withColumn("p_partkey", F.col("p_partkey") + 1000000).withColumn("p_size", F.lit(1))
+    new = p.where("p_partkey % 3 = 0").withColumn("p_size", F.col("p_size") + 100).unionByName(other)
+    return sinks.upsert(p, new, ["source", "p_partkey"], "seq").drop("source", "seq")
 
 
 @query("snk_upsert_fp", "SELECT sha256(text) AS fp, max(doc_id) AS doc_id FROM documents GROUP BY 1")

@@ -36,3 +36,8 @@ def test_weighted_means_add_in_order_of_time(spark):
         d = spark.createDataFrame([claims[i] for i in order], "entity long, property string, value string, reliability double, ts long").coalesce(1)
         row = entities.resolve(d, "weighted").first()
         assert float(row["value"]) == total / weight and row["confidence"] == weight / 3
+
+
+def test_inserted_ids_of_another_source_may_be_known(spark, tmp_path):
+    rows = agrees(spark, tmp_path, "snk_upsert_source", part=([(i, i % 7) for i in (*range(9), *range(1000000, 1000006))], "p_partkey long, p_size int"))
+    assert len(rows) == 21
