@@ -56,9 +56,10 @@ def _(t):
 def _(t):
     from docmill.operators import spatial
 
-    p = t.customer.select("c_custkey", (F.col("c_acctbal") / 100).alias("x"), F.col("c_nationkey").cast("double").alias("y"))
-    b = t.supplier.select("s_suppkey", ((F.col("s_acctbal") - 50) / 100).alias("x0"), ((F.col("s_acctbal") + 50) / 100).alias("x1"), (F.col("s_nationkey") - 1.0).alias("y0"), (F.col("s_nationkey") + 1.0).alias("y1"))
-    return spatial.grid_join(p, b, 2.0).select("c_custkey", "s_suppkey")
+    # balances as they are, since a division may move one onto or off an edge; nations are scaled to them, which is exact
+    p = t.customer.select("c_custkey", F.col("c_acctbal").alias("x"), (F.col("c_nationkey") * 100.0).alias("y"))
+    b = t.supplier.select("s_suppkey", (F.col("s_acctbal") - 50).alias("x0"), (F.col("s_acctbal") + 50).alias("x1"), ((F.col("s_nationkey") - 1) * 100.0).alias("y0"), ((F.col("s_nationkey") + 1) * 100.0).alias("y1"))
+    return spatial.grid_join(p, b, 200.0).select("c_custkey", "s_suppkey")
 
 
 _CLAIMS = "(SELECT p_partkey // 3 AS entity, unnest(['type', 'brand', 'size']) AS property, unnest([p_type, p_brand, p_size::VARCHAR]) AS value, p_retailprice / 2500 AS reliability, p_partkey AS ts FROM part)"

@@ -41,3 +41,10 @@ def test_weighted_means_add_in_order_of_time(spark):
 def test_inserted_ids_of_another_source_may_be_known(spark, tmp_path):
     rows = agrees(spark, tmp_path, "snk_upsert_source", part=([(i, i % 7) for i in (*range(9), *range(1000000, 1000006))], "p_partkey long, p_size int"))
     assert len(rows) == 21
+
+
+def test_balances_on_the_edge_of_a_range(spark, tmp_path):
+    # 113.68 - 50 is a hair above 63.68; a hundredth of each is the same number
+    customer = [(1, 3, 63.68), (2, 3, 63.69), (3, 5, 113.68), (4, 2, 163.68), (5, 4, 163.69)]
+    rows = agrees(spark, tmp_path, "jn_spatial", customer=(customer, "c_custkey long, c_nationkey int, c_acctbal double"), supplier=([(9, 3, 113.68)], "s_suppkey long, s_nationkey int, s_acctbal double"))
+    assert rows == [(2.0, 9.0), (4.0, 9.0)]
