@@ -3,6 +3,7 @@ reference's own. Every stream here is also checked against its batch form."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -44,18 +45,28 @@ def counters(events: DataFrame, key: str = "user_id") -> DataFrame:
 
 
 def rates(events: DataFrame, key: str = "user_id", backoff: float = 2.0, most: float = 64.0) -> DataFrame:
-    """(key, seen, error_rate, delay): cumulative error rate, and a delay that doubles with each error in a row and resets at a success."""
+    """(key, seen, error_rate, delay): cumulative error rate, and a delay that doubles with each error in a row and resets at a success.
+
+    Rows in a row are those in order of (ts, event_id), in whatever order and batches they arrive: the state holds the last success and,
+    of the errors after it, the last ones, as many as raise the delay to its most (``backoff`` is above 1). A later success may drop some of them, never ask for others.
+    """
+    enough = max(1, math.ceil(math.log(most, backoff)))
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, errors, row = state.get if state.exists else (0, 0, 0)
+        seen, errors, good, bads = state.get if state.exists else (0, 0, None, [])
+        good, bads = good and tuple(good), [tuple(b) for b in bads]
         for f in frames:
-            for bad in (f.sort_values(["ts", "event_id"])["event_type"] == "error").tolist():
-                seen, errors, row = seen + 1, errors + bad, row + 1 if bad else 0
-        state.update((seen, errors, row))
-        yield pd.DataFrame({key: [k[0]], "seen": [seen], "error_rate": [errors / seen], "delay": [min(most, backoff**row)]})
+            bad = f["_bad"].to_numpy(bool)
+            seen, errors = seen + len(bad), errors + int(bad.sum())
+            at = list(zip(f["_at"].tolist(), f["_id"].tolist(), bad.tolist(), strict=True))
+            good = max([*([good] if good else []), *((t, i) for t, i, b in at if not b)], default=None)
+            bads = sorted(p for p in [*bads, *((t, i) for t, i, b in at if b)] if good is None or p > good)[-enough:]
+        state.update((seen, errors, good and list(good), [list(b) for b in bads]))
+        yield pd.DataFrame({key: [k[0]], "seen": [seen], "error_rate": [errors / seen], "delay": [min(most, backoff ** len(bads))]})
 
     out = f"{key} long, seen long, error_rate double, delay double"
-    return events.groupBy(key).applyInPandasWithState(run, out, "seen long, errors long, row long", "update", GroupStateTimeout.NoTimeout)
+    rows = events.select(key, F.coalesce(F.unix_micros("ts"), F.lit(-(2**63))).alias("_at"), F.coalesce("event_id", F.lit(-(2**63))).alias("_id"), F.coalesce(F.col("event_type") == "error", F.lit(False)).alias("_bad"))
+    return rows.groupBy(key).applyInPandasWithState(run, out, "seen long, errors long, good array<long>, bads array<array<long>>", "update", GroupStateTimeout.NoTimeout)
 
 
 def buckets(events: DataFrame, edges: tuple[float, ...] = (10, 25, 50, 75)) -> DataFrame:

@@ -48,3 +48,17 @@ def test_balances_on_the_edge_of_a_range(spark, tmp_path):
     customer = [(1, 3, 63.68), (2, 3, 63.69), (3, 5, 113.68), (4, 2, 163.68), (5, 4, 163.69)]
     rows = agrees(spark, tmp_path, "jn_spatial", customer=(customer, "c_custkey long, c_nationkey int, c_acctbal double"), supplier=([(9, 3, 113.68)], "s_suppkey long, s_nationkey int, s_acctbal double"))
     assert rows == [(2.0, 9.0), (4.0, 9.0)]
+
+
+def test_rates_of_events_out_of_order(spark, tmp_path):
+    from docmill.streaming import events as S
+
+    at = lambda s: datetime.datetime(2024, 1, 1, 0, 0, s)
+    late = [(i, at(10 + i), u, kind, 1.0, "") for i, (u, kind) in enumerate([(1, "error"), (2, "view"), (2, "error"), (3, "view"), *[(4, "error")] * 8])]
+    early = [(50 + i, at(1), u, kind, 1.0, "") for i, (u, kind) in enumerate([(1, "error"), (2, "error"), (3, "error"), (3, "error"), (4, "view")])]
+    middle = [(60, at(15), 4, "view", 1.0, "")]
+    for i, rows in enumerate((late, early, middle)):
+        spark.createDataFrame(rows, S.SCHEMA.replace("_ntz", "")).selectExpr("* EXCEPT (ts)", "CAST(ts AS timestamp_ntz) AS ts").toPandas().to_parquet(f"{tmp_path}/events{i}.parquet", coerce_timestamps="us")
+    S.latest(S.rates(S.read(spark, str(tmp_path), files=1)), f"{tmp_path}/out", f"{tmp_path}/state")
+    got = spark.read.parquet(f"{tmp_path}/out").groupBy("user_id").agg(F.max_by(F.struct("seen", "delay"), "epoch").alias("r"))
+    assert {r["user_id"]: tuple(r["r"]) for r in got.collect()} == {1: (2, 4.0), 2: (3, 2.0), 3: (3, 1.0), 4: (10, 64.0)}
