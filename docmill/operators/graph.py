@@ -164,42 +164,137 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both.groupBy("id").agg(F.sum("i").alias("ins"), F.sum("o").alias("outs"))
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, at_once: int = 1000) -> DataFrame:
-    """(id, score): Brandes' sums over the shortest paths from the given sources, for every node that some source reaches.
-
-    All sources of a block of about ``at_once`` walk together, a join a level: forward with the numbers of shortest paths, then backward with the
-    shares of the paths that go through. A level and its predecessor suffice to tell new nodes, so a round reads two levels, not all. A block's tables
-    hold at most a row for each of its sources and each node, and are deleted once it is summed.
-    """
-    spark, kept = edges.sparkSession, []
-    e = cut(undirected(edges), kept)
-    start = cut(sources.select("id").distinct(), kept)
-    blocks, total = -(-start.count() // at_once), None
+def _walks(near: tuple[np.ndarray, np.ndarray], ws: np.ndarray, wt: np.ndarray, sources: Iterator[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Brandes' sums over the given sources of a graph in rows (starts, neighbours), where a node stands for ``ws`` sources and ``wt`` nodes:
+    the score of each node, the sources that reach it, and the nodes of its component."""
+    at, to = near
+    n = len(ws)
+    score, reach, size = np.zeros(n), np.zeros(n), np.zeros(n)
+    depth, paths, share = np.full(n, -1), np.zeros(n), np.zeros(n)
+    for s in sources:
+        levels, steps = [np.array([s])], []
+        depth[s], paths[s] = 0, 1.0
+        while len(levels[-1]):
+            f, d = levels[-1], len(levels)
+            many = at[f + 1] - at[f]
+            there = to[np.arange(many.sum()) + np.repeat(at[f] - np.cumsum(many) + many, many)]
+            new = np.unique(there[depth[there] < 0])
+            depth[new] = d
+            down = depth[there] == d
+            step = np.repeat(f, many)[down], there[down]
+            np.add.at(paths, step[1], paths[step[0]])
+            steps.append(step)
+            levels.append(new)
+        for up, low in reversed(steps):
+            np.add.at(share, up, paths[up] / paths[low] * (wt[low] + share[low]))
+        met = np.concatenate(levels)
+        share[s] = 0.0
+        score[met] += ws[s] * share[met]
+        reach[met] += ws[s]
+        size[met] = wt[met].sum()
+        depth[met], paths[met], share[met] = -1, 0.0, 0.0
+    return score, reach, size
+
+
+def _within(e: DataFrame, w: DataFrame, n: int) -> DataFrame:
+    """(id, core, A, B) of a small graph: every task walks from some of its nodes over a copy of its ``n`` edges, which is 16 bytes an edge."""
+    spark = e.sparkSession
+    pairs = e.toPandas().to_numpy()
+    ids, flat = np.unique(pairs, return_inverse=True)
+    pairs = flat.reshape(-1, 2)
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    weights = w.join(e.select(F.col("src").alias("id")).distinct(), "id", "left_semi").select("id", (F.col("own") + F.col("sa")).cast("double"), (1 + F.col("sb")).cast("double")).toPandas().sort_values("id").to_numpy()[:, 1:].astype(float)
+    at = np.searchsorted(pairs[:, 0], np.arange(len(ids) + 1))
+    held = spark.sparkContext.broadcast((ids, at, pairs[:, 1].copy(), weights[:, 0].copy(), weights[:, 1].copy()))
+
+    def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, at, to, ws, wt = held.value
+        for p in parts:
+            score, reach, size = _walks((at, to), ws, wt, (int(i) for i in p["id"] if ws[i] > 0))
+            met = np.flatnonzero(reach)
+            yield pd.DataFrame({"id": ids[met], "core": score[met], "A": reach[met], "B": size[met]})
+
+    tasks = max(1, min(len(ids), 4 * spark.sparkContext.defaultParallelism))
+    got = spark.range(0, len(ids), 1, tasks).mapInPandas(walk, f"id {e.schema['src'].dataType.simpleString()}, core double, A double, B double")
+    return got.groupBy("id").agg(F.sum("core").alias("core"), F.sum("A").alias("A"), F.max("B").alias("B"))
+
+
+def _between(e: DataFrame, w: DataFrame, at_once: int) -> DataFrame:
+    """(id, core, A, B) of a graph of any size: the sources of a block of about ``at_once`` walk together, a join a level: forward with the numbers
+    of shortest paths, then backward with the shares of the paths that go through. A level and its predecessor suffice to tell new nodes, so a
+    round reads two levels, not all. A block's tables hold at most a row for each of its sources and each node, and are deleted once it is summed."""
+    spark, total = e.sparkSession, None
+    weights = w.select("id", (F.col("own") + F.col("sa")).cast("double").alias("ws"), (1 + F.col("sb")).cast("double").alias("wt"))
+    start = weights.where("ws > 0").join(e.select(F.col("src").alias("id")).distinct(), "id", "left_semi")
+    blocks = -(-start.count() // at_once)
     dealt = start.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(max(1, blocks))))
     for block in range(blocks):
         old: list[str] = []
-        levels = [cut(dealt.where(F.col("_b") == block).select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths")), old)]
+        levels = [cut(dealt.where(F.col("_b") == block).select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths"), "wt"), old)]
         while True:
             new = levels[-1].join(e, F.col("id") == F.col("src")).groupBy("s", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
             for before in levels[-2:]:
                 new = new.join(before.select("s", "id"), ["s", "id"], "left_anti")
-            new = cut(new, old)
+            new = cut(new.join(weights.select("id", "wt"), "id").select("s", "id", "paths", "wt"), old)
             if new.isEmpty():
                 break
             levels.append(new)
         shares = [levels[-1].withColumn("share", F.lit(0.0))]
         for lower in reversed(levels[:-1]):
-            back = shares[-1].join(e, F.col("id") == F.col("src")).groupBy("s", F.col("dst").alias("id")).agg(F.sum((1 + F.col("share")) / F.col("paths")).alias("_g"))
-            shares.append(cut(lower.join(back, ["s", "id"], "left").select("s", "id", "paths", (F.col("paths") * F.coalesce("_g", F.lit(0.0))).alias("share")), old))
+            back = shares[-1].join(e, F.col("id") == F.col("src")).groupBy("s", F.col("dst").alias("id")).agg(F.sum((F.col("wt") + F.col("share")) / F.col("paths")).alias("_g"))
+            shares.append(cut(lower.join(back, ["s", "id"], "left").select("s", "id", "paths", "wt", (F.col("paths") * F.coalesce("_g", F.lit(0.0))).alias("share")), old))
         through = shares[0]
         for x in shares[1:]:
             through = through.unionByName(x)
-        part = cut(through.where("id <> s").groupBy("id").agg(F.sum("share").alias("score")))
+        sizes = through.groupBy("s").agg(F.sum("wt").alias("B")).join(dealt.select(F.col("id").alias("s"), "ws"), "s")
+        part = through.join(sizes, "s").groupBy("id").agg(F.sum(F.when(F.col("id") != F.col("s"), F.col("ws") * F.col("share")).otherwise(0.0)).alias("core"), F.sum("ws").alias("A"), F.max("B").alias("B"))
+        part = cut(part)
         discard(spark, old)
         total = part if total is None else total.unionByName(part)
     if total is None:
-        return start.select("id", F.lit(0.0).alias("score")).limit(0)
-    out = cut(total.groupBy("id").agg(F.sum("score").alias("score")))
+        return spark.createDataFrame([], "id long, core double, A double, B double")
+    return total.groupBy("id").agg(F.sum("core").alias("core"), F.sum("A").alias("A"), F.max("B").alias("B"))
+
+
+def betweenness(edges: DataFrame, sources: DataFrame, at_once: int = 1000, held: int = 2_000_000) -> DataFrame:
+    """(id, score): Brandes' sums over the shortest paths from the given sources, for every node that some other source reaches.
+
+    Nodes with one neighbour are folded into it, round by round while that takes a twentieth of the nodes left: every path to or from a folded
+    node runs by its neighbour, so products of counts give what folding hides, and only the rest is walked, each node standing for those
+    folded into it. A rest of at most ``held`` edges is walked in numpy, its sources dealt to tasks; a larger one by ``_between``.
+    """
+    spark, kept = edges.sparkSession, []
+    e = cut(undirected(edges), kept)
+    own = sources.select("id").distinct().withColumn("own", F.lit(1))
+    none = F.lit(0).cast("double")
+    w = cut(e.select(F.col("src").alias("id")).distinct().join(own, "id", "left").select("id", F.coalesce("own", F.lit(0)).alias("own"), none.alias("sa"), none.alias("sb"), none.alias("sab")), kept)
+    folded: list[DataFrame] = []
+    left = w.count()
+    while left:
+        lone = cut(e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), F.min("dst").alias("p")).where("n = 1").select("id", "p"), kept)
+        # of two nodes that have but each other, the greater goes
+        gone = lone.join(lone.select(F.col("id").alias("p"), F.lit(1).alias("_both")), "p", "left").where("_both IS NULL OR id > p").select("id", "p")
+        gone = cut(gone.join(w, "id").select("id", "p", "own", "sa", "sb", "sab"), kept)
+        n = gone.count()
+        if n * 20 < left or not n:
+            break
+        folded.append(gone)
+        a, b = F.col("own") + F.col("sa"), 1 + F.col("sb")
+        more = gone.groupBy(F.col("p").alias("id")).agg(F.sum(a).alias("_a"), F.sum(b).alias("_b"), F.sum(a * b).alias("_ab"))
+        add = lambda c, x: (F.col(c) + F.coalesce(x, F.lit(0.0))).alias(c)
+        w = cut(w.join(gone.select("id"), "id", "left_anti").join(more, "id", "left").select("id", "own", add("sa", "_a"), add("sb", "_b"), add("sab", "_ab")), kept)
+        e = cut(e.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"), kept)
+        left -= n
+    n = e.count()
+    core = cut(_within(e, w, n) if n <= held else _between(e, w, at_once), kept)
+    # a node left without edges is its whole component; one with edges that no source reaches has no row in core
+    alone = w.join(e.select(F.col("src").alias("id")).distinct(), "id", "left_anti").select("id", none.alias("core"), (F.col("own") + F.col("sa")).alias("A"), (1 + F.col("sb")).alias("B"))
+    done = w.join(core.unionByName(alone), "id")
+    for gone in reversed(folded):
+        up = done.select(F.col("id").alias("p"), "A", "B")
+        done = cut(done.unionByName(gone.join(up, "p").select("id", "own", "sa", "sb", "sab", none.alias("core"), "A", "B")), kept)
+    score = (F.col("B") - 1) * F.col("sa") - F.col("sab") + (F.col("A") - F.col("sa") - F.col("own")) * F.col("sb") + F.col("core")
+    out = cut(done.where("A > own").select("id", score.alias("score")))
     discard(spark, kept)
     return out
 

@@ -1,9 +1,13 @@
 """Rows on an edge, sums that turn on their order, keys that meet and events out of order, against SQL or by hand."""
 
 import datetime
+import random
+from collections import defaultdict
+
+import pytest
 
 from docmill import plans
-from docmill.operators import entities, spatial
+from docmill.operators import entities, graph, spatial
 from pyspark.sql import functions as F
 from tests.test_oracle import connected, norm
 
@@ -62,3 +66,39 @@ def test_rates_of_events_out_of_order(spark, tmp_path):
     S.latest(S.rates(S.read(spark, str(tmp_path), files=1)), f"{tmp_path}/out", f"{tmp_path}/state")
     got = spark.read.parquet(f"{tmp_path}/out").groupBy("user_id").agg(F.max_by(F.struct("seen", "delay"), "epoch").alias("r"))
     assert {r["user_id"]: tuple(r["r"]) for r in got.collect()} == {1: (2, 4.0), 2: (3, 2.0), 3: (3, 1.0), 4: (10, 64.0)}
+
+
+def test_betweenness_of_folded_nodes(spark):
+    """Chains, trees, cycles, pairs and loops, with all or some sources, walked in tasks or by joins, against plain Brandes."""
+    rng = random.Random(5)
+    edges = [(1, 2), (2, 3), (3, 4), (4, 5), (10, 11), (20, 21), (21, 22), (22, 20), (22, 23), (23, 24), (23, 25), (25, 26), (30, 30)]
+    edges += [(100 + i, 100 + rng.randint(0, i - 1)) for i in range(1, 25)] + [(100 + rng.randint(0, 24), 100 + rng.randint(0, 24)) for _ in range(6)]
+    near = defaultdict(set)
+    for a, b in edges:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    d = spark.createDataFrame(edges, "src long, dst long")
+    nodes = sorted({x for e in edges for x in e})
+    for some in (nodes, [2, 5, 11, 26, 30, 101, 107]):
+        want = {}
+        for s in some:
+            dist, paths, order = {s: 0}, {s: 1}, [s]
+            for v in order:
+                for u in near[v]:
+                    if u not in dist:
+                        dist[u], paths[u] = dist[v] + 1, 0
+                        order.append(u)
+                    if dist[u] == dist[v] + 1:
+                        paths[u] += paths[v]
+            share = dict.fromkeys(order, 0.0)
+            for u in reversed(order):
+                for v in near[u]:
+                    if dist[v] == dist[u] - 1:
+                        share[v] += paths[v] / paths[u] * (1 + share[u])
+                if u != s:
+                    want[u] = want.get(u, 0.0) + share[u]
+        starts = spark.createDataFrame([(x,) for x in some], "id long")
+        for held in (1000, 0):
+            got = {r["id"]: r["score"] for r in graph.betweenness(d, starts, at_once=8, held=held).collect()}
+            assert got == pytest.approx(want), (len(some), held)
