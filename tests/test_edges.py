@@ -102,3 +102,12 @@ def test_betweenness_of_folded_nodes(spark):
         for held in (1000, 0):
             got = {r["id"]: r["score"] for r in graph.betweenness(d, starts, at_once=8, held=held).collect()}
             assert got == pytest.approx(want), (len(some), held)
+
+
+def test_leaves_ask_for_no_walks(spark, monkeypatch):
+    """A star's betweenness takes a few tables, not some for each of its leaves."""
+    made, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda *a, **k: made.append(1) or cut(*a, **k))
+    star = spark.range(1, 13).selectExpr("0L AS src", "id AS dst")
+    got = {r["id"]: r["score"] for r in graph.betweenness(star, graph.nodes_of(star), at_once=1, held=0).collect()}
+    assert got == {0: 132.0} | dict.fromkeys(range(1, 13), 0.0) and len(made) < 20
