@@ -111,3 +111,38 @@ def test_leaves_ask_for_no_walks(spark, monkeypatch):
     star = spark.range(1, 13).selectExpr("0L AS src", "id AS dst")
     got = {r["id"]: r["score"] for r in graph.betweenness(star, graph.nodes_of(star), at_once=1, held=0).collect()}
     assert got == {0: 132.0} | dict.fromkeys(range(1, 13), 0.0) and len(made) < 20
+
+
+def test_similar_rows_in_blocks(spark, monkeypatch):
+    """Sketches of each width, blocks of a title, copies, rows without a text or with a blank one, against all pairs."""
+    from docmill.operators import dedup
+
+    monkeypatch.setattr(dedup, "_BLOCK", 3)
+    monkeypatch.setattr(dedup, "_SKETCH", ((30, 16), (60, 64), (120, 256), (2**62, 1024)))
+    rng = random.Random(7)
+    titles = ["een twee drie vier vijf", "een twee drie vier zes", "a b c d e f g h i j", "a b c d e f g h i k", "alleen", "", None, " \t"]
+    base = [[f"w{rng.randint(0, 400)}" for _ in range(n)] for n in (8, 25, 40, 80, 200)]
+    rows = []
+    for i in range(110):
+        words = [w if rng.random() < 0.93 else f"x{rng.randint(0, 99)}" for w in base[i % 5]]
+        rows.append((i, titles[rng.choice((0, 0, 0, 1, 2, 3, 4, 5, 6))], " ".join(words)))
+    rows += [(200, titles[0], ""), (201, titles[0], None), (202, titles[1], ""), (203, titles[2], ""), (204, titles[3], "  "), (205, titles[3], "  "), (206, titles[2], "  "), (207, titles[7], "z"), (208, titles[7], "z"), (209, "lang", "  "), (210, "lang", "  ")]
+    rows += [(300 + i, titles[0], rows[i][2]) for i in (0, 1, 2, 2)] + [(310, "Een  twee\tdrie vier vijf", rows[0][2].upper())]
+    sets = {i: (set((t or "").lower().split()), set((x or "").lower().split()), bool(x)) for i, t, x in rows}
+    share = lambda p, q: len(p & q) / len(p | q) if p | q else 0.0
+
+    def like(i, j):
+        (t, x, full), (u, y, also) = sets[i], sets[j]
+        sims = share(t, u), share(x, y) if full and also else None
+        return sims if sims[0] >= 0.8 and (sims[1] >= 0.7 if sims[1] is not None else sims[0] >= 0.9) else None
+
+    ids = sorted(sets)
+    want = {(i, j): like(i, j) for i in ids for j in ids if i < j and like(i, j)}
+    d = spark.createDataFrame([r for r in rows if r[0] in sets], "id long, title string, text string").dropDuplicates(["id"])
+    got = [(r["a"], r["b"], r["title_sim"], r["text_sim"]) for r in dedup.similar_pairs(d, "id", "title", "text").collect()]
+    assert len(got) == len(want) > 300 and {(a, b): (s, x) for a, b, s, x in got} == want
+    kept = []
+    for j in ids:
+        if not any((i, j) in want for i in kept):
+            kept.append(j)
+    assert sorted(r["id"] for r in dedup.similar(d, "id", "title", "text").collect()) == kept
